@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, quality
+from . import fingerprints, lines, quality, substrings
+from .native import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.array_join(words_of(F.col("text")), " "), 256).alias("kept_sha256"),
+    )
+
+
 def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_rules": op10_quality_rules,
@@ -62,11 +74,11 @@ WITH lined AS (
   SELECT source, list(line) AS bads FROM bad GROUP BY source
 ), cut AS (
   SELECT d.doc_id, d.source, d.text, d.ls,
-         list_filter(d.ls, l -> NOT list_contains(coalesce(g.bads, []), trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS ks
+         list_filter(d.ls, lambda l: NOT list_contains(coalesce(g.bads, []), trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS ks
   FROM lined d LEFT JOIN grouped g ON d.source IS NOT DISTINCT FROM g.source
 ), sized AS (
-  SELECT *, coalesce(list_sum(list_transform(ls, l -> length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS a,
-            coalesce(list_sum(list_transform(ks, l -> length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS k
+  SELECT *, coalesce(list_sum(list_transform(ls, lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS a,
+            coalesce(list_sum(list_transform(ks, lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS k
   FROM cut
 ), final AS (
   SELECT doc_id, source, ls, CASE WHEN a - k > 0.5 * a THEN ls ELSE ks END AS kept FROM sized
@@ -76,4 +88,22 @@ SELECT doc_id, source, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(ke
 FROM final
 """
 
-ORACLES = {"op7_line_dedup": _LINES}
+_SUBSTRINGS = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), wins AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), first_doc AS (
+  SELECT win, min(doc_id) AS least FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM wins JOIN first_doc USING (win) WHERE doc_id > least
+), lost AS (
+  SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": _SUBSTRINGS, "op7_line_dedup": _LINES}
