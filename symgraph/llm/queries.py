@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, quality, substrings
+from . import fingerprints, lines, minhash, quality, substrings
 from .native import words_of
 
 
@@ -39,6 +39,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_line_dedup": op7_line_dedup,
+    "op8_bagminhash": op8_bagminhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
