@@ -32,7 +32,7 @@ from .hashing import steps
 from .scratch import materialize
 
 CAPACITY = 4096
-UNIT = 8
+UNIT = 16
 END = 2
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 400_000
@@ -134,11 +134,11 @@ def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple
     return float(value[capacity]), pattern
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4) -> list[tuple[int, np.ndarray]]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) of the rounded solution; sizes ascend.  Patterns never ask for more than the demand.
 
-    Column generation ends when no pattern is worth more than a sequence, or when the bound that the
-    dearest pattern gives is within ``gap`` of the solution.
+    Column generation ends when no pattern is worth more than a sequence, or when the solution is within
+    ``gap`` of a lower bound: the volume, or what the dearest pattern's worth gives.
     """
     m = len(sizes)
     if not m:
@@ -146,11 +146,13 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
+    volume = float(sizes @ demand) / capacity
     turn = 0
     while True:
         prices = np.maximum(inverse.sum(axis=0), 0)
         worth, pattern = _best_pattern(sizes, prices, capacity)
-        if worth <= 1 + 1e-7 or x.sum() * (1 - 1 / worth) <= gap * x.sum():
+        least = max(x.sum() / worth, volume) if worth > 0 else volume
+        if worth <= 1 + 1e-7 or x.sum() <= (1 + gap) * least:
             break
         step = inverse @ pattern
         rising = step > 1e-9
