@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, minhash, packing, quality, substrings
+from . import bpe, fingerprints, lines, minhash, packing, quality, substrings, warc
 from .native import words_of
 
 
@@ -40,6 +40,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, index)
+
+
 def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_warc_bundles": op5_warc_bundles,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op8_bagminhash": op8_bagminhash,
@@ -130,4 +136,18 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(places),
 FROM w LEFT JOIN lost USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": _SUBSTRINGS, "op7_line_dedup": _LINES}
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+), k AS (
+  SELECT digest, max(page_id) AS latest, count(*) AS n FROM p WHERE size >= 1000 GROUP BY digest
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN size >= 1000 AND n > 1 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND n > 1 AND page_id < latest THEN latest END AS refers_to
+FROM p LEFT JOIN k ON p.digest = k.digest
+"""
+
+ORACLES = {
+    "op5_warc_bundles": _WARC,
+    "op1_substring_dedup": _SUBSTRINGS, "op7_line_dedup": _LINES}
