@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, minhash, packing, quality, substrings, warc
+from . import bpe, fingerprints, html, langid, lines, minhash, packing, quality, substrings, warc
 from .native import words_of
 
 
@@ -40,6 +41,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(spark, folder, index)
@@ -65,6 +71,13 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -78,14 +91,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_html_extract": op4_html_extract,
     "op5_warc_bundles": op5_warc_bundles,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_line_dedup": op7_line_dedup,
     "op8_bagminhash": op8_bagminhash,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
