@@ -1,4 +1,4 @@
-"""Registered queries over the graph tables, and their SQL."""
+"""Registered queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import file_queries, graph_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return graph_queries.impact_of_nation(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**graph_queries.QUERIES, **file_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**graph_queries.ORACLES, **file_queries.ORACLES}

@@ -87,12 +87,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same two tables in SQL, to stand before a query.
 SQL = """
 WITH RECURSIVE places AS (
-  SELECT n_nationkey, r_name || '/' || n_name AS at FROM nation JOIN region ON n_regionkey = r_regionkey
+  SELECT n_nationkey, r_name || '/' || n_name AS spot FROM nation JOIN region ON n_regionkey = r_regionkey
 ), nodes AS (
   SELECT 'region:' || r_regionkey AS id, r_name AS name, r_name AS qualified, 'module' AS kind, r_name AS path, 'sql' AS lang, CAST(1 AS BIGINT) AS line_start, true AS exported FROM region
-  UNION ALL SELECT 'nation:' || nation.n_nationkey, n_name, n_name, 'module', at, 'sql', 1, true FROM nation JOIN places USING (n_nationkey)
-  UNION ALL SELECT 'customer:' || c_custkey, c_name, c_name, 'class', at || '/customer', 'java', c_custkey % 1000 + 1, c_acctbal > 0 FROM customer JOIN places ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, s_name, 'struct', at || '/supplier', 'go', s_suppkey % 1000 + 1, s_acctbal > 0 FROM supplier JOIN places ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'nation:' || nation.n_nationkey, n_name, n_name, 'module', spot, 'sql', 1, true FROM nation JOIN places USING (n_nationkey)
+  UNION ALL SELECT 'customer:' || c_custkey, c_name, c_name, 'class', spot || '/customer', 'java', c_custkey % 1000 + 1, c_acctbal > 0 FROM customer JOIN places ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, s_name, 'struct', spot || '/supplier', 'go', s_suppkey % 1000 + 1, s_acctbal > 0 FROM supplier JOIN places ON s_nationkey = n_nationkey
   UNION ALL SELECT 'part:' || p_partkey, p_name, p_brand || '.' || p_name, 'constant', 'part/' || (p_partkey % 10), 'python', p_partkey % 1000 + 1, p_size > 25 FROM part
   UNION ALL SELECT 'orders:' || o_orderkey, 'Order#' || o_orderkey, 'Order#' || o_orderkey, 'function', 'orders/' || (o_orderkey % 100), 'typescript', o_orderkey % 1000 + 1, o_orderstatus = 'F' FROM orders
 ), bound AS (
