@@ -28,7 +28,7 @@ COPY_SHARE = 0.5
 
 
 def boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): the boilerplate lines of each host that has any."""
+    """(host, __lines): the boilerplate lines of each host that has any."""
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != ""))
     seen = (
         pages.select(F.col(host).alias("__host"), F.explode(lines).alias("line"))
@@ -38,7 +38,7 @@ def boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO, mi
     )
     totals = materialize(pages.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("total")), "line-totals")
     often = join_bounded(seen, totals, ["__host"]).filter(F.col("pages") > ratio * F.col("total"))
-    return materialize(often.groupBy("__host").agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-boilerplate")
+    return materialize(often.groupBy("__host").agg(F.sort_array(F.collect_list("line")).alias("__lines")), "line-boilerplate")
 
 
 def drop_boilerplate(
@@ -48,7 +48,7 @@ def drop_boilerplate(
     found = boilerplate(pages, host, ratio, min_pages)
     names = pages.columns
     joined = join_bounded(pages.withColumn("__host", F.col(f"`{host}`")), found, ["__host"])
-    bad = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
+    bad = F.coalesce(F.col("__lines"), F.array().cast("array<string>"))
 
     def cleaned(lines):
         kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), strip(x)))
