@@ -6,8 +6,8 @@ t = floor(ln w / r + b), y = exp(r (t - b)) and a = c / (y exp r); the word with
 sample, and (word, t) is the sample's value.  Two bags agree on a sample with probability
 sum(min) / sum(max), their generalised Jaccard similarity.
 
-A Gamma(2, 1) draw is -ln(u v) for uniform u and v, which come from 64-bit hashes of (word, sample).
-Each sample is a running minimum of one long
+Draws come from one 64-bit hash of (word, sample): sixteen bits pick r and sixteen pick c from a table of
+evenly spread gamma draws, which is broadcast, and 32 make b.  Each sample is a running minimum of one long
 (ln a above, a hash of (word, t) below), so a document's fingerprint is a plain aggregate.
 
 Texts cross the network once, to stand beside the next document: documents go to buckets of
@@ -22,40 +22,48 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .native import words_of
 
 SAMPLES = 64
-LN_2 = math.log(2)
+#: A draw is one of 2 ** BITS; the table of draws has a megabyte.
+BITS = 16
 ROWS_PER_BUCKET = 500
 MAX_BUCKETS = 8192
 
 
-def sample_columns(samples: int = SAMPLES) -> list[Column]:
-    """For each sample, the least (ln a, value) over a document's words, as one long.
+def gamma_table(spark: SparkSession, bits: int = BITS) -> DataFrame:
+    """One row: __r, 2 ** bits draws of Gamma(2, 1), and __c, their logarithms.
 
-    Reads __base, a hash of the word, and __ln_w, the logarithm of its weight (null: no word).
+    A draw is -ln u - ln v; (u, v) run over a Hammersley set, whose points cover the square evenly,
+    down to corners of 2 ** -bits.
     """
-    base, ln_w = F.col("__base"), F.col("__ln_w")
+    n = 1 << bits
+    mirrored = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("bigint")
+    r = -F.log((F.col("id") + 0.5) / n) - F.log((mirrored + 0.5) / n)
+    rows = spark.range(0, n, 1, 1).select("id", r.alias("r"))
+    draws = F.transform(F.sort_array(F.collect_list(F.struct("id", "r"))), lambda v: v["r"])
+    return rows.agg(draws.alias("__r")).select("__r", F.transform("__r", lambda x: F.log(x)).alias("__c"))
 
-    def uniform(h: Column, shift: int, bits: int) -> Column:
-        """``bits`` bits of h above ``shift``, as the middle of a step of (0, 2 ** bits)."""
-        return F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + F.lit(0.5)
 
+def sample_columns(samples: int = SAMPLES) -> list[Column]:
+    """For each sample, the least (ln a, value) over a document's words, as one long.
+
+    Reads __base, a hash of the word, __ln_w, the logarithm of its weight (null: no word), and the
+    columns of ``gamma_table``.
+    """
+    base, ln_w, mask = F.col("__base"), F.col("__ln_w"), (1 << BITS) - 1
     out = []
     for k in range(samples):
         h = F.xxhash64(base, F.lit(k))
-        g = F.xxhash64(h)
-        r = F.lit(48 * LN_2) - F.log(uniform(h, 0, 24) * uniform(h, 24, 24))
-        c = F.lit(40 * LN_2) - F.log(uniform(g, 0, 20) * uniform(g, 20, 20))
-        b = F.shiftrightunsigned(g, 40) / F.lit(float(1 << 24))
+        r = F.get("__r", h.bitwiseAND(mask).cast("int"))
+        c = F.get("__c", F.shiftrightunsigned(h, BITS).bitwiseAND(mask).cast("int"))
+        b = F.shiftrightunsigned(h, 2 * BITS) / F.lit(float(1 << (64 - 2 * BITS)))
         t = F.floor(ln_w / r + b)
-        ln_a = F.log(c) - r * (t - b + 1.0)
+        ln_a = c - r * (t - b + 1.0)
         value = F.xxhash64(h, t).bitwiseAND(0xFFFFFFFF)
         packed = F.shiftleft((ln_a * F.lit(float(1 << 23))).cast("bigint"), 32).bitwiseOR(value)
         out.append(F.min(packed).alias(f"s{k}"))
@@ -128,6 +136,7 @@ def fingerprint_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame
         F.xxhash64("word").alias("__base"),
         F.when(F.col("weight") > 0, F.log(F.col("weight").cast("double"))).alias("__ln_w"),
     )
+    drawn = drawn.join(F.broadcast(gamma_table(docs.sparkSession)))  # one row of fixed size
     signed = drawn.groupBy("bucket", "key").agg(*sample_columns(samples))
     values = F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(0xFFFFFFFF), F.lit(-1).cast("bigint")) for k in range(samples)])
     order = Window.partitionBy("bucket").orderBy("key")
