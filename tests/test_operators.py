@@ -78,3 +78,31 @@ def test_store(spark):
     assert got == {"a": "same", "b": "touched", "c": "modified", "d": "deleted", "e": "added"}
     mods = spark.createDataFrame([("a", "m", "f", True), ("a", "m", "f", False)], "path string, module string, family string, is_alias boolean")
     assert [r["is_alias"] for r in store.upsert_modules(mods).collect()] == [False]
+
+
+def test_tools(spark):
+    from symgraph.operators import tools
+    from symgraph.sources import star
+
+    nodes, links = star.nodes(spark, "/root/testdata/sf0.001"), star.edges(spark, "/root/testdata/sf0.001")
+    roots = tools.roots_of(nodes, "nation:3")
+    assert [tuple(r) for r in roots.collect()] == [("nation:3", "nation:3")]
+    text_ = tools.render(tools.impact_of(nodes, links, roots, 2), 300)
+    assert "omitted: " in text_ and sum(-(-len(x) // 4) + 1 for x in text_.split("\n")) <= 300 + 10
+    assert tools.search_symbols(nodes, "asia", limit=3).first()["name"] == "ASIA"
+    assert tools.overview(nodes, links, "ASIA")["kinds"].count() >= 2
+    assert tools.clamp(99, tools.DEPTHS, 1) == 6 and tools.clamp(None, tools.DEPTHS, 3) == 3
+
+
+def test_change_stream(spark, tmp_path):
+    """Bursts from a stream, once the watermark is past them, are those of the table."""
+    from symgraph.streaming.changes import sessions
+
+    rows = spark.createDataFrame([(1, 0), (1, 5), (1, 30), (2, 3), (2, 100_000)], "path bigint, s bigint").select("path", F.timestamp_seconds("s").alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    made = sessions(stream, "10 seconds", "1 second").writeStream.format("parquet").outputMode("append")
+    made.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["path"], r["changes"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 2), (1, 1), (2, 1)}
+    assert {(r["path"], r["changes"]) for r in sessions(rows, "10 seconds").collect()} == got | {(2, 1)}
