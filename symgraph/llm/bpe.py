@@ -36,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pre-tokens; tables grow with what has been read, up to ``most`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         self.ranks, self.most = ranks, most
         self.bytes_of = {v: k for k, v in ranks.items()}
         # trie nodes are numbers; token_at gives the token that ends in a node
@@ -208,7 +208,7 @@ class Decoder:
 class Codec:
     """A worker's transducer, decoder and pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 200_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 120_000):
         import regex
 
         ranks = load_ranks(path)
