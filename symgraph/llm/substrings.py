@@ -82,11 +82,10 @@ def _least(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _sent(pid: int, hashes: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Rows for the matchers, which divide the range of the (ordered) hashes."""
-    edges = np.array([((1 << 64) * k // buckets) for k in range(1, buckets)], dtype=U64)
-    cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
-    for k in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[k], cuts[k + 1]
-        yield int(k), pid, hashes[a:b].tobytes(), owners[a:b].tobytes()
+    of = ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
+    cuts = np.flatnonzero(np.diff(of, prepend=of[:1] + U64(1), append=of[-1:] + U64(1)))
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(of[a]), pid, hashes[a:b].tobytes(), owners[a:b].tobytes()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
