@@ -240,6 +240,15 @@ def _codec(path: str, pattern: str) -> Codec:
     return _WORKER[path, pattern]
 
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+def _decoder(path: str) -> Decoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder({v: k for k, v in load_ranks(path).items()})
+    return _DECODERS[path]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids, an array of int, of each row."""
 
@@ -255,16 +264,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids, their bytes ``data`` and whether these are whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        decoder = _decoder(ranks)
         for batch in batches:
             # a batch has whole documents; some of them at a time keeps the bytes bounded
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                made = [codec.decoder.whole(x) for x in part.column("ids").to_pylist()]
+                made = [decoder.whole(x) for x in part.column("ids").to_pylist()]
                 yield pa.record_batch(
                     [part.column("doc_id"), part.column("ids"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.bool_())],
                     names=["doc_id", "ids", "data", "whole"],

@@ -31,7 +31,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return done.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
