@@ -7,6 +7,10 @@ in any order and with the same result.  Thresholds are fences read from the sket
 the bulk of the group, so a group without outliers loses nothing.  Groups with fewer than
 ``min_rows`` documents use the sketch of all groups merged.
 
+Repeated words and lines are zero in most documents, so the quartiles of these ratios say nothing.
+Their fences come from the values above zero, if the group or else all groups merged have
+``MIN_VALUES`` of them; with fewer, the least distance from the median is all there is.
+
 Defined results: a null or empty text has no words and fails the base rules; null ``lang`` or
 ``source`` are groups like any other; rows with equal ``doc_id`` are judged one by one; an empty
 table gives an empty result; columns beyond doc_id, text, lang, source are passed through by
@@ -33,10 +37,14 @@ FENCES = {
     "repeat_ratio": ("high", 0.20),
     "dup_line_ratio": ("high", 0.50),
     "word_length_high": ("high", 4.0),
-    "word_length_low": ("low", 3.0),
+    "word_length_low": ("low", 0.75),
 }
 #: A fence stands this many times the distance from the median to the quartile beyond it.
 REACH = 6.0
+#: feature: (reach, least fence) among its values above zero
+TAILS = {"repeat_ratio": (6.0, 0.10), "dup_line_ratio": (3.5, 0.15)}
+#: Values above zero that a fence from them needs.
+MIN_VALUES = 50
 
 
 def _repeat_words(words: Column) -> Column:
@@ -144,6 +152,12 @@ def _quantiles(sketch: DataFrame, keys: list[str], at: tuple[float, ...] = (0.25
     )
 
 
+def _with_tails(sketch: DataFrame) -> DataFrame:
+    """``sketch`` and, as features of their own, the values above zero of the features in TAILS."""
+    above = sketch.filter(F.col("feature").isin(*TAILS) & (F.col("bucket") > -1_000_000))
+    return sketch.unionByName(above.withColumn("feature", F.concat("feature", F.lit("_tail"))))
+
+
 def _fences(quantiles: DataFrame, keys: list[str]) -> DataFrame:
     def fence(name: str) -> Column:
         side, least = FENCES[name]
@@ -154,18 +168,33 @@ def _fences(quantiles: DataFrame, keys: list[str]) -> DataFrame:
         edge = F.col("q50") + reach if side == "high" else F.col("q50") - reach
         return F.max(F.when(F.col("feature") == sketch, edge)).alias(name)
 
-    return quantiles.groupBy(*keys).agg(F.max("total").alias("rows"), *[fence(k) for k in FENCES])
+    def tail(name: str) -> Column:
+        reach, least = TAILS[name]
+        edge = F.greatest(F.col("q50") + reach * (F.col("q75") - F.col("q50")), F.lit(least))
+        enough = (F.col("feature") == f"{name}_tail") & (F.col("total") >= MIN_VALUES)
+        return F.max(F.when(enough, edge)).alias(f"{name}_tail")
+
+    return quantiles.groupBy(*keys).agg(
+        F.max("total").alias("rows"), *[fence(k) for k in FENCES], *[tail(k) for k in TAILS]
+    )
 
 
 def thresholds(measured: DataFrame, min_rows: int = 50) -> DataFrame:
     """A row for each (lang, source) with its fences; small groups get those of the merged sketch."""
     sketch = materialize(sketches(measured), "quality-sketch")
-    own = _fences(_quantiles(sketch, ["lang", "source"]), ["lang", "source"])
+    own = _fences(_quantiles(_with_tails(sketch), ["lang", "source"]), ["lang", "source"])
     merged = sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
-    whole = _fences(_quantiles(merged, []), []).select(*[F.col(k).alias(f"all_{k}") for k in FENCES])
-    picked = own.join(F.broadcast(whole)).select(
-        "lang", "source", *[F.when(F.col("rows") >= min_rows, F.col(k)).otherwise(F.col(f"all_{k}")).alias(k) for k in FENCES]
-    )
+    tails = [f"{k}_tail" for k in TAILS]
+    whole = _fences(_quantiles(_with_tails(merged), []), []).select(*[F.col(k).alias(f"all_{k}") for k in [*FENCES, *tails]])
+    enough = F.col("rows") >= min_rows
+
+    def chosen(name: str) -> Column:
+        fixed = F.when(enough, F.col(name)).otherwise(F.col(f"all_{name}"))
+        if name not in TAILS:
+            return fixed.alias(name)
+        return F.coalesce(F.when(enough, F.col(f"{name}_tail")), F.col(f"all_{name}_tail"), fixed).alias(name)
+
+    picked = own.join(F.broadcast(whole)).select("lang", "source", *[chosen(k) for k in FENCES])
     return materialize(picked, "quality-thresholds")
 
 
