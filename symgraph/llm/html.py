@@ -8,8 +8,8 @@ elements around a block; names are hidden from it at random in training, so that
 shapes and neighbours too.
 
 Defined results: a null or empty html has no text; unclosed and stray tags are allowed; scripts, styles,
-forms, comments and the head never are text; texts of any length are read whole; rows with equal ids are
-read one by one; an empty table gives an empty result; further columns are ignored.
+forms and comments never are text, nor is what a head may hold; texts of any length are read whole; rows with
+equal ids are read one by one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SILENT = frozenset("script style noscript template textarea select title head svg math iframe object button option".split())
+_RAW = frozenset("script style textarea title iframe".split())
+_SILENT = frozenset("noscript template select svg math object button option".split())
+_CELLS = frozenset("tbody td tfoot th thead tr".split())
+_ITEMS = frozenset("dd dt li".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = _BLOCKS - {"html", "body"}
 #: Words around a block that tell what it is, for the labels of the training sample.
@@ -49,6 +52,27 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _WORD = re.compile(r"[a-z]+")
 
 
+def _ends(silent: str, tag: str, closing: bool, inner: list[str], open_: list[tuple[str, tuple[str, ...]]]) -> bool:
+    """Whether a tag ends a silent element that it doesn't name: where its end tag may be left out, or is missing.
+
+    ``inner`` are the elements open inside it, which don't include ``tag`` if that is an end tag.
+    """
+    if closing:
+        return silent == "option" or any(t == tag for t, _ in open_)
+    if tag == "body":
+        return silent != "template"
+    if tag == silent:
+        return tag in ("select", "button", "option")
+    if silent in ("svg", "math"):
+        return tag in _BLOCKS and not any(t in ("foreignobject", "desc", "annotation-xml") for t in inner)
+    if tag in _CELLS and "table" not in inner:
+        return silent != "template" and any(t == "table" for t, _ in open_)
+    if silent == "option":
+        last = open_[-1][0] if open_ else ""
+        return tag == "optgroup" or (tag in _ITEMS and last in _ITEMS) or (tag in _CLOSES_P and last == "p")
+    return False
+
+
 class Block:
     """Text, the names of the open elements around it from the outside in, and its share of linked text."""
 
@@ -64,7 +88,7 @@ def blocks(source: str | None) -> list[Block]:
     open_: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     inside_link = linked = 0
-    silent, depth = "", 0
+    silent, inner = "", []
 
     def flush() -> None:
         nonlocal linked
@@ -82,25 +106,32 @@ def blocks(source: str | None) -> list[Block]:
             linked += len(text) if inside_link else 0
 
     at = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(source, at):
         take(source[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if silent:
-            if tag == silent:
-                depth += -1 if closing else 1
-                silent = silent if depth else ""
+        opened = not closing and not m[3].rstrip().endswith("/")
+        if tag in _RAW and opened:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            at = end.end() if end else len(source)
             continue
-        if tag in _SILENT and not closing and not m[3].rstrip().endswith("/"):
-            if tag in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-            else:
-                silent, depth = tag, 1
+        if silent:
+            if closing and tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
+            if closing and tag == silent:
+                silent = ""
+                continue
+            if not _ends(silent, tag, closing, inner, open_):
+                if opened and tag not in _VOID:
+                    inner.append(tag)
+                continue
+            silent = ""
+        if tag in _SILENT and opened:
+            silent, inner = tag, []
             continue
         if tag == "a":
             inside_link = 0 if closing else 1

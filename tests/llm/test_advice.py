@@ -1,6 +1,31 @@
 """Places where an operator once did less than its whole job."""
 
-from symgraph.llm import quality
+from symgraph.llm import html, quality
+
+
+# 4. html
+
+
+def test_blocks_after_silent_elements():
+    def texts(source):
+        return [(b.text, b.path) for b in html.blocks(source)]
+
+    after = [("menu", ("nav",)), ("Hello", ("article", "p"))]
+    rest = "<nav>menu</nav><article><p>Hello</p></article>"
+    assert texts("<script>var s = '<!--';</script>" + rest) == after
+    assert texts("<template><script>'</template><!--'</script>x</template>" + rest) == after
+    assert texts("<style>a</style foo>" + rest) == after
+    said = "<article><p>I don't know</p></article><p>it's</p>"
+    assert texts("<script>if(a<b){x=1} // it's</script>" + said) == [("I don't know", ("article", "p")), ("it's", ("p",))]
+    assert texts("<head><title>t</title><meta a>" + rest) == after
+    assert texts("<head><title>t</title><noscript><link a><body>" + rest) == [(x, ("body", *p)) for x, p in after]
+    assert texts("<select><option>a<option>b</select>" + rest) == after
+    assert texts("<datalist><option>a<option>b</datalist>" + rest) == after
+    assert texts("<div><button>a<button>b<p>c</p></div>" + rest) == after
+    assert texts("<div><object>a</div>" + rest) == after
+    assert texts("<svg><path d='1'/><g>a" + rest) == after
+    assert texts("<svg><foreignObject><p>a</p></foreignObject></svg>" + rest) == after
+    assert texts("<object><object>a</object><div>b</div></object>" + rest) == after
 
 
 # 10. quality rules
