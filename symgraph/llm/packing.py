@@ -44,48 +44,66 @@ class WordIds:
     """The ids of a text, as little-endian unsigned 32-bit values, put together from those of its words.
 
     The tokenizer drops white space and never joins across it, so words can be encoded one by one and
-    remembered.  ASCII letters are lowered, and a last full stop or comma after one is set apart, before
-    that: the tokenizer does the same, and fewer different words are left.
+    remembered.  ASCII words are lowered, and a last full stop or comma after a letter is set apart, before
+    that: the tokenizer does the same, and fewer different words are left.  Other words are left as they
+    are: a lowered letter can compose with a mark that its capital doesn't compose with.
+
+    With ``added``, the tokenizer's added tokens in a text have their own ids, as is the library's default.
     """
 
-    _LAST = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+    _LAST = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer.encode_special_tokens = True  # added tokens never get there: a lowered word may look like one
+        marks = {m.content.encode(): k for k, m in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, marks)) + b")") if marks else None
+        # no word begins with a space
+        self.added = {b" " + m: np.array([k], "<u4").tobytes() for m, k in marks.items()}
+        self.known: dict[bytes, bytes] = dict(self.added)
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if self.marks and self.marks.search(text):
+            parts = self.marks.split(text)
+            return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else self._plain(part))]
+        return self._plain(text)
+
+    def _plain(self, text: bytes) -> list[bytes]:
+        if text.isascii():
+            return self._LAST.sub(rb" \1", text.lower()).split()
+        return [w.lower() if w.isascii() else w for w in self._LAST.sub(rb" \1", text).split()]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [self._LAST.sub(rb" \1", t.lower()).split() for t in texts]
+        split = [self._words(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(self.added)
         new = list({w for words in split for w in words} - self.known.keys())
         found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
         self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-_WORKER: dict[str, WordIds] = {}
+_WORKER: dict[tuple[str, bool], WordIds] = {}
 
 
-def _ids(path: str) -> WordIds:
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+def _ids(path: str, added: bool) -> WordIds:
+    if (path, added) not in _WORKER:
+        _WORKER[path, added] = WordIds(path, added)
+    return _WORKER[path, added]
 
 
 _PIECE = "doc_id bigint, text_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """A row for each piece of at most CAPACITY tokens of each document."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ids(tokenizer)
+        encode = _ids(tokenizer, added)
         for batch in batches:
             for a, b in steps(batch.column("text")):
                 part = batch.slice(a, b - a)
@@ -182,11 +200,14 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
     return chosen
 
 
-def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
+def pack(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
+
+    ``added``: the tokenizer's added tokens in a text have their own ids, and aren't read as plain text.
+    """
     spark = docs.sparkSession
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = materialize(pieces(docs, tokenizer), "pieces")
+    made = materialize(pieces(docs, tokenizer, added), "pieces")
     classed = made.withColumn("cls", F.ceil(F.col("length") / UNIT).cast("int")).withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
     )
@@ -240,14 +261,14 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     parted = cut.filter("parted").groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("cuts")
     )
-    return packed.unionByName(cut.filter("NOT parted").select(columns)).unionByName(_recut(docs, parted, tokenizer))
+    return packed.unionByName(cut.filter("NOT parted").select(columns)).unionByName(_recut(docs, parted, tokenizer, added))
 
 
-def _recut(docs: DataFrame, parted: DataFrame, tokenizer: str) -> DataFrame:
+def _recut(docs: DataFrame, parted: DataFrame, tokenizer: str, added: bool) -> DataFrame:
     """Checksums of the parts of a cut piece; its document, one for each cut, is encoded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ids(tokenizer)
+        encode = _ids(tokenizer, added)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []

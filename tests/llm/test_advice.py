@@ -1,6 +1,46 @@
 """Places where an operator once did less than its whole job."""
 
-from symgraph.llm import html, quality
+import collections
+import zlib
+
+import numpy as np
+import public_tokenizers
+
+from symgraph.llm import html, packing, quality, queries
+
+# 2. packing
+
+IDS = [
+    "x <|endoftext|> y",
+    "A.<|endoftext|>,b<|startoftext|>Hello. <|EndOfText|> <|endoftext|",
+    "H\u0331 T\u0308. W\u030a Y\u030A, J\u030c H \u0331 \u00c9t\u00e9. NA\u00cfVE, It's \u0130\u03a3 E\u0301. A\u0308.\u0338 B",
+    "",
+]
+
+
+def untouched():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_ids_equal_those_of_an_untouched_tokenizer():
+    library, encode = untouched(), packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), added=True)
+    for text in IDS:
+        got = np.frombuffer(encode([text.encode()])[0], "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_query_has_the_ids_of_an_untouched_tokenizer(spark, tmp_path):
+    rows = list(enumerate(IDS))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = collections.Counter()
+    for k, text in rows:
+        ids = np.array(untouched().encode(text, add_special_tokens=False).ids + [packing.END], "<u4")
+        want[k, len(ids), zlib.crc32(ids.tobytes())] += 1
+    made = queries.op2_packing(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in made) == want
+
 
 
 # 4. html
