@@ -27,22 +27,25 @@ def strip(line: Column) -> Column:
 
 
 def join_bounded(
-    big: DataFrame, small: DataFrame, keys: list[str], rows: int = 50_000, salts: int = 64, how: str = "left"
+    big: DataFrame, small: DataFrame, keys: list[str], most: int = 50_000, salts: int = 64, how: str = "left", weight: Column | None = None
 ) -> DataFrame:
     """Left join of ``big`` with one row per key from ``small``, null keys being equal.
 
-    ``small`` must be materialised.  Up to ``rows`` rows (counted here) it is broadcast; beyond
-    that both sides are shuffled with a salt, so that a key that holds a third of ``big`` is
-    spread over ``salts`` tasks.
+    ``small`` must be materialised.  If its rows, or the sum of their ``weight`` where rows have no fixed
+    size, are at most ``most`` (counted here) it is broadcast; beyond that both sides are shuffled with a
+    salt, a hash of the whole row, so that a key that holds a third of ``big`` is spread over ``salts`` tasks.
     """
-    right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    names = [c for c in small.columns if c not in keys]
+    right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *names)
     on = None
     for k in keys:
         same = big[k].eqNullSafe(right[f"__{k}"])
         on = same if on is None else on & same
-    if small.limit(rows + 1).count() <= rows:
+    size = small.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    if size <= most:
         return big.join(F.broadcast(right), on, how).drop(*[f"__{k}" for k in keys])
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[big[c] for c in big.columns[:1]]), F.lit(salts)))
+    plain = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)))
     spread = right.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     on = salted["__salt"] == spread["__other"]
     for k in keys:

@@ -4,12 +4,13 @@ Base features come from whole texts, by columns only.  Each feature is then summ
 (lang, source) in a log-bucket quantile sketch: values fall in buckets of relative width
 ``GAMMA``, and a sketch is a table of (bucket, count), so that sketches merge by adding counts,
 in any order and with the same result.  Thresholds are fences read from the sketch, far beyond
-the bulk of the group, so a group without outliers loses nothing.  Groups with fewer than
-``min_rows`` documents use the sketch of all groups merged.
+the bulk of the group, so a group without outliers loses nothing.  Few documents say little, so a
+group's fence is a mean of its own and its language's, and a language's of its own and that of all
+documents; the wider sketch counts as much as ``PRIOR`` documents, at every size of the group.
 
 Repeated words and lines are zero in most documents, so the quartiles of these ratios say nothing.
-Their fences come from the values above zero, if the group or else all groups merged have
-``MIN_VALUES`` of them; with fewer, the least distance from the median is all there is.
+Their fences come from the values above zero, which are what is counted for the means; if there are
+none at all, the least distance from the median is all there is.
 
 Defined results: a null or empty text has no words and fails the base rules; null ``lang`` or
 ``source`` are groups like any other; rows with equal ``doc_id`` are judged one by one; an empty
@@ -43,8 +44,8 @@ FENCES = {
 REACH = 6.0
 #: feature: (reach, least fence) among its values above zero
 TAILS = {"repeat_ratio": (6.0, 0.10), "dup_line_ratio": (3.5, 0.15)}
-#: Values above zero that a fence from them needs.
-MIN_VALUES = 50
+#: How many documents the wider sketch counts as beside a group's own.
+PRIOR = 50
 
 
 def _repeat_words(words: Column) -> Column:
@@ -158,44 +159,47 @@ def _with_tails(sketch: DataFrame) -> DataFrame:
     return sketch.unionByName(above.withColumn("feature", F.concat("feature", F.lit("_tail"))))
 
 
-def _fences(quantiles: DataFrame, keys: list[str]) -> DataFrame:
-    def fence(name: str) -> Column:
-        side, least = FENCES[name]
-        sketch = "word_length_high" if name == "word_length_low" else name
-        reach = F.greatest(
-            REACH * ((F.col("q75") - F.col("q50")) if side == "high" else (F.col("q50") - F.col("q25"))), F.lit(least)
-        )
-        edge = F.col("q50") + reach if side == "high" else F.col("q50") - reach
-        return F.max(F.when(F.col("feature") == sketch, edge)).alias(name)
+def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group: a fence for each feature, and the number of values that it comes from as ``n_`` and its name."""
+    quantiles = _quantiles(_with_tails(sketch), keys)
 
-    def tail(name: str) -> Column:
-        reach, least = TAILS[name]
-        edge = F.greatest(F.col("q50") + reach * (F.col("q75") - F.col("q50")), F.lit(least))
-        enough = (F.col("feature") == f"{name}_tail") & (F.col("total") >= MIN_VALUES)
-        return F.max(F.when(enough, edge)).alias(f"{name}_tail")
+    def fence(name: str, part: str, side: str, reach: float, least: float, tail: bool = False) -> list[Column]:
+        spread = (F.col("q75") - F.col("q50")) if side == "high" else (F.col("q50") - F.col("q25"))
+        if tail:
+            edge = F.greatest(F.col("q50") + reach * spread, F.lit(least))
+        else:
+            away = F.greatest(reach * spread, F.lit(least))
+            edge = F.col("q50") + away if side == "high" else F.col("q50") - away
+        own = F.col("feature") == part
+        return [F.max(F.when(own, edge)).alias(name), F.coalesce(F.max(F.when(own, F.col("total"))), F.lit(0)).alias(f"n_{name}")]
+
+    columns = []
+    for name, (side, least) in FENCES.items():
+        columns += fence(name, "word_length_high" if name == "word_length_low" else name, side, REACH, least)
+    for name, (reach, least) in TAILS.items():
+        columns += fence(f"{name}_tail", f"{name}_tail", "high", reach, least, True)
+    return quantiles.groupBy(*keys).agg(*columns)
 
-    return quantiles.groupBy(*keys).agg(
-        F.max("total").alias("rows"), *[fence(k) for k in FENCES], *[tail(k) for k in TAILS]
-    )
 
+def _tempered(own: str, wider: Column) -> Column:
+    """The mean of a group's own fence and the wider one."""
+    n = F.col(f"n_{own}")
+    return (n * F.coalesce(F.col(own), F.lit(0.0)) + PRIOR * wider) / (n + PRIOR)
 
-def thresholds(measured: DataFrame, min_rows: int = 50) -> DataFrame:
-    """A row for each (lang, source) with its fences; small groups get those of the merged sketch."""
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """A row for each (lang, source) with its fences."""
     sketch = materialize(sketches(measured), "quality-sketch")
-    own = _fences(_quantiles(_with_tails(sketch), ["lang", "source"]), ["lang", "source"])
-    merged = sketch.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
-    tails = [f"{k}_tail" for k in TAILS]
-    whole = _fences(_quantiles(_with_tails(merged), []), []).select(*[F.col(k).alias(f"all_{k}") for k in [*FENCES, *tails]])
-    enough = F.col("rows") >= min_rows
+    tail_of = {k: f"{k}_tail" if k in TAILS else k for k in FENCES}
 
-    def chosen(name: str) -> Column:
-        fixed = F.when(enough, F.col(name)).otherwise(F.col(f"all_{name}"))
-        if name not in TAILS:
-            return fixed.alias(name)
-        return F.coalesce(F.when(enough, F.col(f"{name}_tail")), F.col(f"all_{name}_tail"), fixed).alias(name)
+    def merged(*keys: str) -> DataFrame:
+        return sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
 
-    picked = own.join(F.broadcast(whole)).select("lang", "source", *[chosen(k) for k in FENCES])
-    return materialize(picked, "quality-thresholds")
+    whole = _fences(merged(), []).select(*[F.coalesce(F.col(tail_of[k]), F.col(k)).alias(f"all_{k}") for k in FENCES])
+    langs = _fences(merged("lang"), ["lang"]).join(F.broadcast(whole))  # one row
+    langs = materialize(langs.select("lang", *[_tempered(tail_of[k], F.col(f"all_{k}")).alias(f"lang_{k}") for k in FENCES]), "quality-languages")
+    own = join_bounded(_fences(sketch, ["lang", "source"]), langs, ["lang"])
+    return materialize(own.select("lang", "source", *[_tempered(tail_of[k], F.col(f"lang_{k}")).alias(k) for k in FENCES]), "quality-thresholds")
 
 
 def _verdict(joined: DataFrame) -> DataFrame:
@@ -207,20 +211,19 @@ def _verdict(joined: DataFrame) -> DataFrame:
     return joined.withColumn("kept", fine).drop(*FENCES)
 
 
-def judge(docs: DataFrame, min_rows: int = 50) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """The base features and the verdict ``kept`` of each document."""
     measured = materialize(features(docs.select("doc_id", "text", "lang", "source")), "quality-features")
-    return _verdict(join_bounded(measured, thresholds(measured, min_rows), ["lang", "source"]))
+    return _verdict(join_bounded(measured, thresholds(measured), ["lang", "source"]))
 
 
-def filter_quality(docs: DataFrame, min_rows: int = 50) -> DataFrame:
+def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged.
 
-    Features are measured once for the sketches and again beside the texts: texts aren't shuffled.
+    Features are measured once and written beside their rows: texts aren't shuffled.
     """
     names = docs.columns
-    measured = materialize(features(docs.select("doc_id", "text", "lang", "source")), "quality-features")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "doc_id", "text", "lang", "source")
-    beside = features(whole, ["__row"])
-    kept = _verdict(join_bounded(beside, thresholds(measured, min_rows), ["lang", "source"])).filter("kept")
+    measured = materialize(features(whole, ["__row"]), "quality-features")
+    kept = _verdict(join_bounded(measured, thresholds(measured.drop("__row")), ["lang", "source"])).filter("kept")
     return kept.select(*[F.col("__row")[c].alias(c) for c in names])

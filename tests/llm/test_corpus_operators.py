@@ -257,8 +257,11 @@ def test_lines(spark, odd):
     rows = [(i, f"menu\nown text of page {i} goes on for a while\n menu2 " if i else "menu", None if i % 2 else "h") for i in range(40)]
     pages = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"]: (r["text"], r["__n_dropped"]) for r in lines.drop_boilerplate(pages).collect()}
-    assert got[0] == ("menu", 0)  # nothing else is left of it
+    assert got[0] == ("", 1)  # nothing else is left of it
     assert all(got[i] == (f"own text of page {i} goes on for a while", 2) for i in range(1, 40))
+    copies = spark.createDataFrame([(i, "copied\nwhole", "h") for i in range(30)], pages.select("doc_id", "text", "source").schema)
+    both = {r["doc_id"]: r["__n_dropped"] for r in lines.drop_boilerplate(pages.filter("source IS NOT NULL").union(copies)).collect()}
+    assert both[1] == 0  # one page, however often it is there
     small = {r["doc_id"]: r["__n_dropped"] for r in lines.drop_boilerplate(pages.filter("doc_id in (2, 4)")).collect()}
     assert small == {2: 0, 4: 0}
 
@@ -267,7 +270,7 @@ def test_join_beyond_the_bound(spark):
     big = spark.createDataFrame([(i, None if i % 3 else "k", i) for i in range(100)], "id bigint, k string, v bigint")
     few = spark.createDataFrame([(None, 1), ("k", 2)], "k string, w bigint")
     plain = sorted(map(tuple, native.join_bounded(big, few, ["k"]).collect()))
-    assert sorted(map(tuple, native.join_bounded(big, few, ["k"], rows=1, salts=8).collect())) == plain
+    assert sorted(map(tuple, native.join_bounded(big, few, ["k"], most=1, salts=8).collect())) == plain
     assert {(r[1], r[3]) for r in plain} == {(None, 1), ("k", 2)} if plain[0][1] is None else True
 
 
@@ -387,23 +390,43 @@ def test_quality_verdicts(documents):
         b = buckets[max(0, math.ceil(q * len(buckets)) - 1)]
         return 0.0 if b == -1_000_000 else 2 * quality.GAMMA**b / (quality.GAMMA + 1)
 
+    def fences(some):
+        found, out = sketch(some), {}
+        for name, (side, least) in quality.FENCES.items():
+            key = "word_length" if name.startswith("word_length") else name
+            buckets, n = found[key], len(some)
+            if name in quality.TAILS:
+                above = [b for b in buckets if b > -1_000_000]
+                if above:
+                    reach, floor = quality.TAILS[name]
+                    q = [quantile(above, x) for x in (0.5, 0.75)]
+                    out[name] = len(above), max(q[0] + reach * (q[1] - q[0]), floor)
+                    continue
+                n = 0
+            q = [quantile(buckets, x) for x in (0.25, 0.5, 0.75)]
+            out[name] = n, q[1] + max(quality.REACH * (q[2] - q[1]), least) if side == "high" else q[1] - max(quality.REACH * (q[1] - q[0]), least)
+        return out
+
+    def tempered(own, wider):
+        return {k: (n * v + quality.PRIOR * wider[k]) / (n + quality.PRIOR) for k, (n, v) in own.items()}
+
     past = [r for r in rows if not r["base_failed"]]
-    groups = collections.defaultdict(list)
+    langs, groups = collections.defaultdict(list), collections.defaultdict(list)
     for r in past:
+        langs[r["lang"]].append(r)
         groups[r["lang"], r["source"]].append(r)
+    whole = {k: v for k, (_, v) in fences(past).items()}
+    of_lang = {k: tempered(fences(some), whole) for k, some in langs.items()}
+    of = {k: tempered(fences(some), of_lang[k[0]]) for k, some in groups.items()}
     want = {}
     for r in rows:
-        some = groups[r["lang"], r["source"]]
-        found, ok = sketch(some if len(some) >= 5 else past), not r["base_failed"]
-        for name, (side, least) in quality.FENCES.items():
+        ok = not r["base_failed"]
+        for name, (side, _) in quality.FENCES.items() if ok else ():
             key = "word_length" if name.startswith("word_length") else name
-            q = [quantile(found[key], x) for x in (0.25, 0.5, 0.75)]
-            if side == "high":
-                ok = ok and values(r)[key] <= q[1] + max(quality.REACH * (q[2] - q[1]), least)
-            else:
-                ok = ok and values(r)[key] >= q[1] - max(quality.REACH * (q[1] - q[0]), least)
+            fence = of[r["lang"], r["source"]][name]
+            ok = ok and (values(r)[key] <= fence if side == "high" else values(r)[key] >= fence)
         want[r["doc_id"]] = ok
-    assert {r["doc_id"]: r["kept"] for r in quality.judge(documents, 5).collect()} == want
+    assert {r["doc_id"]: r["kept"] for r in quality.judge(documents).collect()} == want
 
 
 # the pipeline
