@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -112,11 +114,13 @@ QUERIES = {
 _LINES = r"""
 WITH lined AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+), own AS (
+  SELECT DISTINCT source, text, ls FROM lined
 ), marks AS (
-  SELECT DISTINCT doc_id, source, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
-  FROM (SELECT doc_id, source, unnest(ls) AS l FROM lined)
+  SELECT DISTINCT source, text, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT source, text, unnest(ls) AS l FROM own)
 ), totals AS (
-  SELECT source, count(*) AS total FROM documents GROUP BY source
+  SELECT source, count(*) AS total FROM own GROUP BY source
 ), bad AS (
   SELECT m.source, m.line FROM marks m JOIN totals t ON m.source IS NOT DISTINCT FROM t.source
   WHERE m.line <> '' GROUP BY m.source, m.line, t.total HAVING count(*) >= 5 AND count(*) > 0.02 * t.total
@@ -124,18 +128,12 @@ WITH lined AS (
   SELECT source, list(line) AS bads FROM bad GROUP BY source
 ), cut AS (
   SELECT d.doc_id, d.source, d.text, d.ls,
-         list_filter(d.ls, lambda l: NOT list_contains(coalesce(g.bads, []), trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS ks
+         list_filter(d.ls, lambda l: NOT list_contains(coalesce(g.bads, []), trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
   FROM lined d LEFT JOIN grouped g ON d.source IS NOT DISTINCT FROM g.source
-), sized AS (
-  SELECT *, coalesce(list_sum(list_transform(ls, lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS a,
-            coalesce(list_sum(list_transform(ks, lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))), 0) AS k
-  FROM cut
-), final AS (
-  SELECT doc_id, source, ls, CASE WHEN a - k > 0.5 * a THEN ls ELSE ks END AS kept FROM sized
 )
-SELECT doc_id, source, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped,
+SELECT doc_id, source, CAST(coalesce(len(ls), 1) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped,
        CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS kept_chars, sha256(array_to_string(kept, chr(10))) AS kept_sha256
-FROM final
+FROM cut
 """
 
 _SUBSTRINGS = r"""
@@ -168,6 +166,112 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, p.digest AS payload_diges
 FROM p LEFT JOIN k ON p.digest = k.digest
 """
 
+
+#: Similar pairs by all shared shingles, and the least id that a document is linked with.
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+), bags AS (
+  SELECT doc_id, sh, count(*) AS n FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS sh
+    FROM w WHERE len(ws) > 0
+  ) GROUP BY doc_id, sh
+), sizes AS (
+  SELECT doc_id, sum(n) AS total FROM bags GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS low FROM bags a JOIN bags b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 10 * low >= 8 * (p.total + q.total - low)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT DISTINCT doc_id AS id, doc_id AS least FROM w
+  UNION SELECT ways.y, least FROM reach JOIN ways ON ways.x = reach.id
+), least_of AS (
+  SELECT id, min(least) AS class_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, class_id FROM documents d LEFT JOIN least_of ON id = d.doc_id
+"""
+
+
+def _quality_sql() -> str:
+    """Base features of whole texts; log-bucket sketches by language and source; fences; verdicts."""
+    n, chars = "greatest(n_words, 1)", "CAST(word_chars AS DOUBLE)"
+    values = {
+        "symbol_ratio": f"CAST(n_symbols AS DOUBLE) / {n}",
+        "repeat_ratio": f"CAST(n_repeat_words AS DOUBLE) / {n}",
+        "dup_line_ratio": "CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1)",
+        "word_length_high": f"{chars} / {n}",
+        "word_length_low": f"{chars} / {n}",
+    }
+    fence, own, kept = [], [], []
+    for name, (side, least) in quality.FENCES.items():
+        part = "word_length_high" if name == "word_length_low" else name
+        reach, spread = quality.REACH, "(q75 - q50)" if side == "high" else "(q50 - q25)"
+        edge = f"q50 {'+' if side == 'high' else '-'} greatest({reach:e} * {spread}, {least:e})"
+        fence.append(f"max(CASE WHEN feature = '{part}' THEN {edge} END) AS {name}, coalesce(max(CASE WHEN feature = '{part}' THEN total END), 0) AS n_{name}")
+        own.append(f"{name}_tail" if name in quality.TAILS else name)
+        kept.append(f"{values[name]} {'<=' if side == 'high' else '>='} f.{name}")
+    for name, (reach, least) in quality.TAILS.items():
+        edge = f"greatest(q50 + {reach:e} * (q75 - q50), {least:e})"
+        fence.append(f"max(CASE WHEN feature = '{name}_tail' THEN {edge} END) AS {name}_tail, coalesce(max(CASE WHEN feature = '{name}_tail' THEN total END), 0) AS n_{name}_tail")
+    names = list(quality.FENCES)
+
+    def level(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        group = f"GROUP BY {keys}" if keys else ""
+        return f"""(
+          SELECT {by}{', '.join(fence)} FROM (
+            SELECT {by}feature, max(total) AS total, {', '.join(f"min(CASE WHEN upto >= {q:e} * total THEN value END) AS q{round(100 * q)}" for q in (0.25, 0.5, 0.75))} FROM (
+              SELECT {by}feature, sum(n) OVER (PARTITION BY {by}feature) AS total, sum(n) OVER (PARTITION BY {by}feature ORDER BY bucket) AS upto,
+                     CASE WHEN bucket = -1000000 THEN 0e0 ELSE 2 * pow({quality.GAMMA:e}, CAST(bucket AS DOUBLE)) / {quality.GAMMA + 1:e} END AS value
+              FROM (SELECT {by}feature, bucket, sum(n) AS n FROM tailed GROUP BY {by}feature, bucket)
+            ) GROUP BY {by}feature
+          ) {group}
+        )"""
+
+    def tempered(k: str, wider: str) -> str:
+        return f"(n_{k} * coalesce({k}, 0e0) + {quality.PRIOR} * {wider}) / (n_{k} + {quality.PRIOR})"
+
+    sketched = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {v} AS v FROM measured WHERE NOT base_failed" for k, v in values.items() if k != "word_length_low")
+    tails = ", ".join(f"'{k}'" for k in quality.TAILS)
+    return rf"""
+    WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+    w AS (
+      SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls FROM t
+    ), wins AS (
+      SELECT rid, i, list_slice(ws, i, i + 4) AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)
+    ), twice AS (
+      SELECT rid, win FROM wins GROUP BY rid, win HAVING count(*) > 1
+    ), covered AS (
+      SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM wins JOIN twice USING (rid, win)) GROUP BY rid
+    ), measured AS (
+      SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(ws) < 10 OR 100 * coalesce(n, 0) > 20 * len(ws) AS base_failed
+      FROM w LEFT JOIN covered USING (rid)
+    ), sketch AS (
+      SELECT lang, source, feature, CASE WHEN v < 1e-6 THEN -1000000 ELSE CAST(ceil(ln(v) / {math.log(quality.GAMMA)!r}::DOUBLE) AS BIGINT) END AS bucket, count(*) AS n
+      FROM ({sketched}) GROUP BY ALL
+    ), tailed AS (
+      SELECT * FROM sketch UNION ALL SELECT lang, source, feature || '_tail', bucket, n FROM sketch WHERE feature IN ({tails}) AND bucket > -1000000
+    ), whole AS (SELECT {', '.join(f"coalesce({o}, {k}) AS all_{k}" for k, o in zip(names, own))} FROM {level('')}),
+    langs AS (SELECT lang, {', '.join(f"{tempered(o, f'all_{k}')} AS lang_{k}" for k, o in zip(names, own))} FROM {level('lang')} CROSS JOIN whole),
+    fences AS (
+      SELECT o.lang, o.source, {', '.join(f"{tempered(o, f'lang_{k}')} AS {k}" for k, o in zip(names, own))}
+      FROM {level('lang, source')} o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang
+    )
+    SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND {' AND '.join(f"coalesce({k}, true)" for k in kept)} AS kept
+    FROM measured m LEFT JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+    """
+
+
 ORACLES = {
+    "op8_bagminhash": _NEAR,
+    "op10_quality_rules": _quality_sql(),
     "op5_warc_bundles": _WARC,
     "op1_substring_dedup": _SUBSTRINGS, "op7_line_dedup": _LINES}
