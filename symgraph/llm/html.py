@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that are trained on, in expectation.
+#: Pages that are trained on at most.
 TRAIN_PAGES = 300
 PATH_DIMS, WORD_DIMS, HIDDEN = 64, 32, 16
 INPUTS = PATH_DIMS + WORD_DIMS + 4
@@ -47,7 +47,8 @@ _OTHER = frozenset(
     "nav header footer aside form dialog ad ads advert advertisement banner sidebar menu comment comments reply cookie consent notice "
     "promo sponsored share social related breadcrumb newsletter subscribe login popup widget toolbar pagination".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes count in a tag only after an equals sign; possessive, so that a tag without an end costs one pass.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -279,13 +280,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Labeller:
-    """Fits the labeller on about ``sample`` pages, chosen by a hash of the id."""
+    """Fits the labeller on ``sample`` different pages, or on all if there are fewer: those of the least hashes."""
+    marked = pages.select(F.xxhash64("page_id", "url", "html").alias("h"), "html")
     n = pages.count()
-    if not n:
-        return Labeller()
-    unit = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 11) / F.lit(float(1 << 53))
-    chosen = pages.filter(unit < min(1.0, sample / n)).select(F.xxhash64("page_id", "url").alias("h"), "html").collect()
-    found = [blocks(r["html"]) for r in sorted(chosen, key=lambda r: (r["h"], r["html"] or ""))]
+    # twice as many as are needed, in expectation, so that a partition sorts a few pages only
+    below = int(min(1.0, 2 * sample / max(n, 1)) * (1 << 63)) - 1
+    near = marked.filter(F.col("h").bitwiseAND(F.lit((1 << 63) - 1)) <= below)
+    chosen = near.dropDuplicates(["h"]).orderBy("h").limit(sample).collect() or marked.orderBy("h").limit(1).collect()
+    found = [blocks(r["html"]) for r in chosen]
     return Labeller().fit([p for p in found if p])
 
 

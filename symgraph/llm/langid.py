@@ -3,8 +3,9 @@
 Texts become letters in lower case with single spaces between runs of them; their one- to three-grams
 are hashed to ``FEATURES`` buckets and weighted by TF-IDF.  Document frequencies come from all training
 documents.  The regression is trained by follow-the-regularised-leader with elastic-net penalties on a
-bounded sample, about ``PER_LANGUAGE`` documents of each language, chosen by a hash of the id; a fifth of
-it is held back and sets the temperature that calibrates the scores.
+bounded sample, at most ``PER_LANGUAGE`` different documents of each language, those of the least hashes;
+a fifth of it is held back and sets the temperature that calibrates the scores.  The model has a column
+for each language, so the driver needs memory in proportion to their number.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text if
 there is nothing to learn from; rows with a null lang or id aren't learnt from; rows with equal ids are
@@ -19,10 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .scratch import materialize
 
 FEATURES = 1 << 14
 LONGEST = 3
-#: Documents of each language that are trained on, in expectation.
+#: Documents of each language that are trained on at most.
 PER_LANGUAGE = 600
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 PASSES = 3
@@ -87,13 +91,16 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(rows: DataFrame, per_language: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """(id hash, language, buckets, counts) of the training sample."""
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(200).collect()}
-    if not sizes:
-        return []
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    chosen = rows.filter(unit < share[F.col("lang")]).select(F.xxhash64("doc_id").alias("h"), "lang", "text")
+    """(hash, language, buckets, counts) of the training sample."""
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    marked = rows.withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    # twice as many as are needed, in expectation; of these, different ones are ranked without their texts
+    some = marked.join(F.broadcast(sizes), "lang").filter(unit < 2.0 * per_language / F.col("n"))  # a row for each language
+    ranked = some.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    wanted = materialize(ranked.filter(F.col("k") <= per_language).select("h", F.col("lang").alias("l")), "language-sample")
+    chosen = marked.join(F.broadcast(wanted), (F.col("lang") == F.col("l")) & (marked["h"] == wanted["h"]))
+    chosen = chosen.select(marked["h"], "lang", "text").dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,8 @@ on cover places.  As ANCHOR + PERIOD - 1 = WINDOW, two equal windows share an al
    the least document of each window is found;
 3. each document drops what its smaller-id windows cover.
 
-Documents are dealt to buckets of bounded size by a hash of the id.  Inside a bucket anchors and
+Documents are dealt to buckets of bounded size by a hash of id, text and file split, so that neither null
+or repeated ids nor copies meet in one.  Inside a bucket anchors and
 windows are made distinct before they are sent, and answers go to buckets, not to documents: a
 passage that a third of all documents share costs a row per bucket.  The three passes read the same
 exchange of the texts.
@@ -41,8 +42,8 @@ PERIOD = 31
 #: A perfect difference set modulo 31.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Text in a bucket, which is held in a task's memory.
-BUCKET_BYTES = 24 << 20
+#: Text in a bucket, which is held in a task's memory, and buckets for each shuffle partition at least.
+BUCKET_BYTES, BUCKETS = 24 << 20, 4
 
 _BLOBS = pa.schema([("bucket", pa.int64()), ("pid", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary())])
 _REPLY = pa.schema([("pid", pa.int64()), ("hashes", pa.binary())])
@@ -113,14 +114,16 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     """
     spark, names = docs.sparkSession, docs.columns
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(BUCKETS * partitions, -(-total // bucket_bytes))
+    matchers = max(partitions, n // BUCKETS)
     others = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in names if c != "text"])
     held = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("pid"),
+        F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(n)).alias("pid"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").alias("__text"),
         others.alias("__row"),
-    ).repartition(n, "pid")
+    ).repartition(max(partitions, n // BUCKETS), "pid")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -139,7 +142,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
         for pid, parts in found.items():
             hashes, _, twice = _least(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             if len(hashes):
-                yield _batch(list(_sent(pid, hashes, twice.astype(np.uint8), n)), _BLOBS)
+                yield _batch(list(_sent(pid, hashes, twice.astype(np.uint8), matchers)), _BLOBS)
 
     def shared(table: pa.Table) -> pa.Table:
         """Anchors in two buckets, or twice in one: told to each bucket that has them."""
@@ -179,7 +182,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
         rows = []
         if found:
             hashes, least, _ = _least(np.concatenate(found), np.concatenate(owners))
-            rows = list(_sent(key[0].as_py(), hashes, least, n))
+            rows = list(_sent(key[0].as_py(), hashes, least, matchers))
         return pa.Table.from_batches([_batch(rows, _BLOBS)] if rows else [], schema=_BLOBS)
 
     def owned(table: pa.Table) -> pa.Table:

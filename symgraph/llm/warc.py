@@ -128,10 +128,26 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
 
 def frame(data: bytes, number: int) -> bytes:
     """One frame of a bundle, unpacked; nothing else of it is."""
+    start, packed, raw = seek_table(data)[number]
+    return _unpacked(data[start : start + packed], raw)
+
+
+def _unpacked(packed: bytes, size: int) -> bytes:
     import zstandard
 
-    start, packed, raw = seek_table(data)[number]
-    return zstandard.ZstdDecompressor().decompress(data[start : start + packed], max_output_size=raw)
+    return zstandard.ZstdDecompressor().decompress(packed, max_output_size=size)
+
+
+def frames(file, size: int, wanted: list[int]) -> Iterator[bytes]:
+    """Frames of an open bundle of ``size`` bytes; its seek table and these frames are read, and nothing else."""
+    file.seek(size - 9)
+    count, _, _ = struct.unpack("<IBI", file.read(9))
+    file.seek(size - 9 - 8 * count)
+    table = seek_table(file.read(8 * count + 9))
+    for number in wanted:
+        start, packed, raw = table[number]
+        file.seek(start)
+        yield _unpacked(file.read(packed), raw)
 
 
 def read_record(data: bytes, number: int, offset: int) -> tuple[dict[str, str], bytes]:
@@ -201,33 +217,36 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> tu
 def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each record in the bundles.
 
-    Payloads that are there are hashed, and must have the digest that their record states.
+    Tasks open the bundles that the index names and read the frames that it names.  Payloads that are there
+    are hashed, and must have the digest that their record states.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column("content"):
-                data = content.as_py()
-                for number in range(len(seek_table(data))):
-                    rows = []
-                    for headers, block in parse(frame(data, number)):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        size = int(http.split(b"Content-Length: ")[1])
-                        kind = headers["WARC-Type"]
-                        if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                            raise ValueError(f"{headers['WARC-Record-ID']}: the payload isn't what was written")
-                        refers = headers.get("WARC-Refers-To")
-                        rows.append((page_of(headers["WARC-Record-ID"]), size, digest, kind, refers and page_of(refers)))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+            for bundle, wanted in zip(batch.column("bundle").to_pylist(), batch.column("frames").to_pylist()):
+                path = f"{root}/{bundle}"
+                with store.open_input_file(path) as file:
+                    for data in frames(file, file.size(), sorted(wanted)):
+                        rows = []
+                        for headers, block in parse(data):
+                            http, _, payload = block.partition(b"\r\n\r\n")
+                            digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                            size = int(http.split(b"Content-Length: ")[1])
+                            kind = headers["WARC-Type"]
+                            if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                                raise ValueError(f"{headers['WARC-Record-ID']}: the payload isn't what was written")
+                            refers = headers.get("WARC-Refers-To")
+                            rows.append((page_of(headers["WARC-Record-ID"]), size, digest, kind, refers and page_of(refers)))
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    if index.isEmpty():
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    named = index.select("bundle").distinct()
-    found = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(named, "bundle", "left_semi")
-    return found.select("content").mapInArrow(run, schema)
+    # a bundle's frames are few, as its size is bounded; names and numbers are all that is shuffled
+    named = index.groupBy("bundle").agg(F.collect_set("frame").alias("frames"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(tasks, "bundle").mapInArrow(run, schema)
