@@ -18,7 +18,7 @@ def session(app: str = "symgraph", cpus: int | str | None = None) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
     )
     if not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(f"local[{n}]").config("spark.driver.memory", "8g").config(
+        builder = builder.master(f"local[{n}]").config("spark.driver.memory", "6g").config(
             "spark.sql.shuffle.partitions", "16" if n == "*" else str(2 * int(n))
         )
     return builder.getOrCreate()
