@@ -1,54 +1,8 @@
-"""Tables written between jobs, in the folder that the cluster shares.
-
-``materialize`` cuts lineage with a Parquet table, so that a lost executor costs a
-re-read and not a recomputation.  The folder is ``spark.checkpoint.dir`` of the session;
-only where that is unset (tests, notebooks) a local folder is made.
-"""
+"""Tables written between the jobs of an operator; see ``symgraph.tables``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: dict[str, str] = {}
-_OPEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a path that Spark understands."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _FALLBACK:
-        _FALLBACK[key] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _FALLBACK[key]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/symgraph/{name}-{uuid.uuid4().hex}"
-    _OPEN.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns the table read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Deletes the tables written so far.
+from ..tables import kept as materialize
+from ..tables import new_path, release, scope, shared_dir
 
-    For callers that have written their own results already, such as the pipeline between
-    its stages: what a stage wrote for itself isn't needed once its output is stored.
-    """
-    while _OPEN:
-        spark, path = _OPEN.pop()
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["materialize", "new_path", "release", "scope", "shared_dir"]
