@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bare_identifier, looks_like_sql
+
 # For each language, (kind, pattern with the name in the first group).
 DEFINITIONS = {
     "python": (("class", r"^\s*class\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=")),
@@ -80,8 +82,14 @@ def calls(files: DataFrame) -> DataFrame:
     return calls_.filter(~F.col("name").isin(*_NO_CALL) & ~defined).select("path", "lang", "qualifier", "name", "line")
 
 
+#: The place of a table's name in a statement.
+_TABLE = r"(?i)\b(?:from|join|insert\s+into|update|delete\s+from)\s+([`\"\[]?[A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?[`\"\]]?)"
+# Words in the place of a table that aren't one.
+_NO_TABLE = ("select", "where", "dual", "values", "set", "lateral", "unnest", "only", "table", "generate_series")
+
+
 def tables_in_text(text: Column) -> Column:
-    """Tables named after from, join, into, update and delete in an embedded statement, distinct, in lower case."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:from|join|into|update)\s+([A-Za-z_][\w.]*)"), F.lit(1))
-    bare = F.transform(found, lambda t: F.lower(F.element_at(F.split(t, "[.]"), -1)))
-    return F.array_except(F.filter(F.array_distinct(bare), lambda t: F.length(t) >= 2), F.array(*[F.lit(w) for w in ("select", "where", "set", "values", "only", "lateral", "unnest")]))
+    """Tables that an embedded statement names, each once, without schema and in lower case; of other texts none."""
+    bare = F.transform(F.regexp_extract_all(text, F.lit(_TABLE), F.lit(1)), bare_identifier)
+    found = F.array_except(F.filter(F.array_distinct(bare), lambda t: F.length(t) >= 2), F.array(*[F.lit(w) for w in _NO_TABLE]))
+    return F.when(looks_like_sql(text), found).otherwise(F.array().cast("array<string>"))

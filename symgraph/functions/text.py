@@ -48,6 +48,34 @@ def duration(ms: Column) -> Column:
     )
 
 
+def count(n: Column) -> Column:
+    """A number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def count_phrase(n: Column, noun: str | Column) -> Column:
+    """``3 files``: a number and its noun."""
+    return F.concat(count(n), F.lit(" "), plural(n, F.lit(noun) if isinstance(noun, str) else noun))
+
+
+def day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def unquote(literal: Column) -> Column:
+    """What a string literal holds: without a prefix of up to two letters and the quotes around it."""
+    bare = F.regexp_replace(F.trim(literal), "^[rRuUbBfFlL]{0,2}(?=[\"'`])", "")
+    return F.when(
+        bare.rlike("(?s)^(\"\"\"|'''|`|\"|').*\\1$") & (F.length(bare) > 1), F.regexp_extract(bare, "(?s)^(\"\"\"|'''|`|\"|')(.*)\\1$", 2)
+    ).otherwise(bare)
+
+
+def join_route(*parts: Column) -> Column:
+    """Segments of a route put together, with one slash before each."""
+    segments = F.filter(F.split(F.concat_ws("/", *parts), "/"), lambda x: x != "")
+    return F.concat(F.lit("/"), F.array_join(segments, "/"))
+
+
 def dirname(path: Column) -> Column:
     """What is before the last slash; of a path without one, nothing."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
@@ -86,9 +114,15 @@ def looks_constant(name: Column) -> Column:
     return name.rlike("^[A-Z][A-Z0-9_]*$") & (F.length(name) > 1)
 
 
+def clean_doc(comment: Column) -> Column:
+    """A comment's lines without the marks that make it one."""
+    lines = F.transform(F.split(comment, r"\r?\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*(?:/\*+|\*+/|\*|///?!?|#+|--)\s?", ""), r"\s*\*+/\s*$", ""))
+    return F.array_join(lines, "\n")
+
+
 def first_paragraph(doc: Column, most: int = 200) -> Column:
-    """The lines up to the first blank one, squashed and cut; nothing if they hold no letter or digit."""
-    para = squash(F.element_at(F.split(F.regexp_replace(doc, r"^\s+", ""), r"\n[ \t]*\n"), 1))
+    """The lines up to the first blank one or tag, squashed and cut; nothing if they hold no letter or digit."""
+    para = squash(F.element_at(F.split(F.regexp_replace(doc, r"^\s+", ""), r"\n[ \t]*\n|(?:^|\n)[ \t]*[@\\\\][A-Za-z]"), 1))
     return F.when(para.rlike("[\\p{L}\\p{N}]"), truncate(para, most))
 
 
@@ -99,6 +133,14 @@ def split_qualified(name: Column) -> Column:
     )
 
 
+#: What a statement that names tables has.
+_STATEMENT = r"(?i)\b(select|insert\s+into|update|delete\s+from|create\s+table|join)\b"
+
+
+def looks_like_sql(text: Column) -> Column:
+    return (F.length(text) > 12) & text.rlike(_STATEMENT)
+
+
 def bare_identifier(name: Column) -> Column:
     """A SQL name without quotes and schema, in lower case."""
     return F.lower(F.trim(F.translate(F.element_at(F.split(name, "[.]"), -1), "\"`[]", "")))
