@@ -2,48 +2,75 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import fuzzy_millis
 from ..schemas import KIND_ORDER, rank_in
 
-RUNGS = ("id", "qualified", "name", "dotted", "last_segment", "any_case")
+RUNGS = ("id", "in_file", "qualified", "name", "dotted", "last_segment", "any_case")
+#: A file's name with its extension, a colon and a symbol.
+_PAIR = r"^(.+\.[a-zA-Z]+):([A-Za-z_][\w.]*)$"
 
 
 def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, rung, id): the symbols of the first rung that has any, for each q of ``names``.
 
-    All rungs are equality joins on a key that is worked out from q, so a batch of names costs one
-    pass over the nodes; the least rung of each q is kept.
+    Rungs: an id, which has three colons at least; a symbol of a file, as file:name; a qualified name; a
+    name; a name behind a module, with as few leading parts peeled off as fit, whose file's module has them
+    (``module`` of ``nodes``, the path where there is none); the last segment; a name in any case.  All are
+    equality joins on a key that is worked out from q, so a batch of names costs one pass over the nodes.
     """
-    q = names.select("q").distinct()
+    q = names.select(F.trim("q").alias("q")).filter("q <> ''").distinct()
     parts = F.split("q", "[.]")
-    dotted = F.size(parts) > 1
-    keys = F.array_compact(
+    n = F.size(parts)
+    rung = lambda k, key, pos=None, head=None: F.struct(
+        F.lit(k).alias("rung"), (F.lit(0) if pos is None else pos).alias("pos"), (F.lit("") if head is None else head).alias("head"), key.alias("key")
+    )
+    peeled = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: rung(4, F.array_join(F.slice(parts, i + 1, n), "."), i, F.array_join(F.slice(parts, F.lit(1), i), ".")),
+    )
+    plain = F.array_compact(
         F.array(
-            F.when(F.size(F.split("q", ":")) >= 2, F.struct(F.lit(0).alias("rung"), F.col("q").alias("key"))),
-            F.struct(F.lit(1).alias("rung"), F.col("q").alias("key")),
-            F.struct(F.lit(2).alias("rung"), F.col("q").alias("key")),
-            F.when(dotted, F.struct(F.lit(3).alias("rung"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ".").alias("key"))),
-            F.when(dotted, F.struct(F.lit(4).alias("rung"), F.element_at(parts, -1).alias("key"))),
-            F.struct(F.lit(5).alias("rung"), F.lower("q").alias("key")),
+            F.when(F.size(F.split("q", ":")) >= 4, rung(0, F.col("q"))),
+            F.when(F.col("q").rlike(_PAIR), rung(1, F.concat(F.regexp_extract("q", _PAIR, 1), F.lit("\n"), F.regexp_extract("q", _PAIR, 2)))),
+            rung(2, F.col("q")),
+            rung(3, F.col("q")),
+            F.when(n > 1, rung(5, F.element_at(parts, -1))),
+            rung(6, F.lower("q")),
         )
     )
-    tried = q.select("q", parts[0].alias("head"), F.explode(keys).alias("k")).select("q", "head", "k.rung", "k.key")
-    facts = F.array(
-        F.struct(F.lit(0).alias("rung"), F.col("id").alias("key")),
-        F.struct(F.lit(1).alias("rung"), F.col("qualified").alias("key")),
-        F.struct(F.lit(2).alias("rung"), F.col("name").alias("key")),
-        F.struct(F.lit(3).alias("rung"), F.col("name").alias("key")),
-        F.struct(F.lit(4).alias("rung"), F.col("name").alias("key")),
-        F.struct(F.lit(5).alias("rung"), F.lower("name").alias("key")),
+    keys = F.when(n > 1, F.concat(plain, peeled)).otherwise(plain)
+    tried = q.select("q", F.explode(keys).alias("k")).select("q", "k.*")
+    if "module" not in nodes.columns:
+        nodes = nodes.withColumn("module", F.col("path"))
+    fact = lambda k, key: F.struct(F.lit(k).alias("rung"), key.alias("key"))
+    in_file = lambda name: F.concat("path", F.lit("\n"), name)
+    facts = F.array_distinct(
+        F.array(
+            fact(0, F.col("id")), fact(1, in_file("name")), fact(1, in_file("qualified")), fact(2, F.col("qualified")), fact(3, F.col("name")),
+            fact(4, F.col("qualified")), fact(4, F.col("name")), fact(5, F.col("name")), fact(6, F.lower("name")),
+        )
     )
-    known = nodes.select("id", "path", F.explode(facts).alias("k")).select("id", "path", "k.rung", "k.key")
-    found = tried.join(known, ["rung", "key"]).filter((F.col("rung") != 3) | F.contains("path", "head"))
-    first = found.withColumn("least", F.min("rung").over(Window.partitionBy("q"))).filter("rung = least")
-    return first.select("q", F.array(*[F.lit(r) for r in RUNGS])[F.col("rung")].alias("rung"), "id").distinct()
+    known = nodes.select("id", "module", F.explode(facts).alias("f")).select("id", "module", "f.rung", "f.key")
+    found = tried.join(known, ["rung", "key"]).filter((F.col("rung") != 4) | F.contains("module", "head"))
+    least = found.groupBy("q").agg(F.min(F.struct("rung", "pos")).alias("first"))
+    first = found.join(least, "q").filter((F.col("rung") == F.col("first.rung")) & (F.col("pos") == F.col("first.pos")))
+    return first.select("q", F.element_at(F.array(*[F.lit(r) for r in RUNGS]), F.col("rung") + 1).alias("rung"), "id").distinct()
+
+
+def fuzzy(nodes: DataFrame, query: str, limit: int = 12, kind: str | None = None, lang: str | None = None) -> DataFrame:
+    """The best fuzzy hits of one name (a top-k report)."""
+    return search(nodes, query, kind, lang).orderBy("score_milli", "path", "line_start", "id").limit(limit)
+
+
+def suggestions(nodes: DataFrame, query: str) -> DataFrame:
+    """Five names like the last segment of one that wasn't found."""
+    last = re.split(r"[.:/]", query.rstrip(".:/"))[-1]
+    return fuzzy(nodes, last, 5)
 
 
 def search(nodes: DataFrame, query: str, kind: str | None = None, lang: str | None = None) -> DataFrame:

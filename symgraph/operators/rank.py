@@ -21,18 +21,33 @@ def clamp_budget(asked: int | None) -> int:
     return DEFAULT_BUDGET if asked is None else max(BUDGETS[0], min(BUDGETS[1], int(asked)))
 
 
-def within_budget(lines: DataFrame, budget: int, by: list[str], order: list, text: str = "line") -> DataFrame:
-    """The leading lines of each group (``by``) whose costs, a token for the line break included, fit."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def within_budget(lines: DataFrame, budget: int, by: list[str], order: list, text: str = "line", parts: int = 64) -> DataFrame:
+    """The leading lines of each group (``by``) whose costs, a token for the line break included, fit.
+
+    A line costs a token at least, so no more lines than the budget's tokens can fit: of a group that many
+    are taken first, in parts.
+    """
+    room = budget - RESERVED
     cost = tokens(F.col(text)) + 1
-    return lines.withColumn("cost", cost).withColumn("spent", F.sum(cost).over(run)).filter(F.col("spent") <= budget - RESERVED)
+    head = first_per_group(lines, by, order, max(room, 0), parts).drop("rank", "in_group")
+    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return head.withColumn("cost", cost).withColumn("spent", F.sum(cost).over(run)).filter(F.col("spent") <= room)
+
 
+def first_per_group(rows: DataFrame, by: list[str], order: list, k: int, parts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group, with their rank and the group's size.
 
-def first_per_group(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    """The first ``k`` rows of each group, with their rank and the group's size."""
+    A group is ranked in ``parts`` first, so that one with a third of all rows isn't one task's; the ranking
+    that follows sees ``k`` rows of each part at most.
+    """
+    key = F.pmod(F.xxhash64(*[F.col(c) for c in order if isinstance(c, str)]), F.lit(parts))
+    split = rows.withColumn("__part", key)
+    inner = Window.partitionBy(*by, "__part")
+    some = split.withColumn("__k", F.row_number().over(inner.orderBy(*order))).withColumn("__n", F.count("*").over(inner)).filter(F.col("__k") <= k)
     group = Window.partitionBy(*by)
-    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(*order))).withColumn("in_group", F.count("*").over(group))
-    return ranked.filter(F.col("rank") <= k)
+    size = F.sum(F.when(F.col("__k") == 1, F.col("__n"))).over(group)
+    ranked = some.withColumn("rank", F.row_number().over(group.orderBy(*order))).withColumn("in_group", size)
+    return ranked.filter(F.col("rank") <= k).drop("__part", "__k", "__n")
 
 
 def best(order: list[Column], value: str | Column) -> Column:

@@ -46,13 +46,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     added, deleted, same (size and time agree), touched (only they differ) or modified (the hash does).
     """
-    a = old.select("path", F.col("hash").alias("h0"), F.col("size").alias("s0"), F.col("mtime_ms").alias("m0"))
-    b = new.select("path", F.col("hash").alias("h1"), F.col("size").alias("s1"), F.col("mtime_ms").alias("m1"))
+    a = old.select("path", F.lit(True).alias("was"), F.col("hash").alias("h0"), F.col("size").alias("s0"), F.col("mtime_ms").alias("m0"))
+    b = new.select("path", F.lit(True).alias("is"), F.col("hash").alias("h1"), F.col("size").alias("s1"), F.col("mtime_ms").alias("m1"))
     change = (
-        F.when(F.col("h0").isNull(), "added")
-        .when(F.col("h1").isNull(), "deleted")
-        .when((F.col("s0") == F.col("s1")) & (F.col("m0") == F.col("m1")), "same")
-        .when(F.col("h0") == F.col("h1"), "touched")
+        F.when(F.col("was").isNull(), "added")
+        .when(F.col("is").isNull(), "deleted")
+        .when(F.col("s0").eqNullSafe(F.col("s1")) & F.col("m0").eqNullSafe(F.col("m1")), "same")
+        .when(F.col("h0").eqNullSafe(F.col("h1")), "touched")
         .otherwise("modified")
     )
     return a.join(b, "path", "full").select("path", change.alias("change"))
@@ -64,3 +64,56 @@ def dirty_refs(refs: DataFrame, changed: DataFrame, names: DataFrame) -> DataFra
     by_name = refs.join(names, "name", "left_semi")
     rest = refs.filter("type = 'imports' OR NOT resolved")
     return by_file.unionByName(by_name).unionByName(rest).dropDuplicates(["rid"])
+
+
+def dirty_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names that a change took away or brought, each once."""
+    return before.select("name").union(after.select("name")).distinct()
+
+
+def changed_paths(*lists: DataFrame) -> DataFrame:
+    """The paths of several lists of changes, each once."""
+    out = lists[0].select("path")
+    for more in lists[1:]:
+        out = out.union(more.select("path"))
+    return out.distinct()
+
+
+def refs_naming(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """Refs whose name or imported symbol is among ``names``, each once."""
+    either = refs.withColumn("__name", F.explode(F.array_distinct(F.array_compact(F.array("name", "symbol")))))
+    hit = either.join(names.select(F.col("name").alias("__name")), "__name", "left_semi")
+    return hit.drop("__name").dropDuplicates(["rid"])
+
+
+def delete_by_rid(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """Rows, such as edges, but for those of the given refs."""
+    return rows.join(rids.select("rid").distinct(), "rid", "left_anti")
+
+
+def mark_resolved(refs: DataFrame, rids: DataFrame) -> DataFrame:
+    """Refs with the given ones marked as resolved."""
+    done = rids.select("rid").distinct().withColumn("__done", F.lit(True))
+    marked = refs.join(done, "rid", "left").withColumn("resolved", F.col("resolved") | F.coalesce("__done", F.lit(False)))
+    return marked.drop("__done").select(*refs.columns)
+
+
+def with_rids(rows: DataFrame, by: list[str], order: list, after: int = 0, shards: int = 256) -> DataFrame:
+    """Rows with ``rid``, numbered gaplessly from ``after`` + 1; rows of a group (``by``) follow each other in order.
+
+    Groups are dealt to shards, shards are counted, and a shard's rows are numbered behind those of the
+    shards before it, so no task sees all rows.
+    """
+    dealt = rows.withColumn("__shard", F.pmod(F.xxhash64(*by), F.lit(shards)))
+    counts = dealt.groupBy("__shard").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))  # a row for each shard
+    inside = Window.partitionBy("__shard").orderBy(*by, *order)
+    numbered = dealt.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(starts), "__shard")
+    return numbered.withColumn("rid", (F.lit(after) + F.col("__before") + F.col("__k")).cast("bigint")).drop("__shard", "__before", "__k")
+
+
+def touched(changes: DataFrame, root: str) -> DataFrame:
+    """Paths of changed files relative to ``root``; those outside of it are dropped."""
+    base = root.rstrip("/") + "/"
+    return changes.filter(F.col("path").startswith(base)).select(F.substring("path", len(base) + 1, 1 << 20).alias("path")).distinct()

@@ -107,33 +107,44 @@ def fuzzy_search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH n AS (SELECT 'part:' || p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS qualified, 'part/' || p_brand AS path FROM part),
-q AS (
+WITH n AS (
+  SELECT 'repo:' || p_brand || '.py:x:' || p_partkey AS id, replace(p_name, ' ', '_') AS name, p_mfgr || '.' || replace(p_name, ' ', '_') AS qualified, 'part/' || p_brand || '.py' AS path, 'part.' || p_brand AS module
+  FROM (SELECT *, 'T' || (p_size % 7) AS p_mfgr FROM part)
+), q AS (
   SELECT DISTINCT q FROM (
-    SELECT 'part:' || (p_partkey * 3) AS q FROM part UNION ALL SELECT p_brand || '.' || p_name FROM part UNION ALL SELECT upper(p_name) FROM part
-    UNION ALL SELECT 'Brand#1.' || p_name FROM part UNION ALL SELECT 'nowhere.' || p_name FROM part UNION ALL SELECT p_name FROM part
+    SELECT 'repo:' || p_brand || '.py:x:' || (p_partkey * 3) AS q FROM part UNION ALL SELECT 'part/' || p_brand || '.py:' || replace(p_name, ' ', '_') FROM part
+    UNION ALL SELECT 'T' || (p_size % 9) || '.' || replace(p_name, ' ', '_') FROM part UNION ALL SELECT upper(replace(p_name, ' ', '_')) FROM part
+    UNION ALL SELECT 'part.' || p_brand || '.T' || (p_size % 7) || '.' || replace(p_name, ' ', '_') FROM part
+    UNION ALL SELECT p_brand || '.' || replace(p_name, ' ', '_') FROM part UNION ALL SELECT 'no.where.' || replace(p_name, ' ', '_') FROM part UNION ALL SELECT replace(p_name, ' ', '_') FROM part
   )
+), splits AS (
+  SELECT q, i, array_to_string(string_split(q, '.')[:i], '.') AS head, array_to_string(string_split(q, '.')[i + 1:], '.') AS tail FROM (SELECT q, unnest(range(1, len(string_split(q, '.')))) AS i FROM q)
 ), hits AS (
-  SELECT q, 0 AS r, id FROM q JOIN n ON id = q WHERE contains(q, ':')
-  UNION ALL SELECT q, 1, id FROM q JOIN n ON qualified = q
-  UNION ALL SELECT q, 2, id FROM q JOIN n ON name = q
-  UNION ALL SELECT q, 3, id FROM q JOIN n ON name = substr(q, instr(q, '.') + 1) AND contains(path, split_part(q, '.', 1)) WHERE contains(q, '.')
-  UNION ALL SELECT q, 4, id FROM q JOIN n ON name = string_split(q, '.')[-1] WHERE contains(q, '.')
-  UNION ALL SELECT q, 5, id FROM q JOIN n ON lower(name) = lower(q)
+  SELECT q, 0 AS r, 0 AS i, id FROM q JOIN n ON id = q WHERE len(string_split(q, ':')) >= 4
+  UNION ALL SELECT q, 1, 0, id FROM q JOIN n ON path = regexp_extract(q, '^(.+[.][a-zA-Z]+):([A-Za-z_][A-Za-z0-9_.]*)$', 1) AND regexp_extract(q, '^(.+[.][a-zA-Z]+):([A-Za-z_][A-Za-z0-9_.]*)$', 2) IN (name, qualified)
+  UNION ALL SELECT q, 2, 0, id FROM q JOIN n ON qualified = q
+  UNION ALL SELECT q, 3, 0, id FROM q JOIN n ON name = q
+  UNION ALL SELECT q, 4, i, id FROM splits JOIN n ON qualified = tail WHERE contains(module, head)
+  UNION ALL SELECT q, 4, i, id FROM splits JOIN n ON name = tail WHERE contains(module, head)
+  UNION ALL SELECT q, 5, 0, id FROM q JOIN n ON name = string_split(q, '.')[-1] WHERE contains(q, '.')
+  UNION ALL SELECT q, 6, 0, id FROM q JOIN n ON lower(name) = lower(q)
 )
-SELECT DISTINCT q, CASE r WHEN 0 THEN 'id' WHEN 1 THEN 'qualified' WHEN 2 THEN 'name' WHEN 3 THEN 'dotted' WHEN 4 THEN 'last_segment' ELSE 'any_case' END AS rung, id
-FROM hits h WHERE r = (SELECT min(r) FROM hits g WHERE g.q = h.q)
+SELECT DISTINCT q, ['id', 'in_file', 'qualified', 'name', 'dotted', 'last_segment', 'any_case'][r + 1] AS rung, id
+FROM (SELECT *, min((r, i)) OVER (PARTITION BY q) AS least FROM hits) WHERE (r, i) = least
 """
 )
 def lookup_ladder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight ways to ask for each part, through all rungs at once."""
     part = star.table(spark, sf_dir, "part")
+    name, type_ = F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.lit("T"), (F.col("p_size") % 7).cast("string"))
     nodes = part.select(
-        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"),
-        F.concat_ws(".", "p_brand", "p_name").alias("qualified"), F.concat(F.lit("part/"), "p_brand").alias("path"),
+        F.concat(F.lit("repo:"), "p_brand", F.lit(".py:x:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("name"),
+        F.concat_ws(".", type_, name).alias("qualified"), F.concat(F.lit("part/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.lit("part."), "p_brand").alias("module"),
     )
     asked = F.array(
-        F.concat(F.lit("part:"), (F.col("p_partkey") * 3).cast("string")), F.concat_ws(".", "p_brand", "p_name"), F.upper("p_name"),
-        F.concat(F.lit("Brand#1."), "p_name"), F.concat(F.lit("nowhere."), "p_name"), F.col("p_name"),
+        F.concat(F.lit("repo:"), "p_brand", F.lit(".py:x:"), (F.col("p_partkey") * 3).cast("string")), F.concat(F.lit("part/"), "p_brand", F.lit(".py:"), name),
+        F.concat(F.lit("T"), (F.col("p_size") % 9).cast("string"), F.lit("."), name), F.upper(name), F.concat(F.lit("part."), "p_brand", F.lit("."), type_, F.lit("."), name),
+        F.concat_ws(".", "p_brand", name), F.concat(F.lit("no.where."), name), name,
     )
     return lookup.ladder(part.select(F.explode(asked).alias("q")), nodes)
 
