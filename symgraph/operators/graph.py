@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CONFIDENCES, rank_in
 from ..tables import kept
+from .rank import first_per_group
 
 #: Rows of a frontier that are broadcast at most; a larger one is shuffled with the edges.
 FEW = 100_000
@@ -34,17 +35,18 @@ def traverse(
     here, there = ("dst_id", "src_id") if direction == "in" else ("src_id", "dst_id")
     usable = with_rank(edges if types is None else edges.filter(F.col("type").isin(*types)))
     frontier = kept(roots.select("root", "id").distinct(), "frontier")
-    seen = frontier
-    reached = None
+    seen, size, reached = frontier, frontier.count(), None
     for distance in range(1, depth + 1):
-        few = frontier.limit(FEW + 1).count() <= FEW
-        step = usable.join(F.broadcast(frontier) if few else frontier, F.col(here) == F.col("id"))
+        if not size:
+            break
+        step = usable.join(F.broadcast(frontier) if size <= FEW else frontier, F.col(here) == F.col("id"))
         first = step.groupBy("root", F.col(there).alias("id")).agg(F.min(F.struct(*EDGE_ORDER, "confidence")).alias("via"))
         new = first.join(seen, ["root", "id"], "left_anti").withColumn("distance", F.lit(distance))
         if max_nodes is not None:
             new = _cut(new, seen, roots, max_nodes)
         new = kept(new.select("root", "id", "distance", "via"), "level")
-        if new.isEmpty():
+        size = new.count()
+        if not size:
             break
         reached = new if reached is None else reached.unionByName(new)
         frontier = new.select("root", "id")
@@ -57,43 +59,68 @@ def traverse(
 
 def _cut(new: DataFrame, seen: DataFrame, roots: DataFrame, max_nodes: int) -> DataFrame:
     """The first rows of a level in edge order, as many as each root's bound leaves."""
-    from pyspark.sql.window import Window
-
     had = seen.join(roots.select("root", "id"), ["root", "id"], "left_anti").groupBy("root").agg(F.count("*").alias("had"))
-    order = Window.partitionBy("root").orderBy("via", "id")
-    ranked = new.withColumn("k", F.row_number().over(order)).join(had, "root", "left")
-    return ranked.filter(F.col("k") + F.coalesce("had", F.lit(0)) <= max_nodes)
+    ranked = first_per_group(new, ["root"], ["via", "id"], max_nodes).join(had, "root", "left")
+    return ranked.filter(F.col("rank") + F.coalesce("had", F.lit(0)) <= max_nodes)
+
+
+_HOP = "array<struct<src_id:string,dst_id:string,type:string>>"
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 8) -> DataFrame:
     """(a, b, length, hops) for each pair that is connected, direction aside, within ``depth`` steps.
 
-    Hops are the edges from a to b in order.  A pair's search stops when its end is found.
+    Hops are the edges from a to b in order.  Both ends are searched, the one with the smaller frontier first,
+    until a level meets what the other end has seen; a pair that is found is searched no further.  Levels
+    keep an edge back only, and hops are put together at the end, by a join for each step.
     """
-    ranked = with_rank(edges)
-    out = ranked.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), *EDGE_ORDER)
-    back = ranked.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"), *EDGE_ORDER)
-    steps = out.unionByName(back)
-    empty = F.array().cast("array<struct<src_id:string,dst_id:string,type:string>>")
+    ranked = with_rank(edges).select(*EDGE_ORDER)
+    steps = ranked.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), *EDGE_ORDER).unionByName(
+        ranked.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"), *EDGE_ORDER)
+    )
     ends = kept(pairs.select("a", "b").distinct(), "path-ends")
-    found = ends.filter("a = b").select("a", "b", F.lit(0).alias("length"), empty.alias("hops"))
-    frontier = ends.filter("a <> b").select("a", "b", F.col("a").alias("id"), empty.alias("hops"))
-    seen = frontier.select("a", "b", "id")
+    found = ends.filter("a = b").select("a", "b", F.lit(0).alias("length"), F.array().cast(_HOP).alias("hops"))
+    open_ = ends.filter("a <> b")
+    sides = [[open_.select("a", "b", F.col(end).alias("id"))] for end in ("a", "b")]
+    fronts, left = [s[0] for s in sides], open_.count()
+    sizes = [left, left]
     for length in range(1, depth + 1):
-        moved = steps.join(frontier, F.col("at") == F.col("id"))
-        first = moved.groupBy("a", "b", F.col("to").alias("id")).agg(F.min(F.struct(*EDGE_ORDER, "hops")).alias("m"))
-        hop = F.struct(F.col("m.src_id").alias("src_id"), F.col("m.dst_id").alias("dst_id"), F.col("m.type").alias("type"))
-        new = first.join(seen, ["a", "b", "id"], "left_anti").select("a", "b", "id", F.concat("m.hops", F.array(hop)).alias("hops"))
-        new = kept(new, "path-level")
-        if new.isEmpty():
+        k = 0 if sizes[0] <= sizes[1] else 1
+        if not left:
+            break
+        moved = steps.join(F.broadcast(fronts[k]) if sizes[k] <= FEW else fronts[k], F.col("at") == F.col("id"))
+        first = moved.groupBy("a", "b", F.col("to").alias("id")).agg(F.min(F.struct(*EDGE_ORDER, "at")).alias("m"))
+        own = sides[k][0].select("a", "b", "id")
+        for level in sides[k][1:]:
+            own = own.unionByName(level.select("a", "b", "id"))
+        hop = F.struct(F.col("m.src_id").alias("src_id"), F.col("m.dst_id").alias("dst_id"), F.col("m.type").alias("type")).alias("hop")
+        new = kept(first.join(own, ["a", "b", "id"], "left_anti").select("a", "b", "id", F.col("m.at").alias("back"), hop), "path-level")
+        sides[k].append(new)
+        fronts[k], sizes[k] = new.select("a", "b", "id"), new.count()
+        if not sizes[k]:
             break
-        hits = new.filter("id = b").select("a", "b", F.lit(length).alias("length"), "hops")
-        found = found.unionByName(hits)
-        frontier = new.join(hits.select("a", "b"), ["a", "b"], "left_anti")
-        seen = seen.unionByName(new.select("a", "b", "id"))
+        # what is met for the first time is met on the other end's last level
+        met = new.select("a", "b", "id").join(sides[1 - k][-1].select("a", "b", "id"), ["a", "b", "id"])
+        met = kept(met.groupBy("a", "b").agg(F.min("id").alias("id")), "path-meets")
+        hits = met.count()
+        if hits:
+            found, left = found.unionByName(_joined(met, [list(s) for s in sides], length)), left - hits
+            fronts = [f.join(F.broadcast(met.select("a", "b")) if hits <= FEW else met.select("a", "b"), ["a", "b"], "left_anti") for f in fronts]
     return found
 
 
+def _joined(met: DataFrame, sides: list[list[DataFrame]], length: int) -> DataFrame:
+    """(a, b, length, hops) through the nodes where the two ends met."""
+    rows = met.select("a", "b", "id", F.array().cast(_HOP).alias("hops")).withColumn("middle", F.col("id"))
+    for k, levels in enumerate(sides):
+        rows = rows.withColumn("id", F.col("middle"))
+        for level in reversed(levels[1:]):
+            own = level.select("a", "b", "id", "back", "hop")
+            hops = F.concat(F.array("hop"), "hops") if k == 0 else F.concat("hops", F.array("hop"))
+            rows = rows.join(own, ["a", "b", "id"]).select("a", "b", F.col("back").alias("id"), hops.alias("hops"), "middle")
+    return rows.select("a", "b", F.lit(length).alias("length"), "hops")
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     """(id, degree): inbound edges but for ``defines``, counted as rows."""
     return edges.filter("type <> 'defines'").groupBy(F.col("dst_id").alias("id")).agg(F.count("*").alias("degree"))
@@ -102,10 +129,12 @@ def in_degree(edges: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, direction, other, type, via): each neighbour once for each type, by its first edge."""
     ranked = with_rank(edges)
+    asked = kept(ids.select("id").distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= FEW else asked
     sides = []
     for direction, here, there in (("out", "src_id", "dst_id"), ("in", "dst_id", "src_id")):
         sides.append(
-            ranked.join(F.broadcast(ids), F.col(here) == F.col("id"))
+            ranked.join(asked, F.col(here) == F.col("id"))
             .groupBy("id", F.lit(direction).alias("direction"), F.col(there).alias("other"), "type")
             .agg(F.min(F.struct("conf_rank", "path", "line", "confidence")).alias("via"))
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, rank, resolve, store
 from ..schemas import CALL_TYPES, CONFIDENCES, IMPACT_TYPES, KIND_ORDER, rank_in
 from ..sources import star
-from ..tables import kept
+from ..tables import kept, once
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,7 +26,9 @@ def query(sql: str | None, graph_sql: bool = True):
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(star.edges(spark, sf_dir), "edges")
+    """The relationships, written once for a session; a traversal reads the types that it follows."""
+    columns = ["src_id", "dst_id", "confidence", "path", "line", "type"]
+    return once(spark, f"edges of {sf_dir}", lambda: star.edges(spark, sf_dir).select(columns), "type")
 
 
 def _root(spark: SparkSession, *ids: str) -> DataFrame:

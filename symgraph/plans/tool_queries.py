@@ -104,7 +104,7 @@ def overview_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     code.SQL
     + """
-SELECT id, path, kind FROM (SELECT *, CASE kind WHEN 'function' THEN 0 WHEN 'method' THEN 1 WHEN 'class' THEN 2 WHEN 'interface' THEN 4 WHEN 'table' THEN 6 WHEN 'constant' THEN 7 ELSE 8 END AS k FROM nodes WHERE name = 'red_plate')
+SELECT id, path, kind FROM (SELECT *, CASE kind WHEN 'function' THEN 0 WHEN 'method' THEN 1 WHEN 'class' THEN 2 WHEN 'interface' THEN 4 WHEN 'table' THEN 6 WHEN 'constant' THEN 7 ELSE 8 END AS k FROM nodes WHERE qualified = 'red_plate')
 ORDER BY exported DESC, k, path, id LIMIT 20"""
 )
 def where_defined_top(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,23 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, key: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """A table that is written when it is first asked for and stays for the session, such as a graph's relationships.
+
+    ``key`` names what it is made of; ``by`` is a column with few values, by which its files are laid out.
+    """
+    known = (spark.sparkContext.applicationId, key)
+    if known not in _ONCE:
+        made = make()
+        path = new_path(spark, "once", owner=f"session-{known[0]}")
+        (made.write.partitionBy(by) if by else made.write).parquet(path)
+        _ONCE[known] = spark.read.schema(made.schema).parquet(path)
+    return _ONCE[known]
+
+
 @contextmanager
 def scope(name: str | None = None) -> Iterator[None]:
     """Tables written inside belong to this scope; without a name they are deleted at its end."""

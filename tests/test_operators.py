@@ -58,10 +58,14 @@ def test_text_functions(spark):
 
 
 def test_ladder_first_rung_wins(spark):
-    nodes = spark.createDataFrame([("m:f", "f", "K.f", "src/m"), ("m:g", "F", "F", "src/m")], "id string, name string, qualified string, path string")
-    names = spark.createDataFrame([(q,) for q in ("m:f", "K.f", "f", "src.f", "zzz.f", "g", "F")], "q string")
-    got = {(r["q"], r["rung"], r["id"]) for r in lookup.ladder(names, nodes).collect()}
-    assert got == {("m:f", "id", "m:f"), ("K.f", "qualified", "m:f"), ("f", "name", "m:f"), ("src.f", "dotted", "m:f"), ("zzz.f", "last_segment", "m:f"), ("F", "qualified", "m:g")}
+    rows = [("r:src/m.py:method:K.f", "f", "K.f", "src/m.py", "src.m"), ("r:src/m.py:class:F", "F", "F", "src/m.py", "src.m")]
+    nodes = spark.createDataFrame(rows, "id string, name string, qualified string, path string, module string")
+    names = spark.createDataFrame([(q,) for q in ("r:src/m.py:class:F", "src/m.py:K.f", "K.f", " f ", "src.m.K.f", "m.f", "zzz.f", "K.F", "g", "k.f", "")], "q string")
+    got = {(r["q"], r["rung"], r["id"].rsplit(":", 1)[-1]) for r in lookup.ladder(names, nodes).collect()}
+    assert got == {
+        ("r:src/m.py:class:F", "id", "F"), ("src/m.py:K.f", "in_file", "K.f"), ("K.f", "qualified", "K.f"), ("f", "name", "K.f"), ("src.m.K.f", "dotted", "K.f"),
+        ("m.f", "dotted", "K.f"), ("zzz.f", "last_segment", "K.f"), ("K.F", "last_segment", "F"), ("k.f", "last_segment", "K.f"),
+    }
 
 
 def test_resolution_gates(spark):
@@ -71,11 +75,75 @@ def test_resolution_gates(spark):
     assert got == {(1, "d0", "exact"), (2, "d1", "resolved"), (3, "d1", "heuristic"), (3, "d2", "heuristic")}
 
 
+def test_placed_imports_and_rungs(spark):
+    """A barrel, a rename, a cycle of stars, a default, a submodule; and each rung on one reference."""
+    from symgraph.operators import ladder
+
+    kinds = [("a", "f", "f", "function"), ("a", "K", "K", "class"), ("a", "m", "K.m", "method"), ("lib", "g", "g", "function"), ("lib", "h", "h", "function"), ("lib", "B", "B", "class"), ("lib", "up", "B.up", "method"), ("far", "z", "z", "function"), ("far", "t", "t", "table")]
+    rows = [(f"{p}:{q}", f"{p}.py", n, q, k, True) for p, n, q, k in kinds] + [(f"{p}:", f"{p}.py", p, p, "module", True) for p in ("a", "lib", "far", "barrel", "pkg/sub")]
+    nodes = spark.createDataFrame(rows, "id string, path string, name string, qualified string, kind string, exported boolean")
+    mods = spark.createDataFrame([(f"{p}.py", "python", p.replace("/", "."), False) for p in ("a", "lib", "far", "barrel", "pkg/sub")], "path string, family string, module string, is_alias boolean")
+    imports = spark.createDataFrame(
+        [
+            (1, "a.py", "python", "lib", None, "l"), (2, "a.py", "python", "barrel", "gg", "gg"), (3, "barrel.py", "python", "lib", "g", "gg"), (4, "barrel.py", "python", "a", None, None),
+            (5, "a.py", "python", "barrel", None, None), (6, "a.py", "python", "pkg", "sub", "sub"), (7, "a.py", "python", "lib", "default", "d"), (8, "a.py", "python", "os", None, "os"),
+            (9, "a.py", "python", "barrel", "nowhere", "nw"), (10, "a.py", "python", "lib", "B", "Base"),
+        ],
+        "rid bigint, path string, family string, module string, symbol string, alias string",
+    )
+    placed = ladder.place_imports(imports, mods, nodes)
+    got = {r["rid"]: (r["id"], r["via"]) for r in placed.collect()}
+    assert got == {
+        1: ("lib:", None), 2: ("lib:g", "barrel:"), 3: ("lib:g", None), 4: ("a:", None), 5: ("barrel:", None), 6: ("pkg/sub:", None), 7: ("lib:g", None), 9: ("barrel:", None), 10: ("lib:B", None),
+    }
+    bases = spark.createDataFrame([("a:K", "lib:B")], "owner string, base string")
+    refs = spark.createDataFrame(
+        [
+            (1, "a:K.m", "queries", "t", None), (2, "a:K.m", "calls", "m", "self"), (3, "a:K.m", "calls", "up", "this"), (4, "a:f", "calls", "f", None), (5, "a:f", "calls", "gg", None),
+            (6, "a:f", "calls", "h", "l"), (7, "a:f", "calls", "up", "Base"), (8, "a:f", "calls", "m", "K"), (9, "a:f", "references", "h", "x.y"), (10, "a:f", "calls", "z", None),
+            (11, "a:f", "calls", "z", "x"), (12, "a:f", "calls", "m", None), (13, "a:f", "calls", "q", None), (14, "a:f", "calls", "q", "x"),
+        ],
+        "rid bigint, src_id string, type string, name string, qualifier string",
+    ).withColumn("path", F.lit("a.py"))
+    linked = spark.createDataFrame([("r:q", "q", "function", True)], "id string, name string, kind string, exported boolean")
+    got = {(r["rid"], r["id"], r["rung"], r["confidence"]) for r in ladder.resolve(refs, nodes, placed, bases, linked).collect()}
+    assert got == {
+        (1, "far:t", "tables", "resolved"), (2, "a:K.m", "self", "resolved"), (3, "lib:B.up", "self", "resolved"), (4, "a:f", "same_file", "exact"), (5, "lib:g", "imported", "resolved"),
+        (6, "lib:h", "receiver", "resolved"), (7, "lib:B.up", "receiver", "resolved"), (8, "a:K.m", "local_type", "resolved"), (9, "lib:h", "visible", "resolved"), (10, "far:z", "global", "heuristic"),
+        (12, "a:K.m", "same_file", "exact"), (13, "r:q", "linked", "heuristic"),
+    }
+
+
+def test_module_columns(spark):
+    from symgraph.functions import modules
+
+    def one(c):
+        return spark.range(1).select(c.alias("v")).first()["v"]
+
+    assert one(modules.python_candidates(F.lit("..x.y"), F.lit("a/b/c.py"))) == ["a.x.y", "x.y", "y"]
+    assert one(modules.python_candidates(F.lit("...x"), F.lit("a.py"))) == ["x"]
+    assert one(modules.aliased(F.lit("@/q"), {"@/*": ["s/*"], "@/q": ["t"], "@/*z": ["n"]})) == ["s/q", "t"]
+    assert one(text.clean_doc(F.lit("/** One.\n * two\n * @param x */"))).strip().split("\n")[:2] == ["One.", "two"]
+    assert one(text.first_paragraph(text.clean_doc(F.lit("/** One.\n * two\n * @param x */")))) == "One. two"
+    assert [one(text.unquote(F.lit(x))) for x in ('"a"', "rb'a'", "plain", '"""x"y"""', '"')] == ["a", "a", "plain", 'x"y', '"']
+
+
+def test_rids(spark):
+    rows = spark.createDataFrame([(p, k) for p in "cab" for k in (2, 1, 3)], "path string, k int")
+    got = sorted((r["path"], r["k"], r["rid"]) for r in store.with_rids(rows, ["path"], ["k"], after=10).collect())
+    assert sorted(r for *_, r in got) == list(range(11, 20))
+    assert all(b[2] == a[2] + 1 for a, b in zip(got, got[1:]) if a[0] == b[0])
+    changes = spark.createDataFrame([("/r/a",), ("/r/a",), ("/s/b",)], "path string")
+    assert [r["path"] for r in store.touched(changes, "/r").collect()] == ["a"]
+
+
 def test_store(spark):
     old = spark.createDataFrame([("a", "1", 1, 1), ("b", "1", 1, 1), ("c", "1", 1, 1), ("d", "1", 1, 1)], "path string, hash string, size bigint, mtime_ms bigint")
     new = spark.createDataFrame([("a", "1", 1, 1), ("b", "1", 1, 2), ("c", "2", 1, 2), ("e", "1", 1, 1)], old.schema)
     got = {r["path"]: r["change"] for r in store.snapshot_diff(old, new).collect()}
     assert got == {"a": "same", "b": "touched", "c": "modified", "d": "deleted", "e": "added"}
+    unread = spark.createDataFrame([("a", None, 1, 1), ("b", None, 2, 2)], old.schema)
+    assert {r["path"]: r["change"] for r in store.snapshot_diff(unread, unread).collect()} == {"a": "same", "b": "same"}
     mods = spark.createDataFrame([("a", "m", "f", True), ("a", "m", "f", False)], "path string, module string, family string, is_alias boolean")
     assert [r["is_alias"] for r in store.upsert_modules(mods).collect()] == [False]
 
@@ -85,9 +153,12 @@ def test_tools(spark):
     from symgraph.sources import star
 
     nodes, links = star.nodes(spark, "/root/testdata/sf0.001"), star.edges(spark, "/root/testdata/sf0.001")
-    roots = tools.roots_of(nodes, "nation:3")
-    assert [tuple(r) for r in roots.collect()] == [("nation:3", "nation:3")]
+    roots = tools.roots_of(nodes, "NATION_3")
+    assert [tuple(r) for r in roots.collect()] == [("NATION_3", "nation:3")]
     text_ = tools.render(tools.impact_of(nodes, links, roots, 2), 300)
+    way = tools.shortest_path(nodes, links, "ASIA", "Supplier#000000001")
+    assert way and all(" -> " in h or " <- " in h for h in way) and way[0].startswith("region:") and "supplier:1 (" in way[-1]
+    assert tools.where_defined(nodes, "asai").count() == 0 and tools.shortest_path(nodes, links, "ASIA", "asai") is None
     assert "omitted: " in text_ and sum(-(-len(x) // 4) + 1 for x in text_.split("\n")) <= 300 + 10
     assert tools.search_symbols(nodes, "asia", limit=3).first()["name"] == "ASIA"
     assert tools.overview(nodes, links, "ASIA")["kinds"].count() >= 2
