@@ -214,39 +214,39 @@ SELECT CAST(page_id AS BIGINT) AS rid, first(k ORDER BY length(k) DESC) AS packa
   SELECT page_id, array_to_string(list_slice(parts, 1, i), '/') AS k FROM (
     SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS parts FROM pages)
   )
-) WHERE k IN (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) FROM pages UNION SELECT regexp_extract(url, '^[a-z]+://([^/]*/[^/?#]*)', 1) FROM pages WHERE page_id % 3 = 0)
+) WHERE k IN (SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) FROM pages UNION SELECT regexp_extract(url, '^[a-z]+://([^/]*/[^/?#]*)', 1) FROM pages)
 GROUP BY page_id
 """
 )
 def longest_prefix_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest package that holds a page: its host, or host and first folder where that is one."""
+    """The longest package that holds a page: its host and first folder, or its host if it is in none."""
     pages = star.table(spark, sf_dir, "pages")
     refs = module_keys(pages).select(F.col("page_id").alias("rid"), F.col("candidates")[0].alias("module"))
     hosts = pages.select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("package"))
-    folders = pages.filter("page_id % 3 = 0").select(F.regexp_extract("url", "^[a-z]+://([^/]*/[^/?#]*)", 1).alias("package"))
+    folders = pages.select(F.regexp_extract("url", "^[a-z]+://([^/]*/[^/?#]*)", 1).alias("package"))
     return resolve.longest_prefix(refs, hosts.union(folders))
 
 
 _SNAPSHOTS = """
 WITH versions AS (
-  SELECT user_id AS path, ts, event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS hash, CAST(value AS BIGINT) AS size, epoch_us(ts) AS mtime_ms FROM events
+  SELECT user_id AS path, ts, event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS hash, CAST(value AS BIGINT) AS size, epoch_us(ts) AS mtime_ms FROM events
 ), half AS (SELECT to_timestamp((epoch(min(ts)) + epoch(max(ts))) / 2)::TIMESTAMP AS t FROM events),
-old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM versions WHERE ts <= (SELECT t FROM half)) WHERE r = 1),
-new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM versions WHERE path % 7 <> 0) WHERE r = 1)
+old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM versions WHERE ts <= (SELECT t FROM half)) WHERE r = 1 AND event_type <> 'error'),
+new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS r FROM versions) WHERE r = 1 AND event_type <> 'error')
 """
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as file versions, errors as deletions: what is there half-way and at the end."""
     events = star.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     versions = events.select(
-        F.col("user_id").alias("path"), "ts", "event_id", F.get_json_object("props", "$.k").alias("hash"), F.col("value").cast("bigint").alias("size"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime_ms"),
+        F.col("user_id").alias("path"), "ts", "event_id", "event_type", F.get_json_object("props", "$.k").alias("hash"), F.col("value").cast("bigint").alias("size"), micros.alias("mtime_ms"),
     )
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = versions.agg(((F.min(micros) + F.max(micros)) / 2).alias("t"))
     order = [F.col("ts"), F.col("event_id")]
     early = versions.join(F.broadcast(bounds)).filter(micros <= F.col("t")).drop("t")  # one row
-    return store.upsert(early, ["path"], order), store.upsert(versions.filter("path % 7 <> 0"), ["path"], order)
+    return tuple(store.upsert(v, ["path"], order).filter("event_type <> 'error'") for v in (early, versions))
 
 
 @query(
@@ -295,8 +295,9 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH refs AS (SELECT event_id AS rid, user_id AS path, event_type AS type, CAST(json_extract(props, '$.k') AS VARCHAR) AS name, value > 50 AS resolved FROM events)
-SELECT rid FROM refs WHERE path % 11 = 0 OR name IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) OR type = 'imports' OR NOT resolved
+WITH refs AS (SELECT event_id AS rid, user_id AS path, event_type AS type, CAST(json_extract(props, '$.k') AS VARCHAR) AS name, value > 50 AS resolved FROM events),
+late AS (SELECT user_id AS path FROM events GROUP BY user_id HAVING max(ts) > (SELECT to_timestamp(epoch(max(ts)) - 3600)::TIMESTAMP FROM events))
+SELECT rid FROM refs WHERE path IN (SELECT path FROM late) OR name IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) OR type = 'imports' OR NOT resolved
 """
 )
 def dirty_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +306,10 @@ def dirty_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("rid"), F.col("user_id").alias("path"), F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("name"), (F.col("value") > 50).alias("resolved")
     )
     names = star.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"))
-    changed = refs.filter("path % 11 = 0").select("path").distinct()
+    # files that changed in the last hour
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    latest = star.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path")).agg(F.max(micros).alias("t"))
+    changed = latest.join(F.broadcast(latest.agg(F.max("t").alias("end")))).filter("t > `end` - 3600000000").select("path")  # one row
     return store.dirty_refs(refs, changed, names).select("rid")
 
 

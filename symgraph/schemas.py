@@ -1,22 +1,10 @@
-"""Schemas and orders of the graph tables."""
+"""Orders of the graph tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FILES = "path string, hash string, size bigint, mtime_ms bigint, lang string, indexed_at bigint"
-NODES = (
-    "id string, repo string, path string, name string, name_lower string, qualified string, kind string, lang string, "
-    "line_start int, line_end int, signature string, doc string, exported boolean, external boolean"
-)
-EDGES = "src_id string, dst_id string, type string, confidence string, path string, line int, rid bigint"
-REFS = (
-    "rid bigint, src_id string, path string, line int, type string, target_kind string, name string, qualifier string, "
-    "module string, symbol string, alias string, lang string, resolved boolean"
-)
-MODULES = "path string, family string, module string, is_alias boolean"
-
 # The ranks by which evidence, search results and definitions are ordered.
 CONFIDENCES = ("exact", "resolved", "heuristic")
 KIND_ORDER = ("function", "method", "class", "struct", "interface", "endpoint", "table", "constant", "module")

@@ -3,37 +3,97 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, language
+from ..functions.text import content_hash, dirname, language
 
+#: The folder of an index beside the sources, and what names of files hold that are still being written.
+INDEX_FOLDER, UNFINISHED = ".symgraph", ".symgraph-tmp-"
 # Directories that are never read, at any depth.
 SKIPPED = (
-    ".git", ".hg", ".svn", "node_modules", "bower_components", "vendor", "dist", "build", "out", "target", "coverage", "__pycache__",
-    ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vscode",
-    "Pods", ".build", "DerivedData", ".swiftpm", "site-packages",
+    ".git", ".hg", ".svn", INDEX_FOLDER, "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "dist", "build",
+    "target", "vendor", ".next", ".nuxt", ".turbo", ".gradle", ".idea", ".vscode-test", "coverage", ".terraform", ".build", ".swiftpm", "DerivedData", "Pods", "Carthage",
 )
 MAX_BYTES = 1_500_000
 
 
-def files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, size, mtime_ms, text, hash and lang of each text file below ``root`` that has a known language.
+def admitted(path: Column) -> Column:
+    """Whether a relative path is below no skipped directory, isn't unfinished and has a known language."""
+    parts = F.split(path, "/")
+    inside_skipped = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda d: d.isin(*SKIPPED))
+    return ~inside_skipped & ~F.contains(F.element_at(parts, -1), F.lit(UNFINISHED)) & language(path).isNotNull()
+
+
+def files(
+    spark: SparkSession,
+    root: str,
+    max_bytes: int = MAX_BYTES,
+    scope: str = "",
+    ignore: list[str] | None = None,
+    ignore_files: tuple[str, ...] = (".gitignore",),
+) -> DataFrame:
+    """path, size, mtime_ms, lang, hash and text of each text file below ``root`` that has a known language.
 
     Paths are relative to the root.  Files with a NUL among their first 8192 bytes are binary and are left
-    out, as are those above ``max_bytes`` and those in skipped directories; a byte order mark is dropped.
+    out, as are those above ``max_bytes``, those in skipped directories or outside of ``scope``, and what rules
+    exclude: ``ignore`` and the root's ignore files in one layer, an ignore file below it in one of its own.
+    Any layer can exclude, and none takes back what another excludes.  A byte order mark is dropped.
+
+    Names are judged on the listing, so contents of files that are left out aren't read.
     """
     base = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.element_at(F.split("path", re.escape(base), 2), -1)
-    listed = found.select(rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    parts = F.split("path", "/")
-    inside_skipped = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda d: d.isin(*SKIPPED))
-    kept = listed.filter((F.col("size") <= max_bytes) & ~inside_skipped).withColumn("lang", language(F.col("path"))).filter("lang IS NOT NULL")
-    plain = kept.filter("locate(decode(X'00', 'ISO-8859-1'), decode(substring(content, 1, 8192), 'ISO-8859-1')) = 0")
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return plain.withColumn("text", text).select("path", "size", "mtime_ms", "lang", content_hash(F.col("text")).alias("hash"), "text")
+    relative = lambda c: F.element_at(F.split(c, re.escape(base), 2), -1)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    named, name = reader.load(root), relative(F.col("_metadata.file_path"))
+    kept = named.filter(admitted(name) & in_scope(name, scope) & (F.col("_metadata.file_size") <= max_bytes))
+    rules = nested_rules(spark, root, ignore_files) if ignore_files else {}
+    verdict = ignored(name, [*(ignore or []), *rules.pop("", [])])
+    for folder, own in rules.items():
+        verdict = verdict | (name.startswith(folder + "/") & ignored(F.substring(name, len(folder) + 2, 1 << 20), own))
+    listed = kept.filter(~verdict).select(
+        relative(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content"
+    )
+    plain = listed.filter("locate(decode(X'00', 'ISO-8859-1'), decode(substring(content, 1, 8192), 'ISO-8859-1')) = 0")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    lang = language(F.col("path")).alias("lang")
+    return plain.withColumn("text", text).select("path", "size", "mtime_ms", lang, content_hash(F.col("text")).alias("hash"), "text")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Files in the order of their paths."""
+    return found.orderBy("path")
+
+
+def nested_rules(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, list[str]]:
+    """The rules of the tree's ignore files by folder.  There are few such files, and the plan holds their rules.
+
+    Spark's readers pass hidden files over, so tasks look for them in each folder that has files.
+    """
+    base = root.rstrip("/") + "/"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            folders = batch.column("folder").to_pylist()
+            paths = [(f, "/".join(x for x in (top.rstrip("/"), f, n) if x)) for f in folders for n in names]
+            there = [(f, p) for (f, p), info in zip(paths, store.get_file_info([p for _, p in paths])) if info.is_file]
+            texts = [store.open_input_stream(p).readall().decode("utf-8", "replace") for _, p in there]
+            yield pa.record_batch([pa.array([f for f, _ in there], pa.string()), pa.array(texts, pa.string())], names=["folder", "text"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path"))
+    parts = F.split(dirname(F.element_at(F.split("path", re.escape(base), 2), -1)), "/")
+    upto = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    found = listed.select(F.explode(upto).alias("folder")).distinct().mapInArrow(run, "folder string, text string").orderBy("folder").collect()
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(r["folder"], []).extend(r["text"].splitlines())
+    return out
 
 
 def in_scope(path: Column, scope: str) -> Column:
@@ -41,6 +101,23 @@ def in_scope(path: Column, scope: str) -> Column:
     return F.lit(True) if not scope else (path == scope) | path.startswith(scope.rstrip("/") + "/")
 
 
+def linked(spark: SparkSession, indexes: dict[str, str], table: str) -> DataFrame | None:
+    """A table of several indexes in one, with ``repo``; an index that can't be read is left out with a warning."""
+    import warnings
+
+    from pyspark.errors import AnalysisException
+
+    out = None
+    for repo, folder in indexes.items():
+        try:
+            rows = spark.read.parquet(f"{folder.rstrip('/')}/{table}").withColumn("repo", F.lit(repo))
+        except AnalysisException as missing:
+            warnings.warn(f"{repo}: {str(missing)[:200]}", stacklevel=2)
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def _pattern(rule: str) -> str:
     """A rule of an ignore file as a regular expression over relative paths."""
     anchored = "/" in rule.rstrip("/")

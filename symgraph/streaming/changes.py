@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +26,16 @@ def latest(changes: DataFrame, lateness: str, window: str) -> DataFrame:
     marked = changes.withWatermark("ts", lateness)
     last = F.max_by(F.struct("hash", "size"), F.struct("ts", "event_id")).alias("last")
     return marked.groupBy("path", F.window("ts", window).alias("window")).agg(last).select("path", "window", "last.hash", "last.size")
+
+
+def incoming(spark: SparkSession, folder: str, schema: str, batch: int = 128) -> DataFrame:
+    """A stream of change records from Parquet files, ``batch`` files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", batch).parquet(folder)
+
+
+def answer(refresh: Callable[[], DataFrame], last: DataFrame) -> tuple[DataFrame, str | None]:
+    """What ``refresh`` gives, or the last state that was stored and a warning if it fails."""
+    try:
+        return refresh(), None
+    except Exception as failed:  # any failure leaves the stored state as it is
+        return last, f"answered from the last state: {str(failed)[:200]}"

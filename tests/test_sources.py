@@ -16,6 +16,22 @@ TREE = {
     "node_modules/x.py": "def no(): pass\n",
     "readme.txt": "text",
     "bin.py": "a\0b",
+    ".gitignore": "# rules\n*.gen.py\n!keep.gen.py\n/only_root.py\n",
+    "app/.gitignore": "/local.py\nsub/\n!x.gen.py\n",
+    "x.gen.py": "a = 1\n",
+    "keep.gen.py": "a = 1\n",
+    "app/x.gen.py": "a = 1\n",
+    "only_root.py": "a = 1\n",
+    "app/only_root.py": "a = 1\n",
+    "local.py": "a = 1\n",
+    "app/local.py": "a = 1\n",
+    "app/sub/y.py": "a = 1\n",
+    "main.py.symgraph-tmp-12": "a = 1\n",
+    "cfg.symgraph-tmp-1.py": "a = 1\n",
+}
+LEFT_OUT = {
+    "node_modules/x.py", "readme.txt", "bin.py", ".gitignore", "app/.gitignore", "x.gen.py", "app/x.gen.py", "only_root.py", "app/local.py", "app/sub/y.py",
+    "main.py.symgraph-tmp-12", "cfg.symgraph-tmp-1.py",
 }
 
 
@@ -30,10 +46,26 @@ def tree(spark, tmp_path_factory):
 
 def test_walk(tree):
     got = {r["path"]: r for r in tree.collect()}
-    assert set(got) == set(TREE) - {"node_modules/x.py", "readme.txt", "bin.py"}
+    assert set(got) == set(TREE) - LEFT_OUT
     assert got["A.java"]["lang"] == "java" and got["A.java"]["size"] == len(TREE["A.java"]) and len(got["A.java"]["hash"]) == 32
 
 
+def test_scope_links_and_stale_answers(spark, tmp_path):
+    from symgraph.streaming import changes
+
+    for path in ("a/x.py", "ab/y.py", "a/b/z.py"):
+        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / path).write_text("x = 1\n")
+    found = walk.files(spark, str(tmp_path / "src"), scope="a")
+    assert [r["path"] for r in walk.in_order(found).collect()] == ["a/b/z.py", "a/x.py"]
+    spark.range(3).write.parquet(str(tmp_path / "one" / "nodes"))
+    with pytest.warns(UserWarning, match="two"):
+        both = walk.linked(spark, {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")}, "nodes")
+    assert {r["repo"] for r in both.collect()} == {"one"}
+    last = spark.range(1)
+    assert changes.answer(lambda: 1 / 0, last) == (last, "answered from the last state: division by zero")
+
+
 def test_extract(tree):
     defs = {(r["path"], r["kind"], r["name"], r["line"]) for r in lines.definitions(tree).collect()}
     assert {("app/main.py", "constant", "LIMIT", 4), ("app/main.py", "class", "App", 6), ("app/main.py", "method", "run", 7), ("app/main.py", "function", "main", 10)} <= defs
