@@ -68,6 +68,28 @@ def test_blocks_after_silent_elements():
     assert texts("<object><object>a</object><div>b</div></object>" + rest) == after
 
 
+def test_quotes_in_tags():
+    found = [b.text for b in html.blocks("<p title=it's>one</p><p>two's</p><p data-a='x > y' b=\"<p>\">three</p><p a=\"open>four</p>")]
+    assert found == ["one", "two's", "three", "four"]
+
+
+def test_main_text_written_by_hand(spark):
+    """Pages whose main text was picked by a person, beside what pages have around it."""
+    nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>Contact us</a></li></ul></nav>"
+    foot = "<footer>&copy; 2024 somebody. All rights reserved.</footer>"
+    ad = "<div class='ad'>Buy two, get one free today.</div>"
+    form = "<form><label>Your mail</label><input name=m><button>Send</button></form>"
+    said = "<section class='comments'><div class='comment'><p>I liked this very much, thanks.</p></div></section>"
+    rows = [
+        (1, f"<html><head><title>t</title><body>{nav}<article><h1>On  tides</h1><p>The sea rises &amp; falls\ntwice a day.</p>{ad}<p>Moon and sun pull it.</p></article>{said}{foot}", "On tides\n\nThe sea rises & falls twice a day.\n\nMoon and sun pull it."),
+        (2, f"<body><header>The Daily</header>{nav}<article><p>Prices rose by 3&nbsp;% in May.<script>var a = '<p>no</p>'</script></p><ul><li>bread<li>milk</ul></article><aside>Read more</aside>{form}{foot}</body>", "Prices rose by 3 % in May.\n\nbread\n\nmilk"),
+        (3, f"{nav}{ad}{foot}", ""),
+    ]
+    pages = spark.createDataFrame([(k, "u", source) for k, source, _ in rows], "page_id bigint, url string, html string")
+    model = html.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), 50)
+    assert {r["page_id"]: r["text"] for r in html.extract(pages, model).collect()} == {k: want for k, _, want in rows}
+
+
 # 10. quality rules
 
 

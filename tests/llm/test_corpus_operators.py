@@ -59,6 +59,14 @@ def test_substrings(odd, documents):
     assert substrings.remove_repeats(empty(odd)).count() == 0
 
 
+def test_substrings_of_hot_ids(spark):
+    """Null and repeated ids are dealt to all buckets, and still take nothing from each other."""
+    passage = " ".join(f"q{i}" for i in range(70))
+    rows = [(None, f"{passage} n{i}") for i in range(40)] + [(7, f"{passage} r{i}") for i in range(40)] + [(8, f"x {passage}")] + [(9, passage)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert cut(docs) == cut_plainly(rows)
+
+
 def test_cover_meets_all_pairs():
     on = set(substrings.COVER)
     v = substrings.PERIOD
@@ -318,6 +326,23 @@ def test_near_duplicates(spark, odd, documents):
     assert minhash.classes(empty(odd)).count() == 0
 
 
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """Members of large buckets are compared in cells; texts that share an id are told apart and share a class."""
+    r = np.random.default_rng(7)
+    base, rows = [f"t{i}" for i in range(120)], []
+    for k in range(90):
+        text = list(base)
+        for _ in range(int(r.integers(0, 6))):
+            text[int(r.integers(0, 120))] = f"z{r.integers(0, 10**6)}"
+        rows.append((k + 1, " ".join(text)))
+    rows += [(3, rows[60][1] + " q"), (3, "totally other words here for id three yes it is"), (500, "totally other words here for id three yes it is")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = classes_plainly(rows)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    for block in (16, 2048):
+        assert {x["doc_id"]: x["class_id"] for x in minhash.classes(docs, block=block).collect()} == want
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(2)
     n, m = 300, 288
@@ -432,6 +457,55 @@ def test_quality_verdicts(documents):
 # the pipeline
 
 
+def plain_lines(rows):
+    """(doc_id, text) after lines on over 2 % and at least five of a source's distinct pages are gone."""
+    pages = collections.defaultdict(set)
+    for r in rows:
+        pages[r["source"]].add(r["text"])
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    bad = {}
+    for source, texts in pages.items():
+        seen = collections.Counter(x for t in texts if t is not None for x in {strip(x) for x in t.split("\n")} if x)
+        bad[source] = {x for x, n in seen.items() if n >= 5 and n > 0.02 * len(texts)}
+    return {r["doc_id"]: None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if strip(x) not in bad[r["source"]]) for r in rows}
+
+
+def test_pipeline_equals_plain_versions(spark, documents, tmp_path):
+    """Each stage's rows against a plain version over what the stage before it kept."""
+    import corpus_pipeline
+
+    docs, kept = documents, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        old, new = [r.asDict() for r in docs.collect()], [r.asDict() for r in after.collect()]
+        if name == "quality_rules":
+            want = {r["doc_id"] for r in quality.judge(docs).filter("kept").collect()}  # see test_quality_verdicts
+            assert sorted(map(repr, new)) == sorted(repr(r) for r in old if r["doc_id"] in want)
+        elif name == "line_dedup":
+            assert {r["doc_id"]: r["text"] for r in new} == plain_lines(old) and len(new) == len(old)
+            assert all(r["n_chars"] == len(r["text"]) for r in new)
+        elif name == "near_duplicates":
+            least = classes_plainly([(r["doc_id"], r["text"]) for r in old])
+            assert sorted(map(repr, new)) == sorted(repr(r) for r in old if least[r["doc_id"]] == r["doc_id"])
+        elif name == "substring_dedup":
+            assert sorted(((r["doc_id"], words(r["text"])) for r in new)) == sorted((d, w) for d, w, *_ in cut_plainly([(r["doc_id"], r["text"]) for r in old]))
+        else:
+            of = collections.defaultdict(list)
+            for p in new:
+                of[p["doc_id"]].append((p["start"], p["length"]))
+            assert set(of) == {r["doc_id"] for r in old}
+            for d, spans in of.items():
+                at = 0
+                for start, length in sorted(spans):
+                    assert start == at
+                    at += length
+            filled, sequences = sum(p["length"] for p in new), len({p["sequence_id"] for p in new})
+            assert filled > 0.98 * packing.CAPACITY * (sequences - 1)
+        docs = after
+    assert docs.count() > 0
+
+
 def test_pipeline(spark, tmp_path, odd):
     import corpus_pipeline
 
@@ -445,3 +519,7 @@ def test_pipeline(spark, tmp_path, odd):
     assert docs.agg(F.count("*")).first()[0] > 0
     left = {r["doc_id"] for r in docs.collect()}
     assert 1 in left and 2 not in left and 4 not in left
+    docs = odd.limit(0).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"), "key", "comp", "__host" if "__host" in odd.columns else "line")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
