@@ -47,7 +47,10 @@ def numbered(files: DataFrame) -> DataFrame:
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """path, lang, kind, name and line of each definition; of several patterns that fit the first counts."""
+    """path, lang, kind, name, line and receiver of each definition; of several patterns that fit the first counts.
+
+    ``receiver`` is the type that a Go method is declared on, and null elsewhere.
+    """
     found = None
     for lang, patterns in DEFINITIONS.items():
         for kind, pattern in reversed(patterns):
@@ -57,7 +60,8 @@ def definitions(files: DataFrame) -> DataFrame:
             found = F.when(hit, one) if found is None else F.when(hit, one).otherwise(found)
     rows = numbered(files).withColumn("d", found).filter("d IS NOT NULL")
     name = F.when(F.col("lang") == "sql", F.lower(F.translate(F.element_at(F.split("d.name", "[.]"), -1), "\"`", ""))).otherwise(F.col("d.name"))
-    return rows.select("path", "lang", F.col("d.kind").alias("kind"), name.alias("name"), "line")
+    receiver = F.when(F.col("lang") == "go", F.nullif(F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?\s*(\w+)", 1), F.lit("")))
+    return rows.select("path", "lang", F.col("d.kind").alias("kind"), name.alias("name"), "line", receiver.alias("receiver"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -70,6 +74,65 @@ def imports(files: DataFrame) -> DataFrame:
     return numbered(files).withColumn("module", found).filter("module IS NOT NULL").select("path", "lang", "module", "line")
 
 
+_CLAUSE = r"^\s*(?:import|export)\s+(?:type\s+)?(.*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]"
+_REQUIRED = r"(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]"
+_BINDING = "array<struct<module:string,symbol:string,alias:string>>"
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """path, lang, line, module, symbol and alias of each name that an import binds.
+
+    Whole modules have no symbol, and no alias either if all of their names are taken over; ``default`` is the
+    symbol of a default import.  An import that binds nothing has an empty alias.
+    """
+    t, null = F.col("text"), F.lit(None).cast("string")
+    got = lambda pattern, k, text=t: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    one = lambda module, symbol, alias: F.struct(module.alias("module"), symbol.alias("symbol"), alias.alias("alias"))
+    listed = lambda text: F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[\w.*]"))
+    renamed = lambda x: F.coalesce(got(r"\bas\s+(\w+)", 1, x), got(r"^([\w.]+)", 1, x))
+
+    from_, plain = r"^\s*from\s+([.\w]+)\s+import\s+\(?([^#()]*)", r"^\s*import\s+([\w.][^#]*)"
+    python = F.when(
+        t.rlike(from_),
+        F.transform(listed(F.regexp_extract(t, from_, 2)), lambda x: F.when(x == "*", one(got(from_, 1), null, null)).otherwise(one(got(from_, 1), got(r"^(\w+)", 1, x), renamed(x)))),
+    ).when(t.rlike(plain), F.transform(listed(F.regexp_extract(t, plain, 1)), lambda x: one(got(r"^([\w.]+)", 1, x), null, renamed(x))))
+    clause, source = F.regexp_extract(t, _CLAUSE, 1), got(_CLAUSE, 2)
+    named = F.transform(listed(F.regexp_extract(clause, r"\{([^}]*)\}?", 1)), lambda x: one(source, got(r"^(?:type\s+)?(\w+)", 1, x), renamed(F.regexp_replace(x, r"^type\s+", ""))))
+    whole = F.when(clause.rlike(r"\*\s*as\s+\w+"), F.array(one(source, null, got(r"\*\s*as\s+(\w+)", 1, clause)))).when(clause.rlike(r"^\*"), F.array(one(source, null, null)))
+    default = F.when(clause.rlike(r"^\w"), F.array(one(source, F.lit("default"), got(r"^(\w+)", 1, clause))))
+    none = F.array().cast(_BINDING)
+    effect = r"^\s*import\s*['\"]([^'\"]+)['\"]"
+    typescript = (
+        F.when(t.rlike(_CLAUSE), F.concat(*[F.coalesce(x.cast(_BINDING), none) for x in (default, whole, named)]))
+        .when(t.rlike(_REQUIRED), F.array(one(got(_REQUIRED, 2), null, got(_REQUIRED, 1))))
+        .when(t.rlike(effect), F.array(one(got(effect, 1), null, F.lit(""))))
+    )
+    type_ = r"^\s*import\s+(?:static\s+)?([\w.]+)\.(\w+|\*)\s*;"
+    name = F.when(got(type_, 2) != "*", got(type_, 2))
+    java = F.when(t.rlike(type_), F.array(one(got(type_, 1), name, name)))
+    package = r"^\s*(?:import\s+)?(?:([\w.]+)\s+)?\"([^\"]+)\"\s*$"
+    go = F.when(t.rlike(package), F.array(one(got(package, 2), null, F.coalesce(got(package, 1), F.substring_index(got(package, 2), "/", -1)))))
+    swift = F.when(t.rlike(IMPORTS["swift"]), F.array(one(got(IMPORTS["swift"], 1), null, null)))
+    found = None
+    for lang, value in (("python", python), ("typescript", typescript), ("java", java), ("go", go), ("swift", swift)):
+        found = F.when(F.col("lang") == lang, value.cast(_BINDING)) if found is None else found.when(F.col("lang") == lang, value.cast(_BINDING))
+    rows = numbered(files).withColumn("bound", found).filter("bound IS NOT NULL")
+    return rows.select("path", "lang", "line", F.explode("bound").alias("b")).select("path", "lang", "line", "b.*").filter("module IS NOT NULL")
+
+
+def supertypes(files: DataFrame) -> DataFrame:
+    """path, lang, line and base of each type that a class line names after its own."""
+    t = F.col("text")
+    after = (
+        F.when(F.col("lang") == "python", F.regexp_extract(t, r"^\s*class\s+\w+\s*\(([^)]*)\)", 1))
+        .when(F.col("lang").isin("typescript", "java"), F.regexp_replace(F.regexp_extract(t, r"\b(?:class|interface|record)\s+\w+[^{]*?\b((?:extends|implements)\b[^{]*)", 1), r"\b(?:extends|implements)\b", ","))
+        .when(F.col("lang") == "swift", F.regexp_extract(t, r"^\s*(?:\w+\s+)*(?:class|struct|enum|actor|protocol)\s+\w+(?:<[^>]*>)?\s*:\s*([^{]*)", 1))
+        .otherwise("")
+    )
+    names = F.filter(F.transform(F.split(F.regexp_replace(after, r"<[^>]*>", ""), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_][\w.]*$"))
+    return numbered(files).select("path", "lang", "line", F.explode(names).alias("base"))
+
+
 def calls(files: DataFrame) -> DataFrame:
     """path, lang, qualifier (null for a bare call), name and line of each call."""
     rows = numbered(files).filter("lang <> 'sql'")

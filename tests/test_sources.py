@@ -92,3 +92,41 @@ def test_ignore_rules(spark):
 def test_tables_in_text(spark):
     got = spark.range(1).select(lines.tables_in_text(F.lit("SELECT * FROM app.Users u JOIN orders o WHERE x IN (select 1 from users); UPDATE t SET a")).alias("t")).first()["t"]
     assert got == ["users", "orders"]
+
+
+def test_index(spark):
+    """From texts to relationships: imports, a barrel, supertypes, inherited members, receivers and a package."""
+    from symgraph.operators import index
+
+    tree = {
+        "app/base.py": "class Base:\n    def save(self):\n        pass\n\ndef helper():\n    pass\n",
+        "app/__init__.py": "from .base import Base\nfrom .base import *\n",
+        "app/main.py": "import os\nfrom app import Base as B\nfrom . import base\n\nclass Item(B):\n    def run(self):\n        self.save()\n        base.helper()\n        os.getcwd()\n\ndef main():\n    Item().run()\n    helper()\n",
+        "web/x.ts": "export default function start() {}\nexport const go = () => start();\nexport class Box extends Lid {\n}\n",
+        "web/lid.ts": "export class Lid {}\n",
+        "web/index.ts": "import start, { go as g } from './x.js';\nimport * as lids from './lid';\nexport function all() {\n  g();\n}\n",
+        "srv/a.go": 'package srv\nimport "fmt"\nfunc (s *Store) Get() {\n\tFetch()\n}\n',
+        "srv/b.go": "package srv\ntype Store struct {}\nfunc Fetch() {}\n",
+    }
+    rows = [(p, {"py": "python", "ts": "typescript", "go": "go"}[p.rsplit(".", 1)[1]], t) for p, t in tree.items()]
+    made = index.build(spark.createDataFrame(rows, "path string, lang string, text string"))
+    ids = {r["id"] for r in made.nodes.collect()}
+    assert {"app/base.py:class:Base", "app/base.py:method:Base.save", "app/main.py:method:Item.run", "srv/a.go:method:Store.Get", "web/x.ts:function:start", "web/index.ts:module"} <= ids
+    edges = {(r["src_id"], r["dst_id"], r["type"], r["confidence"]) for r in made.edges.collect()}
+    assert {
+        ("app/__init__.py:module", "app/base.py:class:Base", "imports", "resolved"),
+        ("app/main.py:module", "app/base.py:class:Base", "imports", "resolved"),
+        ("app/main.py:module", "app/__init__.py:module", "imports", "resolved"),
+        ("app/main.py:module", "app/base.py:module", "imports", "resolved"),
+        ("app/main.py:class:Item", "app/base.py:class:Base", "inherits", "resolved"),
+        ("app/main.py:method:Item.run", "app/base.py:method:Base.save", "calls", "resolved"),
+        ("app/main.py:method:Item.run", "app/base.py:function:helper", "calls", "resolved"),
+        ("app/main.py:function:main", "app/main.py:class:Item", "calls", "exact"),
+        ("app/main.py:function:main", "app/base.py:function:helper", "calls", "resolved"),
+        ("web/index.ts:module", "web/x.ts:function:go", "imports", "resolved"),  # the preferred export stands for the default
+        ("web/index.ts:function:all", "web/x.ts:function:go", "calls", "resolved"),
+        ("web/x.ts:class:Box", "web/lid.ts:class:Lid", "inherits", "heuristic"),
+        ("app/base.py:class:Base", "app/base.py:method:Base.save", "defines", "exact"),
+        ("srv/a.go:method:Store.Get", "srv/b.go:function:Fetch", "calls", "heuristic"),
+    } <= edges
+    assert not any("os" in e[1].split(":")[0] for e in edges)
