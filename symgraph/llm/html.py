@@ -4,8 +4,8 @@ A page is read into leaf blocks in page order: the text between block-level tags
 open around it and their class, id and role words.  A bidirectional LSTM in numpy reads, for each block, a
 hashed vector of its tag path and one of its words, and labels it main text or not in the light of the
 whole page.  It is trained here, on a bounded sample of pages, whose labels come from the names of the
-elements around a block; names are hidden from it at random in training, so that it learns from words,
-shapes and neighbours too.
+elements around a block; names, or all but their kind, are hidden from it at random in training, so that it
+learns from words, shapes and neighbours too.
 
 Defined results: a null or empty html has no text; unclosed and stray tags are allowed; scripts, styles,
 forms and comments never are text, nor is what a head may hold; texts of any length are read whole; rows with
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Pages that are trained on at most.
 TRAIN_PAGES = 300
 PATH_DIMS, WORD_DIMS, HIDDEN = 64, 32, 16
-INPUTS = PATH_DIMS + WORD_DIMS + 4
+INPUTS = PATH_DIMS + WORD_DIMS + 6
 TRAIN_BLOCKS, PASSES, SEED = 96, 12, 7
 
 # Names of HTML elements by their role.
@@ -174,12 +174,18 @@ def _bucket(word: str, dims: int) -> int:
     return known % dims
 
 
-def vectors(page: list[Block], hidden: frozenset[str] = frozenset()) -> np.ndarray:
-    """A row for each block: hashed tag path, hashed words, length, links and place."""
+def vectors(page: list[Block], hidden: frozenset[str] = frozenset(), blurred: frozenset[str] = frozenset()) -> np.ndarray:
+    """A row for each block: hashed tag path, hashed words, whether the path has names of main text or of other things,
+    length, links, place and last character.  Names of one kind help each other: a page may have one that the sample hasn't.
+
+    ``hidden`` names aren't seen at all; of ``blurred`` ones the kind is.
+    """
     x = np.zeros((len(page), INPUTS), np.float32)
     for k, b in enumerate(page):
-        for name in b.names - hidden:
+        shown = b.names - hidden
+        for name in shown - blurred:
             x[k, _bucket(name, PATH_DIMS)] = 1
+        x[k, -6:-4] = not shown.isdisjoint(_MAIN), not shown.isdisjoint(_OTHER)
         words = b.text.lower().split()
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount([_bucket(w, WORD_DIMS) for w in words], minlength=WORD_DIMS) / len(words) ** 0.5
         x[k, -4:] = min(2.0, np.log1p(len(words)) / 4), b.linked, k / len(page), b.text[-1] in ".!?"
@@ -254,11 +260,28 @@ class Labeller:
         parts = [p[k : k + TRAIN_BLOCKS] for p in pages for k in range(0, len(p), TRAIN_BLOCKS)]
         mean, square, turn = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         names = sorted(_MAIN | _OTHER)
+
+        def drawn(some: list[str], often: float) -> frozenset[str]:
+            """Half of the names, on a page in so many; else none."""
+            return frozenset(w for w in some if r.random() < 0.5) if r.random() < often else frozenset()
+
+        others = sorted(_OTHER)
+
+        def mixed(page: list[Block]) -> list[Block]:
+            """A page on which some main text is said again inside an element of another kind."""
+            out = []
+            for b in page:
+                out.append(b)
+                if r.random() < 0.1 and b.names & _MAIN:
+                    around = b.names - _MAIN if r.random() < 0.5 else b.names
+                    out.append(Block(b.text, b.path, around | {others[int(r.integers(0, len(others)))]}, b.linked))
+            return out
+
         for _ in range(passes):
             order = r.permutation(len(parts))
             for at in range(0, len(order), batch):
-                some = [parts[k] for k in order[at : at + batch]]
-                shown = [vectors(p, frozenset(w for w in names if r.random() < 0.5) if r.random() < 0.3 else frozenset()) for p in some]
+                some = [mixed(parts[k]) for k in order[at : at + batch]]
+                shown = [vectors(p, drawn(names, 0.3), drawn(sorted(frozenset().union(*[b.names for b in p])), 0.6)) for p in some]
                 x, mask = padded(shown)
                 y = np.zeros(mask.shape)
                 for k, p in enumerate(some):
