@@ -82,11 +82,11 @@ def test_main_text_written_by_hand(spark):
     said = "<section class='comments'><div class='comment'><p>I liked this very much, thanks.</p></div></section>"
     rows = [
         (1, f"<html><head><title>t</title><body>{nav}<article><h1>On  tides</h1><p>The sea rises &amp; falls\ntwice a day.</p>{ad}<p>Moon and sun pull it.</p></article>{said}{foot}", "On tides\n\nThe sea rises & falls twice a day.\n\nMoon and sun pull it."),
-        (2, f"<body><header>The Daily</header>{nav}<article><p>Prices rose by 3&nbsp;% in May.<script>var a = '<p>no</p>'</script></p><ul><li>bread<li>milk</ul></article><aside>Read more</aside>{form}{foot}</body>", "Prices rose by 3 % in May.\n\nbread\n\nmilk"),
+        (2, f"<body><header>The Daily</header>{nav}<article><p>Prices rose by 3&nbsp;% in May.<script>var a = '<p>no</p>'</script></p><ul><li>Bread rose by five cents a loaf.<li>Milk stayed as it was.</ul></article><aside>Read more</aside>{form}{foot}</body>", "Prices rose by 3 % in May.\n\nBread rose by five cents a loaf.\n\nMilk stayed as it was."),
         (3, f"{nav}{ad}{foot}", ""),
     ]
     pages = spark.createDataFrame([(k, "u", source) for k, source, _ in rows], "page_id bigint, url string, html string")
-    model = html.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), 50)
+    model = html.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert {r["page_id"]: r["text"] for r in html.extract(pages, model).collect()} == {k: want for k, _, want in rows}
 
 
