@@ -32,7 +32,8 @@ SAMPLES = 64
 #: A draw is one of 2 ** BITS; the table of draws has a megabyte.
 BITS = 16
 ROWS_PER_BUCKET = 500
-MAX_BUCKETS = 8192
+#: More would make the list of their edges, which is a part of the plan, large; beyond that buckets grow, sorted and spilled by their tasks.
+MAX_BUCKETS = 1 << 16
 
 
 def gamma_table(spark: SparkSession, bits: int = BITS) -> DataFrame:
