@@ -40,12 +40,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 #: Bytes between two looks for tokens that are final.
 LOOK = 64
+#: Pairs of numbers are kept as one, the second below 1 << SHIFT.
+SHIFT = 20
+MASK = (1 << SHIFT) - 1
 
 
 class Transducer:
     """Encodes pre-tokens; tables grow with what has been read, up to ``most`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+        if max(ranks.values(), default=0) >= MASK:
+            raise ValueError(f"tokens must be below {MASK}")
         self.ranks, self.most = ranks, most
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
@@ -63,24 +68,23 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.children[node][b]
             self.token_at[node] = token
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.pair.clear()
-        # a state: ((node, last token), ...), the longest live suffix first
-        start = ((0, -1),)
-        self.number: dict[tuple, int] = {start: 0}
-        self.state: list[tuple] = [start]
-        #: 256 * state + byte: (state, token)
-        self.next: dict[int, tuple[int, int]] = {}
+        # a state: the live places, the longest suffix first, each as node << SHIFT | last token + 1
+        self.number: dict[tuple[int, ...], int] = {(0,): 0}
+        self.state: list[tuple[int, ...]] = [(0,)]
+        #: 256 * state + byte: the next state << SHIFT | token
+        self.next: dict[int, int] = {}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the bytes of two tokens, together, are encoded as these two."""
         if left < 0:
             return True
-        key = (left, right)
+        key = left << SHIFT | right
         known = self.pair.get(key)
         if known is None:
             known = self.pair[key] = self._apart(left, right)
@@ -137,27 +141,28 @@ class Transducer:
                 ranks[at - 1] = rank_of(word[cuts[at - 1] : cuts[at + 1]], none)
         return [self.ranks[word[i:j]] for i, j in zip(cuts, cuts[1:])]
 
-    def _step(self, key: int) -> tuple[int, int]:
+    def _step(self, key: int) -> int:
         state, byte = divmod(key, 256)
         live, ended = [], -1
-        for node, last in self.state[state]:
-            child = self.children[node].get(byte)
+        for place in self.state[state]:
+            child = self.children[place >> SHIFT].get(byte)
             if child is None:
                 continue
+            last = place & MASK
             if self.children[child]:
-                live.append((child, last))
+                live.append(child << SHIFT | last)
             token = self.token_at[child]
-            if token >= 0 and ended < 0 and self.follows(last, token):
+            if token >= 0 and ended < 0 and self.follows(last - 1, token):
                 ended = token
         if ended < 0:
             raise ValueError("a byte is missing from the vocabulary")
-        live.append((0, ended))
+        live.append(ended + 1)
         made = tuple(live)
         at = self.number.get(made)
         if at is None:
             at = self.number[made] = len(self.state)
             self.state.append(made)
-        found = self.next[key] = (at, ended)
+        found = self.next[key] = at << SHIFT | ended
         return found
 
     def _chain(self, lasts: list[int], end: int) -> list[int]:
@@ -172,7 +177,7 @@ class Transducer:
 
     def _final(self, state: int, lasts: list[int]) -> int:
         """Up to where tokens are final: the last place on the chains of all live places."""
-        places = {len(lasts) - self.depth[node] for node, _ in self.state[state]}
+        places = {len(lasts) - self.depth[place >> SHIFT] for place in self.state[state]}
         while len(places) > 1:
             top = max(places)
             places.remove(top)
@@ -185,8 +190,9 @@ class Transducer:
         for at in range(0, len(word), LOOK):
             for b in word[at : at + LOOK]:
                 key = state << 8 | b
-                state, token = table.get(key) or self._step(key)
-                lasts.append(token)
+                step = table.get(key) or self._step(key)  # never 0, as no step leads back to the start
+                state = step >> SHIFT
+                lasts.append(step & MASK)
             if at + LOOK < len(word):
                 final = self._final(state, lasts)
                 yield self._chain(lasts, final)
@@ -324,7 +330,7 @@ class _Known(dict):
 class Codec:
     """A worker's transducer, decoder and pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 100_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 200_000):
         import regex
 
         ranks = load_ranks(path)
