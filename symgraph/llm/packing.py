@@ -20,7 +20,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,48 @@ from .scratch import materialize
 CAPACITY = 4096
 UNIT = 16
 END = 2
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: Words, and as many from before, whose ids a worker remembers at most; longer ones aren't remembered.
+REMEMBERED, LONGEST = 300_000, 64
 #: Rows of (class, shard) counts that are broadcast at most.
 FEW = 200_000
 
 
+class Recent:
+    """Values by word: of the last words asked for, at least ``REMEMBERED``, twice that at most."""
+
+    def __init__(self) -> None:
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def missing(self, words: set[bytes]) -> set[bytes]:
+        """The words that aren't known; the others are in ``now``."""
+        new = words - self.now.keys()
+        back = new & self.before.keys()
+        self.now.update((w, self.before[w]) for w in back)
+        return new - back
+
+    def trim(self, new: Iterable[bytes]) -> None:
+        """To be called when ``new`` words have been used."""
+        for w in new:
+            if len(w) > LONGEST:
+                del self.now[w]
+        if len(self.now) >= REMEMBERED:
+            self.before, self.now = self.now, {}
+
+
 class WordIds:
     """The ids of a text, as little-endian unsigned 32-bit values, put together from those of its words.
 
     The tokenizer drops white space and never joins across it, so words can be encoded one by one and
-    remembered.  ASCII words are lowered, and a last full stop or comma after a letter is set apart, before
-    that: the tokenizer does the same, and fewer different words are left.  Other words are left as they
-    are: a lowered letter can compose with a mark that its capital doesn't compose with.
+    remembered.  ASCII letters are lowered, and a last full stop or comma after a letter or digit is set apart,
+    before that: the tokenizer does the same, and fewer different words are left.  Texts with combining marks
+    aren't lowered: a lowered letter can compose with a mark that its capital doesn't compose with.
+
+    New words of letters are encoded as one text; each ends in a token that ends words.
 
     With ``added``, the tokenizer's added tokens in a text have their own ids, as is the library's default.
     """
 
-    _LAST = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
-
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -63,27 +87,62 @@ class WordIds:
         self.marks = re.compile(b"(" + b"|".join(map(re.escape, marks)) + b")") if marks else None
         # no word begins with a space
         self.added = {b" " + m: np.array([k], "<u4").tobytes() for m, k in marks.items()}
-        self.known: dict[bytes, bytes] = dict(self.added)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words, self.cores = Recent(), Recent()
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _split(self, text: bytes) -> list[bytes]:
         if self.marks and self.marks.search(text):
             parts = self.marks.split(text)
-            return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else self._plain(part))]
-        return self._plain(text)
-
-    def _plain(self, text: bytes) -> list[bytes]:
-        if text.isascii():
-            return self._LAST.sub(rb" \1", text.lower()).split()
-        return [w.lower() if w.isascii() else w for w in self._LAST.sub(rb" \1", text).split()]
+            return [w for k, part in enumerate(parts) for w in ([b" " + part] if k % 2 else self._lowered(part).split())]
+        return self._lowered(text).split()
+
+    @staticmethod
+    def _lowered(text: bytes) -> bytes:
+        """With ASCII letters in lower case, unless a lead byte of U+0300 to U+037F is there."""
+        return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Makes new words known."""
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        for word in new:
+            if word in self.added:
+                self.words.now[word] = self.added[word]
+                continue
+            if word.endswith((b".", b",")) and word[-2:-1].isalnum():
+                parts[word] = (word[:-1], word[-1:])
+            else:
+                parts[word] = (word,)
+        cores = self.cores.missing({c for both in parts.values() for c in both})
+        plain, others = [], []
+        for core in cores:
+            word = core.decode()
+            (plain if word.isalpha() else others).append((core, word))
+        ids = np.array(self.tokenizer.encode(" ".join([w for _, w in plain]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(plain):
+            raw, at = ids.tobytes(), 0
+            for (core, _), end in zip(plain, (4 * ends).tolist()):
+                self.cores.now[core] = raw[at:end]
+                at = end
+        else:  # a letter became a letter and a mark when it was lowered
+            others += plain
+        found = self.tokenizer.encode_batch_fast([w for _, w in others], add_special_tokens=False)
+        self.cores.now.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(others, found))
+        of = self.cores.now
+        self.words.now.update((w, of[both[0]] + of[both[1]] if len(both) > 1 else of[both[0]]) for w, both in parts.items())
+        self.cores.trim(cores)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.added)
-        new = list({w for words in split for w in words} - self.known.keys())
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        split = [self._split(t) for t in texts]
+        new = self.words.missing(set(chain.from_iterable(split)))
+        if new:
+            self._learn(new)
+        ids_of = self.words.now.__getitem__
+        out = [b"".join(map(ids_of, words)) for words in split]
+        self.words.trim(new)
+        return out
 
 
 _WORKER: dict[tuple[str, bool], WordIds] = {}
@@ -152,6 +211,21 @@ def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple
     return float(value[capacity]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, a row at a time: a driver's threads of linear algebra can wait for each other for good."""
+    m = len(matrix)
+    both = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        if pivot != k:
+            both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        both -= others[:, None] * both[k]
+    return both[:, m:]
+
+
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) of the rounded solution; sizes ascend.  Patterns never ask for more than the demand.
 
@@ -172,7 +246,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
         least = max(x.sum() / worth, volume) if worth > 0 else volume
         if worth <= 1 + 1e-7 or x.sum() <= (1 + gap) * least:
             break
-        step = inverse @ pattern
+        used = np.flatnonzero(pattern)
+        step = (inverse[:, used] * pattern[used]).sum(axis=1)
         rising = step > 1e-9
         ratios = np.full(m, np.inf)
         ratios[rising] = x[rising] / step[rising]
@@ -186,7 +261,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
         inverse[out] = row
         turn += 1
         if turn % 200 == 0:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
             x = np.maximum(inverse @ demand, 0)
     left = demand.astype(np.int64).copy()
     chosen = []
