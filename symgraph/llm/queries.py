@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, langid, lines, minhash, packing, quality, substrings, warc
+from . import bpe, fingerprints, html, langid, lines, merkle, minhash, packing, quality, substrings, warc
 from .native import words_of
 
 
@@ -93,6 +93,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_bagminhash": op8_bagminhash,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _LINES = r"""
@@ -270,7 +275,48 @@ def _quality_sql() -> str:
     """
 
 
+def _merkle_sql(leaf_levels: int = 6, source_levels: int = 3) -> str:
+    """Leaves, the levels over them, and each leaf's way up, for up to 16 ** leaf_levels rows of a source."""
+    field = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE octet_length(encode({v}::VARCHAR)) || ':' || {v} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bit = "lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),"
+        f" lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), {bit})), 4294967295)"
+    )
+    upper, lower = merkle.UPPER, merkle.UPPER.lower()
+    parts = [f"""
+    WITH t AS (
+      SELECT row_number() OVER () AS rid, doc_id, source, {leaf('text')} AS leaf,
+             {leaf(f"(CASE WHEN {crc} % 5 = 0 THEN translate(text, '{upper}', '{lower}') ELSE text END)")} AS changed FROM documents
+    ), n0 AS (
+      SELECT *, coalesce('=' || source, '-') AS g, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total FROM t
+    )"""]
+
+    def climb(tree: str, walk: str, levels: int, step: int) -> str:
+        """Adds the levels of a tree (g, pos, total, h), and what a walk (here, f, proof) meets on them."""
+        for k in range(levels):
+            parts.append(f"""
+    , {tree}r{k} AS (SELECT g, pos // 16 AS pos, max(total) AS total, list(h ORDER BY pos) AS hs FROM {tree}{k} GROUP BY g, pos // 16)
+    , {tree}{k + 1} AS (SELECT g, pos, (total + 15) // 16 AS total, CASE WHEN total > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {tree}r{k})
+    , {walk}{step + k + 1} AS (
+      SELECT w.* EXCLUDE (here, f, proof), here // 16 AS here, CASE WHEN total > 1 THEN sha256(array_to_string(list_concat(list_concat(hs[1:here % 16], [f]), hs[here % 16 + 2:]), '')) ELSE f END AS f,
+             CASE WHEN total > 1 THEN proof || array_to_string(list_concat(hs[1:here % 16], hs[here % 16 + 2:]), '') ELSE proof END AS proof
+      FROM {walk}{step + k} w JOIN {tree}r{k} r ON r.g = w.g AND r.pos = w.here // 16
+    )""")
+        return f"{tree}{levels}"
+
+    parts.append(", w0 AS (SELECT rid, doc_id, g, leaf, pos AS here, changed AS f, '' AS proof FROM n0)")
+    subroots = climb("n", "w", leaf_levels, 0)
+    parts.append(f""", m0 AS (SELECT '' AS g, g AS source_g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS total FROM {subroots})
+    , v0 AS (SELECT rid, doc_id, leaf, h AS subroot, '' AS g, m0.pos AS here, f, proof FROM w{leaf_levels} w JOIN m0 ON m0.source_g = w.g)""")
+    root = climb("m", "v", source_levels, 0)
+    parts.append(f"SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM v{source_levels} CROSS JOIN {root} r")
+    return "".join(parts)
+
+
 ORACLES = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op8_bagminhash": _NEAR,
     "op10_quality_rules": _quality_sql(),
     "op5_warc_bundles": _WARC,
