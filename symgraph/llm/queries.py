@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, langid, lines, merkle, minhash, packing, quality, substrings, warc
+from . import bpe, fingerprints, html, langid, lines, merkle, minhash, packing, quality, ranked, substrings, warc
 from .native import words_of
 
 
@@ -97,6 +97,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -114,6 +118,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _LINES = r"""
@@ -275,6 +280,30 @@ def _quality_sql() -> str:
     """
 
 
+_RANKED = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS did, doc_id, {"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"} AS ws FROM documents
+), items AS (
+  SELECT row_number() OVER () AS iid, item_id, {"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"} AS ws FROM benchmark
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM docs WHERE len(ws) > 0
+), asked AS (
+  SELECT iid, item_id, term, count(*) AS q FROM (SELECT iid, item_id, unnest(ws) AS term FROM items) GROUP BY ALL
+), tfs AS (
+  SELECT did, term, count(*) AS tf FROM (SELECT did, unnest(ws) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tfs CROSS JOIN whole GROUP BY term, n_docs
+), sized AS (
+  SELECT did, doc_id, 75 + (25 * CAST(len(ws) AS BIGINT) * n_docs) // n_terms AS m FROM docs CROSS JOIN whole WHERE len(ws) > 0
+), sums AS (
+  SELECT iid, item_id, did, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (did) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM sums WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def _merkle_sql(leaf_levels: int = 6, source_levels: int = 3) -> str:
     """Leaves, the levels over them, and each leaf's way up, for up to 16 ** leaf_levels rows of a source."""
     field = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE octet_length(encode({v}::VARCHAR)) || ':' || {v} END"
@@ -317,6 +346,7 @@ def _merkle_sql(leaf_levels: int = 6, source_levels: int = 3) -> str:
 
 ORACLES = {
     "op12_merkle_manifest": _merkle_sql(),
+    "op13_ranked_search": _RANKED,
     "op8_bagminhash": _NEAR,
     "op10_quality_rules": _quality_sql(),
     "op5_warc_bundles": _WARC,
