@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, langid, lines, merkle, minhash, packing, quality, ranked, substrings, warc
+from . import bpe, fingerprints, html, langid, lines, merkle, metric, minhash, packing, quality, ranked, substrings, warc
 from .native import words_of
 
 
@@ -93,6 +93,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_bagminhash": op8_bagminhash,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_topk": op11_vector_topk,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ranked_search": op13_ranked_search,
 }
@@ -280,6 +285,17 @@ def _quality_sql() -> str:
     """
 
 
+_NEAREST = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.rid, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid <> b.rid AND len(a.q) = len(b.q)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
 _RANKED = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS did, doc_id, {"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"} AS ws FROM documents
@@ -347,6 +363,7 @@ def _merkle_sql(leaf_levels: int = 6, source_levels: int = 3) -> str:
 ORACLES = {
     "op12_merkle_manifest": _merkle_sql(),
     "op13_ranked_search": _RANKED,
+    "op11_vector_topk": _NEAREST,
     "op8_bagminhash": _NEAR,
     "op10_quality_rules": _quality_sql(),
     "op5_warc_bundles": _WARC,
