@@ -17,8 +17,8 @@ ones are left out of the tree, and equal queries are searched once, so copies co
 
 Defined results: vectors that are null, or hold null or components that aren't finite, take no part; vectors meet
 those of their own length only (empty ones score 0 with each other); rows with equal vec_id are told apart, so
-the own row alone is left out; null ids ask nothing and are last among ties; scores beyond 64 bits are reported
-as the nearest long; an empty table gives an empty result; further columns are ignored.
+the own row alone is left out; null ids ask nothing and are last among ties; scores beyond 64 bits count as the
+nearest long; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ class Subtree:
         if self.greatest * np.abs(q).max(initial=0) * max(1, len(q)) < _EXACT:
             return (self.vectors[rows] @ q).astype(np.int64).tolist()
         whole = [int(x) for x in q]
-        return [sum(int(a) * b for a, b in zip(v.tolist(), whole)) for v in self.vectors[rows]]
+        exact = (sum(int(a) * b for a, b in zip(v.tolist(), whole)) for v in self.vectors[rows])
+        return [max(-_LONG - 1, min(_LONG, s)) for s in exact]
 
     def search(self, q: np.ndarray, k: int, floor: float | None) -> list[tuple]:
         """The k best (-score, id is null, id, row) with scores from ``floor`` on, which k vectors are known to reach."""
@@ -265,8 +266,8 @@ def search(rows: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows_of(batches):
             dim = row["dim"]
-            q = np.array([unpacked(x["code"]) for x in row["queries"]]).reshape(-1, dim)
-            c = np.array([unpacked(x["center"]) for x in row["nodes"]]).reshape(-1, dim)
+            q = np.array([unpacked(x["code"]) for x in row["queries"]]).reshape(len(row["queries"]), dim)
+            c = np.array([unpacked(x["center"]) for x in row["nodes"]]).reshape(len(row["nodes"]), dim)
             square = (q**2).sum(axis=1)
             floor = np.array([-np.inf if x["floor"] is None else x["floor"] for x in row["queries"]])
             reach = np.sqrt(np.maximum(0, square + most - 2 * floor)) + SLACK * (np.sqrt(square) + np.sqrt(most))
@@ -286,7 +287,7 @@ def search(rows: DataFrame, asks: Column, k: int = 5) -> DataFrame:
             own, out = Subtree(row, most), []
             for asked_ in row["queries"]:
                 for s, absent, vec_id, at in own.search(unpacked(asked_["code"]), k + 1, asked_["floor"]):
-                    out.append((row["dim"], asked_["code"], int(own.rids[at]), None if absent else vec_id, max(-_LONG - 1, min(_LONG, -s))))
+                    out.append((row["dim"], asked_["code"], int(own.rids[at]), None if absent else vec_id, -s))
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             made = [pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)]
             yield pa.RecordBatch.from_arrays(made, names=["dim", "code", "found", "vec_id", "score"])
