@@ -133,7 +133,7 @@ def split_qualified(name: Column) -> Column:
     )
 
 
-#: What a statement that names tables has.
+# Fixed value: what an embedded statement that names tables has.
 _STATEMENT = r"(?i)\b(select|insert\s+into|update|delete\s+from|create\s+table|join)\b"
 
 
@@ -194,3 +194,16 @@ def fuzzy_millis(query: str, candidate: Column) -> Column:
 
 def _locate_from(needle: Column, text: Column, start: Column) -> Column:
     return F.call_function("locate", needle, text, start)
+
+
+# Fixed value: the place of a table's name in an embedded statement.
+_TABLE = r"(?i)\b(?:from|join|insert\s+into|update|delete\s+from)\s+([`\"\[]?[A-Za-z_][\w$]*(?:\.[A-Za-z_][\w$]*)?[`\"\]]?)"
+# Words in the place of a table that aren't one.
+_NO_TABLE = ("select", "where", "dual", "values", "set", "lateral", "unnest", "only", "table", "generate_series")
+
+
+def tables_in_text(text: Column) -> Column:
+    """Tables that an embedded statement names, each once, without schema and in lower case; of other texts none."""
+    bare = F.transform(F.regexp_extract_all(text, F.lit(_TABLE), F.lit(1)), bare_identifier)
+    found = F.array_except(F.filter(F.array_distinct(bare), lambda t: F.length(t) >= 2), F.array(*[F.lit(w) for w in _NO_TABLE]))
+    return F.when(looks_like_sql(text), found).otherwise(F.array().cast("array<string>"))

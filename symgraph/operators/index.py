@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..extract import lines
+from ..extract import ddl, lines, nesting
 from ..functions.modules import exported, file_modules
+from ..functions.text import dirname
 from ..tables import kept
 from . import ladder, store
 
@@ -25,23 +25,22 @@ class Index:
     edges: DataFrame
 
 
-def nodes_of(files: DataFrame) -> DataFrame:
-    """id, path, name, qualified, kind, exported, lang and line_start of each definition and of each file's module.
+def nodes_of(files: DataFrame, defs: DataFrame | None = None) -> DataFrame:
+    """id, path, name, qualified, kind, exported, lang, line_start and line_end of each definition and of each file's module.
 
-    A method is qualified by its receiver or else by the last type before it; equal ids of a file get #2, #3, ...
-    Files are bounded, and so are windows over one.
+    Equal ids of a file get #2, #3, ...
     """
-    found = lines.definitions(files)
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    type_ = F.last(F.when(F.col("kind").isin(*ladder.TYPES), F.col("name")), True).over(before)
-    owner = F.when(F.col("kind") == "method", F.coalesce("receiver", type_))
-    own = found.withColumn("qualified", F.concat_ws(".", owner, F.col("name")))
-    own = own.withColumn("base", F.concat_ws(":", "path", "kind", "qualified"))
+    found = lines.definitions(files) if defs is None else defs
+    own = found.withColumn("base", F.concat_ws(":", "path", "kind", "qualified"))
     own = store.numbered_ids(own, ["path", "kind", "qualified"], ["line"], "base")
     seen = F.coalesce(exported(F.col("lang"), F.col("name")), F.lit(True))
-    listed = own.select("id", "path", "name", "qualified", "kind", seen.alias("exported"), "lang", F.col("line").alias("line_start"))
+    listed = own.select("id", "path", "name", "qualified", "kind", seen.alias("exported"), "lang", F.col("line").alias("line_start"), "line_end")
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    module = files.select(F.concat("path", F.lit(":module")).alias("id"), "path", name.alias("name"), name.alias("qualified"), F.lit("module").alias("kind"), F.lit(True).alias("exported"), lines.family(F.col("lang")).alias("lang"), F.lit(1).alias("line_start"))
+    last = F.size(F.split("text", "\n"))
+    module = files.select(
+        F.concat("path", F.lit(":module")).alias("id"), "path", name.alias("name"), name.alias("qualified"), F.lit("module").alias("kind"), F.lit(True).alias("exported"),
+        lines.family(F.col("lang")).alias("lang"), F.lit(1).alias("line_start"), last.alias("line_end"),
+    )
     return listed.unionByName(module)
 
 
@@ -55,14 +54,39 @@ def modules_of(files: DataFrame) -> DataFrame:
     return rows.select("path", "family", "module", (F.col("pos") > 0).alias("is_alias")).unionByName(java)
 
 
-def _inside(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows with ``src_id``: the last definition of their file at or before their line, or its module."""
-    marks = nodes.select("path", F.col("line_start").alias("line"), F.when(F.col("kind") != "module", F.col("id")).alias("at"), F.when(F.col("kind") == "module", F.col("id")).alias("whole"))
-    order = Window.partitionBy("path").orderBy("line", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("path")
-    both = marks.withColumn("mark", F.lit(True)).unionByName(rows.withColumn("mark", F.lit(False)), allowMissingColumns=True)
-    placed = both.withColumn("src_id", F.coalesce(F.last("at", True).over(order), F.max("whole").over(whole)))
-    return placed.filter("NOT mark").drop("mark", "at", "whole")
+def packages_of(files: DataFrame) -> DataFrame:
+    """path, package, shared and wide: files of one Go folder, Java package or Swift module.
+
+    Go and Swift packages are one scope; a Swift import opens its whole module.
+    """
+    family = lines.family(F.col("lang"))
+    stated = F.nullif(F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1), F.lit(""))
+    name = F.when(family == "go", dirname(F.col("path"))).when(family == "java", stated).when(family == "swift", F.get(file_modules(family, F.col("path")), F.lit(0)))
+    rows = files.select("path", F.concat(family, F.lit(":"), name).alias("package"), (family != "java").alias("shared"), (family == "swift").alias("wide"))
+    return rows.filter("package IS NOT NULL")
+
+
+def owned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (path, line, ...) with ``src_id``: the innermost definition whose block holds their line, or else the file's module."""
+    spans = nodes.filter("kind <> 'module'").select("path", F.col("line_start").alias("line"), "line_end", "id")
+    inside = nesting.within(rows, spans, ["id"])
+    return inside.withColumn("src_id", F.coalesce(F.try_element_at("around", F.lit(-1))["id"], F.concat("path", F.lit(":module")))).drop("around")
+
+
+def references_of(files: DataFrame, nodes: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
+    """src_id, path, line, type, name and qualifier: supertypes, calls, tables in texts, and what SQL statements refer to."""
+    found = lines.numbered(files) if found is None else found
+    base = F.regexp_extract("base", r"([^.]+)$", 1)
+    null = F.lit(None).cast("string")
+    bases = lines.supertypes(files, found).select("path", "line", base.alias("name"), F.nullif(F.regexp_extract("base", r"^(.*)\.[^.]*$", 1), F.lit("")).alias("qualifier"), F.lit("inherits").alias("type"))
+    called = lines.calls(files, found, defs).select("path", "line", "name", "qualifier", F.lit("calls").alias("type"))
+    asked = lines.queries(files).select("path", "line", "name", null.alias("qualifier"), F.lit("queries").alias("type"))
+    placed = owned(bases.unionByName(called).unionByName(asked), nodes)
+    # a statement says itself whose it is
+    said = ddl.references(files)
+    tables = nodes.filter("lang = 'sql' AND kind = 'table'").groupBy("path", F.col("name").alias("owner")).agg(F.min_by("id", "line_start").alias("src_id"))
+    stated = said.join(tables, ["path", "owner"], "left").withColumn("src_id", F.coalesce("src_id", F.concat("path", F.lit(":module"))))
+    return placed.unionByName(stated.select("src_id", "path", "line", "type", "name", null.alias("qualifier")))
 
 
 def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
@@ -71,31 +95,31 @@ def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
     Supertypes are resolved first, so that members can be looked for on them; then calls.
     """
     files = kept(files.select("path", "lang", "text"), "index-files")
-    nodes = kept(nodes_of(files), "index-nodes")
-    bound = lines.bindings(files).withColumn("family", F.col("lang"))
+    found = kept(lines.numbered(files), "index-lines")
+    defs = kept(lines.definitions(files, found), "index-definitions")
+    nodes = kept(nodes_of(files, defs), "index-nodes")
+    bound = lines.bindings(files, found).withColumn("family", F.col("lang"))
     imports = kept(store.with_rids(bound, ["path"], ["line", "module", "symbol", "alias"]).select("rid", "path", "family", "module", "symbol", "alias", "line"), "index-imports")
     placed = kept(ladder.place_imports(imports, modules_of(files), nodes), "index-placed")
 
-    bases = lines.supertypes(files).select("path", "line", F.regexp_extract("base", r"([^.]+)$", 1).alias("name"), F.nullif(F.regexp_extract("base", r"^(.*)\.[^.]*$", 1), F.lit("")).alias("qualifier"))
-    called = lines.calls(files).select("path", "line", "name", "qualifier")
-    rows = bases.withColumn("type", F.lit("inherits")).unionByName(called.withColumn("type", F.lit("calls")))
-    refs = store.with_rids(_inside(rows, nodes), ["path"], ["line", "type", "qualifier", "name"])
+    refs = store.with_rids(references_of(files, nodes, found, defs), ["path"], ["line", "type", "qualifier", "name"])
     refs = kept(refs.select("rid", "src_id", "path", "type", "name", "qualifier", "line"), "index-refs")
 
+    packages = kept(packages_of(files), "index-packages")
     none = nodes.sparkSession.createDataFrame([], "owner string, base string")
     first = refs.filter("type = 'inherits'")
-    supers = kept(ladder.resolve(first, nodes, placed, none, linked), "index-supertypes")
+    supers = kept(ladder.resolve(first, nodes, placed, none, linked, packages=packages), "index-supertypes")
     above = ladder.edges_of(supers, first)
     over = kept(above.select(F.col("src_id").alias("owner"), F.col("dst_id").alias("base")).distinct(), "index-bases")
     second = refs.filter("type <> 'inherits'")
-    calls = ladder.edges_of(ladder.resolve(second, nodes, placed, over, linked), second)
+    calls = ladder.edges_of(ladder.resolve(second, nodes, placed, over, linked, packages=packages), second)
 
     where = refs.select("rid", "path", "line")
     made = above.unionByName(calls).join(where, "rid").select("src_id", "dst_id", "type", "confidence", "path", "line")
     module = nodes.filter("kind = 'module'").select("path", F.col("id").alias("src_id"))
     ends = placed.select("rid", "path", F.explode(F.array_compact(F.array("id", "via"))).alias("dst_id")).join(imports.select("rid", "line"), "rid").join(module, "path")
     imported = ends.filter("src_id <> dst_id").select("src_id", "dst_id", F.lit("imports").alias("type"), F.lit("resolved").alias("confidence"), "path", "line")
-    types = nodes.filter(F.col("kind").isin(*ladder.TYPES)).groupBy("path", F.col("qualified").alias("owner")).agg(F.min("id").alias("type_id"))
+    types = nodes.filter("kind <> 'module'").groupBy("path", F.col("qualified").alias("owner")).agg(F.min_by("id", F.struct("line_start", "id")).alias("type_id"))
     defined = nodes.filter("kind <> 'module'").withColumn("owner", F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1)).join(types, ["path", "owner"], "left").join(module, "path")
     defined = defined.select(F.coalesce("type_id", "src_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence"), "path", F.col("line_start").alias("line"))
     edges = store.upsert(made.unionByName(imported).unionByName(defined), ["src_id", "dst_id", "type"], [-F.col("line")])

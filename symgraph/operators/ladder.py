@@ -135,10 +135,54 @@ def shaped(defs: DataFrame) -> DataFrame:
     return defs.withColumn("shape", F.explode(fits))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, placed: DataFrame, bases: DataFrame, linked: DataFrame | None = None, most: int = MOST) -> DataFrame:
+def scopes(placed: DataFrame, defs: DataFrame, packages: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(path, key) of the scopes that a file sees, and of those that its definitions are in.
+
+    A file is a scope of its own, and so is a package whose files share one (path, package, shared; ``wide`` if an
+    import opens the whole package too).  Two files never meet: both meet their scopes.
+    """
+    own = defs.select("path").distinct()
+    in_file = F.concat(F.lit("file:"), F.col("path"))
+    sees = visible_files(placed).select("path", F.concat(F.lit("file:"), F.col("seen")).alias("key"))
+    sees = sees.unionByName(own.union(placed.select("path")).distinct().select("path", in_file.alias("key")))
+    lies = own.select("path", in_file.alias("key"))
+    if packages is not None:
+        shared = packages.filter("shared").select("path", F.concat(F.lit("package:"), F.col("package")).alias("key"))
+        wide = packages.filter("shared AND wide").select(F.col("path").alias("seen"), F.concat(F.lit("package:"), F.col("package")).alias("key"))
+        opened = visible_files(placed).join(wide, "seen").select("path", "key")
+        sees, lies = sees.unionByName(shared).unionByName(opened).distinct(), lies.unionByName(shared)
+    return sees, lies
+
+
+def visible_candidates(asked: DataFrame, sees: DataFrame, lies: DataFrame, defs: DataFrame, most: int = MOST) -> DataFrame:
+    """(path, name, shape, id, n) for the distinct (path, name, shape) that are asked and have up to ``most`` visible definitions.
+
+    Definitions are listed by scope and name, up to ``most`` of them; only what is asked goes through the
+    scopes that its file sees.
+    """
+    by = ["key", "name", "shape"]
+    known = shaped(defs).join(lies, "path").select(*by, "id")
+    counts, few = _counted(known, by, most)
+    none = F.lit(None).cast("array<string>")
+    lists = few.groupBy(*by).agg(F.collect_list("id").alias("ids")).unionByName(counts.filter(F.col("n") > most).select(*by, none.alias("ids")))
+    met = asked.join(sees, "path").join(lists, by).groupBy("path", "name", "shape")
+    found = met.agg(F.max(F.col("ids").isNull()).alias("many"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("n", F.size("ids"))
+    return found.filter(~F.col("many") & (F.col("n") <= most)).select("path", "name", "shape", F.explode("ids").alias("id"), "n")
+
+
+def resolve(
+    refs: DataFrame,
+    nodes: DataFrame,
+    placed: DataFrame,
+    bases: DataFrame,
+    linked: DataFrame | None = None,
+    most: int = MOST,
+    packages: DataFrame | None = None,
+) -> DataFrame:
     """(rid, id, rung, confidence): what each ref means, by the first rung that has a target.
 
-    ``placed`` are placed imports; ``linked`` are nodes of other repositories, if there are any.
+    ``placed`` are placed imports; ``linked`` are nodes of other repositories, if there are any; ``packages`` (path,
+    package, shared, wide) says which files are one package, and whether they are one scope.
     """
     defs = kept(nodes.filter("kind <> 'module'").select("id", "path", "name", "qualified", "kind", "exported"), "definitions")
     selfish = F.coalesce(F.col("qualifier").isin(*SELVES), F.lit(False))
@@ -161,15 +205,22 @@ def resolve(refs: DataFrame, nodes: DataFrame, placed: DataFrame, bases: DataFra
     enclosing = types.groupBy("path", F.col("qualified").alias("owner_name")).agg(F.min("id").alias("holder"))
     held = inside.join(declared.select("rid"), "rid", "left_anti").join(enclosing, ["path", "owner_name"])
 
-    # receivers that an import binds, the whole qualifier before its first part; else types of this file
+    # receivers that an import binds, the first part of a qualifier before the whole; else types of this file
     bound = placed.filter("alias IS NOT NULL").groupBy("path", F.col("alias").alias("head")).agg(F.min_by(F.struct("id", "kind", "target_path"), "rid").alias("to"))
     bound = kept(bound, "bindings")
     on = named.filter("NOT bare AND NOT selfish")
-    heads = on.select("rid", "path", "name", F.posexplode(F.array_distinct(F.array("qualifier", F.split("qualifier", "[.]")[0]))).alias("pos", "head"))
+    heads = on.select("rid", "path", "name", F.posexplode(F.array_distinct(F.array(F.split("qualifier", "[.]")[0], "qualifier"))).alias("pos", "head"))
     held_by = heads.join(bound, ["path", "head"]).groupBy("rid", "name").agg(F.min_by("to", "pos").alias("to"))
     held_by = kept(held_by.select("rid", "name", "to.*"), "holders")
     by_file = _best(defs, "path", "name").select("path", "name", "id")
-    in_module = held_by.filter("kind = 'module'").drop("id").join(by_file.withColumnRenamed("path", "target_path"), ["target_path", "name"])
+    modules = held_by.filter("kind = 'module'").select("rid", "name", F.col("target_path").alias("path"))
+    if packages is None:
+        in_module = modules.join(by_file, ["path", "name"])
+    else:
+        # a module is all files of its package
+        unit = F.coalesce("package", F.col("path")).alias("unit")
+        by_unit = _best(defs.join(packages.select("path", "package"), "path", "left").withColumn("unit", unit), "unit", "name").select("unit", "name", "id")
+        in_module = modules.join(packages.select("path", "package"), "path", "left").select("rid", "name", unit).join(by_unit, ["unit", "name"])
     on_type = held_by.filter(F.col("kind").isin(*TYPES)).select("rid", F.col("id").alias("holder"), "name")
     local = types.groupBy("path", F.col("name").alias("head")).agg(F.min_by("id", _order()).alias("holder"))
     on_local = on.withColumn("head", F.split("qualifier", "[.]")[0]).join(local, ["path", "head"]).select("rid", "holder", "name")
@@ -198,9 +249,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, placed: DataFrame, bases: DataFra
     out.append(_as(free.join(pulled, ["path", "name"]), "imported", "resolved"))
 
     # candidates that a file can see
-    seen = visible_files(placed).unionByName(defs.select("path", F.col("path").alias("seen")).distinct())
-    near = seen.join(shaped(defs).select(F.col("path").alias("seen"), "name", "shape", "id"), "seen").select("path", "name", "shape", "id")
-    _, few = _counted(kept(near, "visible-names"), ["path", "name", "shape"], most)
+    sees, lies = scopes(placed, defs, packages)
+    few = visible_candidates(named.select("path", "name", "shape").distinct(), sees, lies, defs, most)
     hits = kept(named.join(few, ["path", "name", "shape"]).select("rid", "id", "n", "bare", "selfish"), "visible-hits")
     out.append(_as(hits.filter("n = 1"), "visible", "resolved"))
     out.append(_as(hits.filter("n > 1 AND NOT bare AND NOT selfish"), "qualified", "heuristic"))

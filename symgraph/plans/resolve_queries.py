@@ -31,12 +31,15 @@ _LADDER = (
   SELECT *, CASE WHEN type <> 'calls' OR selfish THEN 'any' WHEN qualifier IS NULL THEN 'bare' ELSE 'on' END AS shape FROM named
 ), sees AS (
   SELECT path, path AS seen FROM files UNION SELECT path, target_path FROM placed UNION SELECT path, file FROM placed WHERE via IS NOT NULL
+  UNION SELECT x.path, y.path FROM files x JOIN files y ON y.b = x.b AND y.g // 2 = x.g // 2
 ), shapes AS (
   SELECT *, 'any' AS shape FROM syms UNION ALL SELECT *, 'bare' FROM syms WHERE kind <> 'method' UNION ALL SELECT *, 'on' FROM syms WHERE kind <> 'function'
 ), near AS (
   SELECT s.path, d.name, d.shape, count(*) AS n, list(d.id) AS ids FROM sees s JOIN shapes d ON d.path = s.seen GROUP BY 1, 2, 3
 ), far AS (
   SELECT name, shape, count(*) AS n, list(id) AS ids FROM shapes GROUP BY 1, 2
+), units AS (
+  SELECT b, g // 2 AS unit, name, arg_min(id, (pr, NOT exported, s.path, id)) AS id FROM syms s JOIN files USING (path) GROUP BY 1, 2, 3
 ), hits AS (
   SELECT rid, unnest(ids) AS id, 0 AS rung, CASE WHEN n = 1 THEN 'resolved' ELSE 'heuristic' END AS confidence FROM refs JOIN (SELECT name, count(*) AS n, list(id) AS ids FROM syms WHERE kind = 'table' GROUP BY name) t USING (name) WHERE type = 'queries' AND n <= 4
   UNION ALL SELECT rid, coalesce(d.id, m.id), 1, 'resolved' FROM named r
@@ -48,7 +51,7 @@ _LADDER = (
     LEFT JOIN (SELECT p.path, x.name, arg_min(x.id, p.rid) AS id FROM placed p JOIN best x ON x.path = p.target_path WHERE alias IS NULL AND symbol IS NULL AND kind = 'module' GROUP BY 1, 2) s ON s.path = r.path AND s.name = r.name
     WHERE qualifier IS NULL AND coalesce(b.id, s.id) IS NOT NULL
   UNION ALL SELECT rid, coalesce(CASE WHEN b.kind = 'module' THEN x.id END, m.id), 4, 'resolved' FROM named r JOIN bound b ON b.path = r.path AND b.alias = split_part(r.qualifier, '.', 1)
-    LEFT JOIN best x ON x.path = b.target_path AND x.name = r.name LEFT JOIN member m ON m.holder = b.id AND m.name = r.name
+    JOIN files f ON f.path = b.target_path LEFT JOIN units x ON x.b = f.b AND x.unit = f.g // 2 AND x.name = r.name LEFT JOIN member m ON m.holder = b.id AND m.name = r.name
     WHERE NOT selfish AND coalesce(CASE WHEN b.kind = 'module' THEN x.id END, m.id) IS NOT NULL
   UNION ALL SELECT rid, m.id, 5, 'resolved' FROM named r JOIN (SELECT path, name, arg_min(id, (pr, NOT exported, path, id)) AS id FROM types GROUP BY 1, 2) t ON t.path = r.path AND t.name = split_part(r.qualifier, '.', 1)
     JOIN member m ON m.holder = t.id AND m.name = r.name WHERE NOT selfish
@@ -86,7 +89,7 @@ def imports_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, refs = kept(code.nodes(spark, sf_dir), "nodes"), kept(code.refs(spark, sf_dir), "refs")
     placed = kept(_placed(spark, sf_dir), "placed")
-    return ladder.resolve(refs, nodes, placed, code.bases(spark, sf_dir), code.linked(spark, sf_dir)), refs
+    return ladder.resolve(refs, nodes, placed, code.bases(spark, sf_dir), code.linked(spark, sf_dir), packages=code.packages(spark, sf_dir)), refs
 
 
 @query(_LADDER + "SELECT rid, id, rung, confidence FROM answer")

@@ -45,6 +45,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "path", "name", "qualified", "kind", "exported").unionByName(module).unionByName(types)
 
 
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of a brand each are a package with one scope."""
+    package = _text("b", F.col("b"), "/", F.floor(F.col("g") / 2))
+    return files(spark, sf_dir).select("path", package.alias("package"), F.lit(True).alias("shared"), F.lit(False).alias("wide"))
+
+
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = files(spark, sf_dir).select("path", F.posexplode(file_modules(F.lit("python"), F.col("path"))).alias("pos", "module"))
     return keys.select("path", F.lit("python").alias("family"), "module", (F.col("pos") > 0).alias("is_alias"))

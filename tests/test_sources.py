@@ -127,6 +127,6 @@ def test_index(spark):
         ("web/index.ts:function:all", "web/x.ts:function:go", "calls", "resolved"),
         ("web/x.ts:class:Box", "web/lid.ts:class:Lid", "inherits", "heuristic"),
         ("app/base.py:class:Base", "app/base.py:method:Base.save", "defines", "exact"),
-        ("srv/a.go:method:Store.Get", "srv/b.go:function:Fetch", "calls", "heuristic"),
+        ("srv/a.go:method:Store.Get", "srv/b.go:function:Fetch", "calls", "resolved"),
     } <= edges
     assert not any("os" in e[1].split(":")[0] for e in edges)
