@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pages that are trained on at most.
 TRAIN_PAGES = 300
+#: Characters of a page that is learnt from, at most.
+TRAIN_CHARS = 1 << 20
 PATH_DIMS, WORD_DIMS, HIDDEN = 64, 32, 16
 INPUTS = PATH_DIMS + WORD_DIMS + 6
 TRAIN_BLOCKS, PASSES, SEED = 96, 12, 7
@@ -303,9 +305,13 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Labeller:
-    """Fits the labeller on ``sample`` different pages, or on all if there are fewer: those of the least hashes."""
-    marked = pages.select(F.xxhash64("page_id", "url", "html").alias("h"), "html")
-    n = pages.count()
+    """Fits the labeller on ``sample`` different pages, or on all if there are fewer: those of the least hashes.
+
+    Pages of more than TRAIN_CHARS characters aren't learnt from, as the sample comes to the driver.
+    """
+    marked = pages.filter(F.coalesce(F.length("html"), F.lit(0)) <= TRAIN_CHARS).select(F.xxhash64("html").alias("h"), "html")
+    # equal pages have one hash, so a share is one of different pages
+    n = marked.agg(F.approx_count_distinct("h")).first()[0]
     # twice as many as are needed, in expectation, so that a partition sorts a few pages only
     below = int(min(1.0, 2 * sample / max(n, 1)) * (1 << 63)) - 1
     near = marked.filter(F.col("h").bitwiseAND(F.lit((1 << 63) - 1)) <= below)

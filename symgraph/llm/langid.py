@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .native import join_bounded
 from .scratch import materialize
 
 FEATURES = 1 << 14
@@ -92,15 +93,16 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 def _sample(rows: DataFrame, per_language: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
     """(hash, language, buckets, counts) of the training sample."""
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    marked = rows.withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    marked = rows.withColumn("h", F.xxhash64("text", "lang"))
+    # equal texts have one hash, so a share is one of different texts
+    sizes = materialize(marked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "language-sizes")
     unit = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     # twice as many as are needed, in expectation; of these, different ones are ranked without their texts
-    some = marked.join(F.broadcast(sizes), "lang").filter(unit < 2.0 * per_language / F.col("n"))  # a row for each language
+    some = join_bounded(marked.select("lang", "h"), sizes, ["lang"], how="inner").filter(unit < 2.0 * per_language / F.col("n"))
     ranked = some.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     wanted = materialize(ranked.filter(F.col("k") <= per_language).select("h", F.col("lang").alias("l")), "language-sample")
-    chosen = marked.join(F.broadcast(wanted), (F.col("lang") == F.col("l")) & (marked["h"] == wanted["h"]))
-    chosen = chosen.select(marked["h"], "lang", "text").dropDuplicates(["lang", "h"])
+    chosen = join_bounded(marked, wanted.withColumnRenamed("l", "lang"), ["lang", "h"], how="inner")
+    chosen = chosen.select("h", "lang", "text").dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

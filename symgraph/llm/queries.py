@@ -253,9 +253,7 @@ def _quality_sql() -> str:
     return rf"""
     WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS (
-      SELECT *, regexp_extract_all(text, '[^ 	-
-]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
-]')) AS ls FROM t
+      SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t
     ), wins AS (
       SELECT rid, i, list_slice(ws, i, i + 4) AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)
     ), twice AS (
@@ -263,8 +261,7 @@ def _quality_sql() -> str:
     ), covered AS (
       SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM wins JOIN twice USING (rid, win)) GROUP BY rid
     ), measured AS (
-      SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
-]', '', 'g')) AS BIGINT) AS word_chars,
+      SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(ws) < 10 OR 100 * coalesce(n, 0) > 20 * len(ws) AS base_failed
       FROM w LEFT JOIN covered USING (rid)
