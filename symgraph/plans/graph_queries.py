@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, rank, resolve, store
 from ..schemas import CALL_TYPES, CONFIDENCES, IMPACT_TYPES, KIND_ORDER, rank_in
 from ..sources import star
-from ..tables import kept, once
+from ..tables import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,10 +25,10 @@ def query(sql: str | None, graph_sql: bool = True):
     return add
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relationships, written once for a session; a traversal reads the types that it follows."""
-    columns = ["src_id", "dst_id", "confidence", "path", "line", "type"]
-    return once(spark, f"edges of {sf_dir}", lambda: star.edges(spark, sf_dir).select(columns), "type")
+def _edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """The relationships that a query follows, written for it, so that its levels don't join tables again."""
+    rows = star.edges(spark, sf_dir).select("src_id", "dst_id", "confidence", "path", "line", "type")
+    return kept(rows if types is None else rows.filter(F.col("type").isin(*types)), "edges")
 
 
 def _root(spark: SparkSession, *ids: str) -> DataFrame:
@@ -50,7 +50,7 @@ _IMPACT = f"""
 @query(_IMPACT + "SELECT id, d AS distance, name, kind, path FROM nearest JOIN nodes USING (id) WHERE d > 0")
 def impact_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that one nation's change may reach, three steps inbound."""
-    reached = graph.traverse(_edges(spark, sf_dir), _root(spark, "nation:3"), 3, "in", IMPACT_TYPES)
+    reached = graph.traverse(_edges(spark, sf_dir, IMPACT_TYPES), _root(spark, "nation:3"), 3, "in", IMPACT_TYPES)
     near = reached.select("id", F.col("distance").cast("bigint").alias("distance"))
     return near.join(star.nodes(spark, sf_dir), "id").select("id", "distance", "name", "kind", "path")
 
@@ -58,7 +58,7 @@ def impact_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_IMPACT + "SELECT d AS distance, count(*) AS symbols, count(DISTINCT path) AS files, count(*) FILTER (WHERE exported) AS exported FROM nearest JOIN nodes USING (id) WHERE d > 0 GROUP BY d")
 def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affected symbols and files by distance."""
-    reached = graph.traverse(_edges(spark, sf_dir), _root(spark, "nation:3"), 3, "in", IMPACT_TYPES)
+    reached = graph.traverse(_edges(spark, sf_dir, IMPACT_TYPES), _root(spark, "nation:3"), 3, "in", IMPACT_TYPES)
     joined = reached.select("id", F.col("distance").cast("bigint").alias("distance")).join(star.nodes(spark, sf_dir), "id")
     return joined.groupBy("distance").agg(
         F.count("*").alias("symbols"), F.count_distinct("path").alias("files"), F.count_if("exported").alias("exported")
@@ -80,7 +80,7 @@ SELECT id, min(d) AS distance FROM reach GROUP BY id HAVING min(d) > 0
 """
 )
 def callees_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.traverse(_edges(spark, sf_dir), _root(spark, "orders:1"), 3, "out", CALL_TYPES)
+    found = graph.traverse(_edges(spark, sf_dir, CALL_TYPES), _root(spark, "orders:1"), 3, "out", CALL_TYPES)
     return found.select("id", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -96,7 +96,7 @@ SELECT root, d AS distance, count(*) AS n FROM nearest WHERE d > 0 GROUP BY root
 def bulk_impact_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One traversal for all regions at once."""
     roots = star.nodes(spark, sf_dir).filter("id LIKE 'region:%'").select(F.col("id").alias("root"), "id")
-    found = graph.traverse(_edges(spark, sf_dir), roots, 2, "in", IMPACT_TYPES)
+    found = graph.traverse(_edges(spark, sf_dir, IMPACT_TYPES), roots, 2, "in", IMPACT_TYPES)
     return found.groupBy("root", F.col("distance").cast("bigint").alias("distance")).agg(F.count("*").alias("n"))
 
 
@@ -439,6 +439,6 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = kept(star.nodes(spark, sf_dir), "nodes")
     changed = nodes.filter("kind = 'struct' AND path LIKE 'A%'").select("path").distinct()
     roots = nodes.filter("kind <> 'module'").join(changed, "path").select(F.col("path").alias("root"), "id")
-    found = graph.traverse(_edges(spark, sf_dir), roots, 2, "in", IMPACT_TYPES).select("root", "id")
+    found = graph.traverse(_edges(spark, sf_dir, IMPACT_TYPES), roots, 2, "in", IMPACT_TYPES).select("root", "id")
     outside = found.join(nodes.select("id", "path"), "id").filter("path <> root")
     return outside.groupBy("root").agg(F.count("*").alias("affected"), F.count_distinct("path").alias("files"))

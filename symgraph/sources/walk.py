@@ -45,17 +45,15 @@ def files(
 
     Names are judged on the listing, so contents of files that are left out aren't read.
     """
-    base = root.rstrip("/") + "/"
-    relative = lambda c: F.element_at(F.split(c, re.escape(base), 2), -1)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    named, name = reader.load(root), relative(F.col("_metadata.file_path"))
+    named, name = reader.load(root), relative(spark, root)
     kept = named.filter(admitted(name) & in_scope(name, scope) & (F.col("_metadata.file_size") <= max_bytes))
     rules = nested_rules(spark, root, ignore_files) if ignore_files else {}
     verdict = ignored(name, [*(ignore or []), *rules.pop("", [])])
     for folder, own in rules.items():
         verdict = verdict | (name.startswith(folder + "/") & ignored(F.substring(name, len(folder) + 2, 1 << 20), own))
     listed = kept.filter(~verdict).select(
-        relative(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content"
+        name.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content"
     )
     plain = listed.filter("locate(decode(X'00', 'ISO-8859-1'), decode(substring(content, 1, 8192), 'ISO-8859-1')) = 0")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
@@ -63,6 +61,20 @@ def files(
     return plain.withColumn("text", text).select("path", "size", "mtime_ms", lang, content_hash(F.col("text")).alias("hash"), "text")
 
 
+def relative(spark: SparkSession, root: str) -> Column:
+    """The path of a listed file below ``root``, whatever scheme either is written with."""
+    top = _qualified(spark, root).getPath().rstrip("/")
+    # the listing's names are URIs, so they are decoded; a plus is one
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.substring(F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", ""), len(top) + 2, 1 << 20)
+
+
+def _qualified(spark: SparkSession, root: str):
+    """The URI of a root, as its file system names it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+
+
 def in_order(found: DataFrame) -> DataFrame:
     """Files in the order of their paths."""
     return found.orderBy("path")
@@ -73,12 +85,13 @@ def nested_rules(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict
 
     Spark's readers pass hidden files over, so tasks look for them in each folder that has files.
     """
-    base = root.rstrip("/") + "/"
+    uri = _qualified(spark, root)
+    scheme, authority, top = uri.getScheme(), uri.getAuthority() or "", uri.getPath()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, top = fs.FileSystem.from_uri(root)
+        store = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{authority}/")[0]
         for batch in batches:
             folders = batch.column("folder").to_pylist()
             paths = [(f, "/".join(x for x in (top.rstrip("/"), f, n) if x)) for f in folders for n in names]
@@ -86,8 +99,8 @@ def nested_rules(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict
             texts = [store.open_input_stream(p).readall().decode("utf-8", "replace") for _, p in there]
             yield pa.record_batch([pa.array([f for f, _ in there], pa.string()), pa.array(texts, pa.string())], names=["folder", "text"])
 
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path"))
-    parts = F.split(dirname(F.element_at(F.split("path", re.escape(base), 2), -1)), "/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(spark, root).alias("path"))
+    parts = F.split(dirname(F.col("path")), "/")
     upto = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     found = listed.select(F.explode(upto).alias("folder")).distinct().mapInArrow(run, "folder string, text string").orderBy("folder").collect()
     out: dict[str, list[str]] = {}

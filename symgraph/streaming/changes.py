@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import kept
+
 
 def sessions(changes: DataFrame, gap: str, lateness: str | None = None) -> DataFrame:
     """(path, first, last, changes) for each burst of (path, ts) in which no pause exceeds ``gap``.
@@ -34,8 +36,8 @@ def incoming(spark: SparkSession, folder: str, schema: str, batch: int = 128) ->
 
 
 def answer(refresh: Callable[[], DataFrame], last: DataFrame) -> tuple[DataFrame, str | None]:
-    """What ``refresh`` gives, or the last state that was stored and a warning if it fails."""
+    """What ``refresh`` gives, written to a table here, or the last state that was stored and a warning if that fails."""
     try:
-        return refresh(), None
+        return kept(refresh(), "answer"), None
     except Exception as failed:  # any failure leaves the stored state as it is
         return last, f"answered from the last state: {str(failed)[:200]}"

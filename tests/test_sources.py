@@ -130,3 +130,39 @@ def test_index(spark):
         ("srv/a.go:method:Store.Get", "srv/b.go:function:Fetch", "calls", "resolved"),
     } <= edges
     assert not any("os" in e[1].split(":")[0] for e in edges)
+
+
+def test_roots_of_any_spelling(spark, tmp_path):
+    root = tmp_path / "my root+1"
+    for path in ("link/y.py", "my dir/a b.py", "my dir/100%.py"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x = 1\n")
+    (root / "my dir" / ".gitignore").write_text("/100%.py\n")
+    for spelled in (str(root), f"file://{root}", f"file:{root}/"):
+        assert {r["path"] for r in walk.files(spark, spelled).collect()} == {"link/y.py", "my dir/a b.py"}
+        assert {r["path"] for r in walk.files(spark, spelled, scope="my dir").collect()} == {"my dir/a b.py"}
+
+
+def test_an_answer_that_fails_when_it_runs(spark):
+    from symgraph.streaming import changes
+
+    last = spark.range(1)
+    found, warning = changes.answer(lambda: spark.range(3).select(F.raise_error(F.lit("late failure"))), last)
+    assert found is last and "answered from the last state" in warning
+    found, warning = changes.answer(lambda: spark.range(3), last)
+    assert found.count() == 3 and warning is None
+
+
+def test_edges_of_a_query_follow_the_files(spark, tmp_path):
+    import shutil
+
+    from symgraph.plans import graph_queries
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf")
+    before = graph_queries.impact_of_nation(spark, str(tmp_path / "sf")).count()
+    half = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").filter("c_custkey > 75")
+    half.write.parquet(str(tmp_path / "new"))
+    (tmp_path / "sf" / "customer.parquet").unlink()
+    shutil.move(tmp_path / "new", tmp_path / "sf" / "customer.parquet")
+    after = graph_queries.impact_of_nation(spark, str(tmp_path / "sf"))
+    assert after.count() < before and after.filter("kind = 'class'").count() == half.filter("c_nationkey = 3").count()
