@@ -165,14 +165,14 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array(F.lit("")).cast("array<string>"), lambda a, p: fold(F.filter(a, lambda x: x != ""), p)), "/")
 
 
-def fuzzy_millis(query: str, candidate: Column) -> Column:
-    """How badly a lower-case candidate fits a query, in thousandths; null if it doesn't.
+def fuzzy_millis(query: str | Column, candidate: Column) -> Column:
+    """How badly a lower-case candidate fits a query, in thousandths; null if it doesn't.  A column must be in lower case.
 
     0 if equal; then prefixes (1 and a thousandth for each character), infixes (10, the place and the
     same) and subsequences (100, the characters skipped and the same).
     """
-    q, n = query.lower(), F.length(candidate).cast("bigint")
-    at = F.locate(q, candidate)
+    q, n = F.lit(query.lower()) if isinstance(query, str) else query, F.length(candidate).cast("bigint")
+    at = F.call_function("locate", q, candidate)
 
     def step(acc: Column, c: Column) -> Column:
         place = F.when(acc["ok"], F.expr("0") + F.coalesce(_locate_from(c, candidate, acc["at"] + 1), F.lit(0))).otherwise(0)
@@ -183,7 +183,8 @@ def fuzzy_millis(query: str, candidate: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gaps"), F.lit(True).alias("ok"))
-    walked = F.aggregate(F.array(*[F.lit(c) for c in q]), start, step)
+    letters = F.array(*[F.lit(c) for c in query.lower()]) if isinstance(query, str) else F.filter(F.split(q, ""), lambda c: c != "")
+    walked = F.aggregate(letters, start, step)
     return (
         F.when(candidate == q, F.lit(0).cast("bigint"))
         .when(at == 1, 1000 + n)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_millis
 from ..schemas import KIND_ORDER, rank_in
+from ..tables import kept
+from .rank import first_per_group
 
+#: Keys that are broadcast at most.
+FEW = 100_000
 RUNGS = ("id", "in_file", "qualified", "name", "dotted", "last_segment", "any_case")
 #: A file's name with its extension, a colon and a symbol.
 _PAIR = r"^(.+\.[a-zA-Z]+):([A-Za-z_][\w.]*)$"
@@ -44,7 +48,8 @@ def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
         )
     )
     keys = F.when(n > 1, F.concat(plain, peeled)).otherwise(plain)
-    tried = q.select("q", F.explode(keys).alias("k")).select("q", "k.*")
+    tried = kept(q.select("q", F.explode(keys).alias("k")).select("q", "k.*"), "lookup-keys")
+    few = tried.count() <= FEW
     if "module" not in nodes.columns:
         nodes = nodes.withColumn("module", F.col("path"))
     fact = lambda k, key: F.struct(F.lit(k).alias("rung"), key.alias("key"))
@@ -56,7 +61,8 @@ def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
         )
     )
     known = nodes.select("id", "module", F.explode(facts).alias("f")).select("id", "module", "f.rung", "f.key")
-    found = tried.join(known, ["rung", "key"]).filter((F.col("rung") != 4) | F.contains("module", "head"))
+    # few keys go to the nodes; else the nodes' facts are shuffled with them
+    found = known.join(F.broadcast(tried) if few else tried, ["rung", "key"]).filter((F.col("rung") != 4) | F.contains("module", "head"))
     least = found.groupBy("q").agg(F.min(F.struct("rung", "pos")).alias("first"))
     first = found.join(least, "q").filter((F.col("rung") == F.col("first.rung")) & (F.col("pos") == F.col("first.pos")))
     return first.select("q", F.element_at(F.array(*[F.lit(r) for r in RUNGS]), F.col("rung") + 1).alias("rung"), "id").distinct()
@@ -67,6 +73,52 @@ def fuzzy(nodes: DataFrame, query: str, limit: int = 12, kind: str | None = None
     return search(nodes, query, kind, lang).orderBy("score_milli", "path", "line_start", "id").limit(limit)
 
 
+def _pairs(text: Column) -> Column:
+    """Each pair of characters that stand in this order in a text, each once, and each character by itself."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    after = F.transform(letters, lambda c, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda d: F.concat(c, d)))
+    return F.array_distinct(F.concat(letters, F.flatten(after)))
+
+
+#: Characters of a name that are indexed; a longer one is looked at for every query whose letters it has.
+INDEXED = 64
+
+
+def fuzzy_batch(names: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
+    """(q, rank, id, score_milli): the best ``limit`` fuzzy hits of each q of ``names``, in the order of ``fuzzy``.
+
+    A name that fits has each two neighbouring characters of q in this order.  So names are indexed by their
+    ordered pairs of characters, the pairs are counted, and a q meets the names of its rarest pair only; these are
+    scored, and the best nodes of each name then stand for it.  No q meets all names.
+    """
+    low = F.lower("name")
+    weight = 10 * rank_in(KIND_ORDER, "kind") + F.when(F.col("exported"), 0).otherwise(500)
+    own = nodes.withColumn("low", low).withColumn("weight", weight.cast("bigint")).select("low", "weight", "path", "line_start", "id")
+    best = kept(first_per_group(own, ["low"], ["weight", "path", "line_start", "id"], limit).drop("rank", "in_group"), "fuzzy-nodes")
+    each = best.select("low").distinct()
+    pairs = F.when(F.length("low") <= INDEXED, _pairs(F.col("low"))).otherwise(F.array(F.lit("")))
+    index = kept(each.select("low", F.explode(pairs).alias("pair")), "fuzzy-index")
+    counts = index.groupBy("pair").agg(F.count("*").alias("n"))
+
+    asked = names.select(F.trim("q").alias("q")).filter("q <> ''").distinct().withColumn("want", F.lower("q"))
+    letters = F.filter(F.split("want", ""), lambda c: c != "")
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 1, F.lit(1))), lambda i: F.concat(F.element_at(letters, i), F.coalesce(F.try_element_at(letters, i + 1), F.lit(""))))
+    wanted = asked.select("q", "want", F.explode(F.array_distinct(two)).alias("pair")).join(counts, "pair", "left")
+    rarest = wanted.groupBy("q", "want").agg(F.min_by("pair", F.struct(F.coalesce("n", F.lit(0)), "pair")).alias("pair"))
+    long_ = rarest.withColumn("pair", F.lit(""))  # names that are too long for the index
+    met = rarest.unionByName(long_).join(index, "pair").select("q", "want", "low").withColumn("base", fuzzy_millis(F.col("want"), F.col("low")))
+    hits = met.filter("base IS NOT NULL").join(best, "low").withColumn("score_milli", F.col("base") + F.col("weight"))
+    ranked = first_per_group(hits, ["q"], ["score_milli", "path", "line_start", "id"], limit)
+    return ranked.select("q", "rank", "id", "score_milli")
+
+
+def answers(names: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
+    """(q, rung, id): the symbols of the first rung that has any; of a q that no rung knows, those most like it."""
+    found = kept(ladder(names, nodes), "lookup-found")
+    unknown = names.select(F.trim("q").alias("q")).distinct().join(found, "q", "left_anti")
+    return found.unionByName(fuzzy_batch(unknown, nodes, limit).select("q", F.lit("fuzzy").alias("rung"), "id"))
+
+
 def suggestions(nodes: DataFrame, query: str) -> DataFrame:
     """Five names like the last segment of one that wasn't found."""
     last = re.split(r"[.:/]", query.rstrip(".:/"))[-1]

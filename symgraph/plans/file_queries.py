@@ -105,6 +105,42 @@ def fuzzy_search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.search(parts, "al").select("id", "score_milli")
 
 
+_FUZZY = """
+WITH n AS (
+  SELECT 'part:' || p_partkey AS id, lower(p_name) AS low, 'part/' || p_size AS path, p_partkey % 1000 + 1 AS line, 70 + CASE WHEN p_size > 25 THEN 0 ELSE 500 END AS w FROM part
+  UNION ALL SELECT 'customer:' || c_custkey, lower(c_name), 'customer/' || c_nationkey, c_custkey % 1000 + 1, 20 + CASE WHEN c_acctbal > 0 THEN 0 ELSE 500 END FROM customer
+), asked AS (
+  SELECT DISTINCT trim(q) AS q, lower(trim(q)) AS want FROM (
+    SELECT 'C#' || s_suppkey AS q FROM supplier UNION ALL SELECT substr(s_name, 5, 6) || 'x' FROM supplier
+    UNION ALL SELECT substr(p_name, 1, 2) || right(p_name, 3) FROM part UNION ALL SELECT substr(p_name, 2, 4) FROM part UNION ALL SELECT p_name FROM part UNION ALL SELECT left(c_name, 1) FROM customer
+  )
+), walked AS (
+  SELECT q, want, n.*, list_reduce(list_prepend(0, list_transform(string_split(want, ''), lambda c: unicode(c))),
+    lambda a, c: CASE WHEN a < 0 OR instr(substr(low, a + 1), chr(c)) = 0 THEN -1 ELSE a + instr(substr(low, a + 1), chr(c)) END) AS last
+  FROM asked CROSS JOIN n
+), hits AS (
+  SELECT q, id, path, line, CAST(w + CASE WHEN low = want THEN 0 WHEN starts_with(low, want) THEN 1000 + length(low) WHEN contains(low, want) THEN 10000 + 1000 * (instr(low, want) - 1) + length(low)
+    ELSE 100000 + 1000 * (last - length(want)) + length(low) END AS BIGINT) AS score_milli FROM walked WHERE last >= 0
+)
+SELECT q, CAST(k AS INTEGER) AS rank, id, score_milli FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score_milli, path, line, id) AS k FROM hits) WHERE k <= 12
+"""
+
+
+@query(_FUZZY)
+def fuzzy_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve best fuzzy hits of many names at once: prefixes, infixes, subsequences, and names that fit nothing."""
+    part, customer, supplier = (star.table(spark, sf_dir, t) for t in ("part", "customer", "supplier"))
+    text_ = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    node = lambda df, kind, id_, name, path, line, seen: df.select(id_.alias("id"), F.col(name).alias("name"), F.lit(kind).alias("kind"), path.alias("path"), line.cast("int").alias("line_start"), seen.alias("exported"))
+    nodes = node(part, "constant", text_("part:", F.col("p_partkey")), "p_name", text_("part/", F.col("p_size")), F.col("p_partkey") % 1000 + 1, F.col("p_size") > 25).unionByName(
+        node(customer, "class", text_("customer:", F.col("c_custkey")), "c_name", text_("customer/", F.col("c_nationkey")), F.col("c_custkey") % 1000 + 1, F.col("c_acctbal") > 0)
+    )
+    asked = supplier.select(text_("C#", F.col("s_suppkey")).alias("q")).union(supplier.select(text_(F.substring("s_name", 5, 6), "x"))).union(
+        part.select(F.explode(F.array(F.concat(F.substring("p_name", 1, 2), F.right("p_name", F.lit(3))), F.substring("p_name", 2, 4), F.col("p_name"))))
+    ).union(customer.select(F.substring("c_name", 1, 1)))
+    return lookup.fuzzy_batch(asked, nodes)
+
+
 @query(
     """
 WITH n AS (

@@ -44,6 +44,7 @@ SELECT src_id, dst_id, type, confidence FROM (
   SELECT r.path || r.owner AS src_id, d.path || ':' || d.kind || ':' || d.qualified AS dst_id, r.type, CASE WHEN r.qualifier IS NOT NULL THEN NULL WHEN r.type = 'queries' THEN 'resolved' ELSE 'exact' END AS confidence
   FROM refs r JOIN defs d ON d.path = r.path AND d.qualified = r.name AND (r.type <> 'queries' OR d.kind = 'table')
 ) WHERE confidence IS NOT NULL
+UNION ALL SELECT path || ':function:run_' || k, path || ':method:C' || k || '.open', 'calls', 'resolved' FROM f WHERE NOT py
 UNION ALL SELECT path || CASE WHEN contains(qualified, '.') THEN CASE WHEN starts_with(qualified, 'top') THEN ':function:' ELSE ':class:' END || split_part(qualified, '.', 1) ELSE ':module' END, path || ':' || kind || ':' || qualified, 'defines', 'exact' FROM defs
 """
 )
