@@ -16,12 +16,16 @@ from . import ladder, store
 
 @dataclass
 class Index:
-    """The tables of an index; ``edges`` has definitions, imports, supertypes and calls."""
+    """The tables of an index; ``edges`` has definitions, imports, supertypes, calls and what asks for tables."""
 
     nodes: DataFrame
+    modules: DataFrame
+    packages: DataFrame
     imports: DataFrame
     placed: DataFrame
     refs: DataFrame
+    bases: DataFrame
+    resolved: DataFrame
     edges: DataFrame
 
 
@@ -89,38 +93,57 @@ def references_of(files: DataFrame, nodes: DataFrame, found: DataFrame | None =
     return placed.unionByName(stated.select("src_id", "path", "line", "type", "name", null.alias("qualifier")))
 
 
-def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
-    """The index of files with path, lang and text.
-
-    Supertypes are resolved first, so that members can be looked for on them; then calls.
-    """
-    files = kept(files.select("path", "lang", "text"), "index-files")
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, imports and references of files with path, lang and text; the latter two without numbers."""
     found = kept(lines.numbered(files), "index-lines")
     defs = kept(lines.definitions(files, found), "index-definitions")
     nodes = kept(nodes_of(files, defs), "index-nodes")
-    bound = lines.bindings(files, found).withColumn("family", F.col("lang"))
-    imports = kept(store.with_rids(bound, ["path"], ["line", "module", "symbol", "alias"]).select("rid", "path", "family", "module", "symbol", "alias", "line"), "index-imports")
-    placed = kept(ladder.place_imports(imports, modules_of(files), nodes), "index-placed")
+    bound = lines.bindings(files, found).select("path", F.col("lang").alias("family"), "module", "symbol", "alias", "line")
+    return nodes, bound, references_of(files, nodes, found, defs)
 
-    refs = store.with_rids(references_of(files, nodes, found, defs), ["path"], ["line", "type", "qualifier", "name"])
-    refs = kept(refs.select("rid", "src_id", "path", "type", "name", "qualifier", "line"), "index-refs")
 
-    packages = kept(packages_of(files), "index-packages")
-    none = nodes.sparkSession.createDataFrame([], "owner string, base string")
-    first = refs.filter("type = 'inherits'")
-    supers = kept(ladder.resolve(first, nodes, placed, none, linked, packages=packages), "index-supertypes")
-    above = ladder.edges_of(supers, first)
-    over = kept(above.select(F.col("src_id").alias("owner"), F.col("dst_id").alias("base")).distinct(), "index-bases")
-    second = refs.filter("type <> 'inherits'")
-    calls = ladder.edges_of(ladder.resolve(second, nodes, placed, over, linked, packages=packages), second)
+def numbered_imports(bound: DataFrame, after: int = 0) -> DataFrame:
+    made = store.with_rids(bound, ["path"], ["line", "module", "symbol", "alias"], after)
+    return made.select("rid", "path", "family", "module", "symbol", "alias", "line")
+
+
+def numbered_refs(found: DataFrame, after: int = 0) -> DataFrame:
+    made = store.with_rids(found, ["path"], ["line", "type", "qualifier", "name"], after)
+    return made.select("rid", "src_id", "path", "type", "name", "qualifier", "line")
+
+
+def bases_of(resolved: DataFrame, refs: DataFrame) -> DataFrame:
+    """(owner, base): ids of types and of what they are based on."""
+    above = ladder.edges_of(resolved, refs.filter("type = 'inherits'"))
+    return above.select(F.col("src_id").alias("owner"), F.col("dst_id").alias("base")).distinct()
 
-    where = refs.select("rid", "path", "line")
-    made = above.unionByName(calls).join(where, "rid").select("src_id", "dst_id", "type", "confidence", "path", "line")
+
+def relate(nodes: DataFrame, imports: DataFrame, placed: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The relationships: of resolved references, of placed imports, and of each definition's owner."""
+    made = ladder.edges_of(resolved, refs).join(refs.select("rid", "path", "line"), "rid").select("src_id", "dst_id", "type", "confidence", "path", "line")
     module = nodes.filter("kind = 'module'").select("path", F.col("id").alias("src_id"))
     ends = placed.select("rid", "path", F.explode(F.array_compact(F.array("id", "via"))).alias("dst_id")).join(imports.select("rid", "line"), "rid").join(module, "path")
     imported = ends.filter("src_id <> dst_id").select("src_id", "dst_id", F.lit("imports").alias("type"), F.lit("resolved").alias("confidence"), "path", "line")
-    types = nodes.filter("kind <> 'module'").groupBy("path", F.col("qualified").alias("owner")).agg(F.min_by("id", F.struct("line_start", "id")).alias("type_id"))
-    defined = nodes.filter("kind <> 'module'").withColumn("owner", F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1)).join(types, ["path", "owner"], "left").join(module, "path")
-    defined = defined.select(F.coalesce("type_id", "src_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence"), "path", F.col("line_start").alias("line"))
-    edges = store.upsert(made.unionByName(imported).unionByName(defined), ["src_id", "dst_id", "type"], [-F.col("line")])
-    return Index(nodes, imports, placed, refs, edges)
+    owners = nodes.filter("kind <> 'module'").groupBy("path", F.col("qualified").alias("owner")).agg(F.min_by("id", F.struct("line_start", "id")).alias("owner_id"))
+    defined = nodes.filter("kind <> 'module'").withColumn("owner", F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1)).join(owners, ["path", "owner"], "left").join(module, "path")
+    defined = defined.select(F.coalesce("owner_id", "src_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence"), "path", F.col("line_start").alias("line"))
+    return store.upsert(made.unionByName(imported).unionByName(defined), ["src_id", "dst_id", "type"], [-F.col("line")])
+
+
+def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
+    """The index of files with path, lang and text.
+
+    Supertypes are resolved first, so that members can be looked for on them; then calls.
+    """
+    files = kept(files.select("path", "lang", "text"), "index-files")
+    nodes, bound, found = extract(files)
+    imports = kept(numbered_imports(bound), "index-imports")
+    modules, packages = kept(modules_of(files), "index-modules"), kept(packages_of(files), "index-packages")
+    placed = kept(ladder.place_imports(imports, modules, nodes), "index-placed")
+    refs = kept(numbered_refs(found), "index-refs")
+    none = nodes.sparkSession.createDataFrame([], "owner string, base string")
+    first, second = refs.filter("type = 'inherits'"), refs.filter("type <> 'inherits'")
+    supers = kept(ladder.resolve(first, nodes, placed, none, linked, packages=packages), "index-supertypes")
+    bases = kept(bases_of(supers, refs), "index-bases")
+    resolved = kept(supers.unionByName(ladder.resolve(second, nodes, placed, bases, linked, packages=packages)), "index-resolved")
+    return Index(nodes, modules, packages, imports, placed, refs, bases, resolved, relate(nodes, imports, placed, refs, resolved))
