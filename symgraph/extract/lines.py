@@ -52,7 +52,7 @@ def numbered(files: DataFrame) -> DataFrame:
 
 
 def definitions(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """path, lang, kind, name, qualified, owner (the name of its type), receiver, line and line_end of each definition.
+    """path, lang, kind, name, qualified, owner and holder (name and kind of its type), receiver, line and line_end of each definition.
 
     Of several patterns that fit the first counts.  A name is qualified by all that it is in, a Go method by
     its receiver.  What is directly in a type is a method, and in Python whatever has a class around it.
@@ -85,14 +85,15 @@ def definitions(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     receiver = F.when(F.col("lang") == "go", F.nullif(F.regexp_extract("code", r"^func\s+\(\s*\w*\s*\*?\s*(\w+)", 1), F.lit("")))
     deep = deep.withColumn("receiver", receiver)
     owner = F.try_element_at(F.transform(F.filter("around", is_type), lambda x: x["name"]), F.lit(-1))
+    holder = F.try_element_at(F.transform(F.filter("around", is_type), lambda x: x["kind"]), F.lit(-1))
     prefix = F.when(F.col("receiver").isNotNull(), F.array("receiver")).otherwise(F.transform("around", lambda x: x["name"]))
     local = (F.col("kind") == "constant") & F.exists("around", lambda x: ~is_type(x))  # no other file can mean it
     made = deep.filter(~local).select(
         "path", "lang", F.when((F.col("kind") == "function") & in_type, "method").otherwise(F.col("kind")).alias("kind"), "name",
-        F.array_join(F.concat(prefix, F.array("name")), ".").alias("qualified"), F.coalesce("receiver", owner).alias("owner"), "receiver", "line", "line_end",
+        F.array_join(F.concat(prefix, F.array("name")), ".").alias("qualified"), F.coalesce("receiver", owner).alias("owner"), holder.alias("holder"), "receiver", "line", "line_end",
     )
     null = F.lit(None).cast("string")
-    named = ddl.declared(files).select("path", F.lit("sql").alias("lang"), "kind", "name", F.col("name").alias("qualified"), null.alias("owner"), null.alias("receiver"), "line", "line_end")
+    named = ddl.declared(files).select("path", F.lit("sql").alias("lang"), "kind", "name", F.col("name").alias("qualified"), null.alias("owner"), null.alias("holder"), null.alias("receiver"), "line", "line_end")
     return made.unionByName(named)
 
 
@@ -186,7 +187,8 @@ def calls(files: DataFrame, lines: DataFrame | None = None, defs: DataFrame | No
     lines = numbered(files) if lines is None else lines
     defs = definitions(files, lines) if defs is None else defs
     hits = F.regexp_extract_all("code", F.lit(r"((?:\w+\.)*\w+)\s*\("), F.lit(1))
-    named = lines.filter("lang <> 'sql'").select("path", "lang", "line", F.posexplode(hits).alias("place", "whole"))
+    # decorators are references of what they decorate
+    named = lines.filter((F.col("lang") != "sql") & ~F.col("code").rlike(r"^\s*@\w")).select("path", "lang", "line", F.posexplode(hits).alias("place", "whole"))
     before = F.regexp_extract("whole", r"^(.*)\.\w+$", 1)
     found = named.select("path", "lang", "line", "place", F.nullif(before, F.lit("")).alias("qualifier"), F.substring_index("whole", ".", -1).alias("name"))
     found = found.filter(~F.col("name").isin(*_NO_CALL))

@@ -58,12 +58,13 @@ def _blank(piece: Column) -> Column:
 
 
 def masked(files: DataFrame) -> DataFrame:
-    """path, lang, text, code (without comments and literals) and said (without comments and texts of several lines)."""
+    """path, lang, text, code (without comments and literals), said (without comments and texts of several lines) and notes (comments)."""
     cut = files.select("path", "lang", "text", _pieces(F.col("text"), F.col("lang")).alias("pieces"))
     lang = F.col("lang")
     code = F.transform("pieces", lambda p: F.when(_is_comment(p, lang) | _is_literal(p, lang), _blank(p)).otherwise(p))
     said = F.transform("pieces", lambda p: F.when(_is_comment(p, lang) | (_is_literal(p, lang) & F.contains(p, F.lit("\n"))), _blank(p)).otherwise(p))
-    return cut.select("path", "lang", "text", F.array_join(code, "").alias("code"), F.array_join(said, "").alias("said"))
+    notes = F.transform("pieces", lambda p: F.when(_is_comment(p, lang), p).otherwise(_blank(p)))
+    return cut.select("path", "lang", "text", F.array_join(code, "").alias("code"), F.array_join(said, "").alias("said"), F.array_join(notes, "").alias("notes"))
 
 
 def literals(files: DataFrame) -> DataFrame:

@@ -129,6 +129,19 @@ def file_modules(family: Column, path: Column) -> Column:
     )
 
 
+def exported_as(family: Column, kind: Column, name: Column, signature: Column, holder: Column) -> Column:
+    """Whether a definition can be seen outside of its file, by its name or by the words before it.
+
+    Java: public or protected, or a member of an interface that isn't private.  Swift: public or open.  TypeScript:
+    export before it; a member unless it is private.  ``holder`` is the kind of the type around it.
+    """
+    hidden = signature.rlike(r"\b(private|fileprivate)\b(?!\(set\))")
+    java = ~hidden & (signature.rlike(r"\b(public|protected)\b") | (holder == "interface"))
+    typescript = F.when(kind == "method", ~hidden & ~name.startswith("#")).otherwise(signature.rlike(r"^export\b"))
+    by_words = F.when(family == "java", java).when(family == "swift", signature.rlike(r"\b(public|open)\b")).when(family == "typescript", typescript)
+    return F.coalesce(exported(family, name), by_words, F.lit(True))
+
+
 def exported(family: Column, name: Column) -> Column:
     """Whether a name says that it is exported: no underscore before it in Python, a capital in Go; null elsewhere."""
     return F.when(family == "python", ~name.startswith("_")).when(family == "go", name.rlike(r"^\p{Lu}"))

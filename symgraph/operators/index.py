@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..extract import ddl, lines, nesting
-from ..functions.modules import exported, file_modules
+from ..extract import about, ddl, lines, nesting
+from ..functions.modules import exported_as, file_modules
 from ..functions.text import dirname
 from ..tables import kept
 from . import ladder, store
@@ -21,6 +21,7 @@ class Index:
     nodes: DataFrame
     modules: DataFrame
     packages: DataFrame
+    handlers: DataFrame
     imports: DataFrame
     placed: DataFrame
     refs: DataFrame
@@ -29,22 +30,31 @@ class Index:
     edges: DataFrame
 
 
-def nodes_of(files: DataFrame, defs: DataFrame | None = None) -> DataFrame:
-    """id, path, name, qualified, kind, exported, lang, line_start and line_end of each definition and of each file's module.
+def nodes_of(files: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """id, path, name, qualified, kind, exported, lang, line_start, line_end, signature and doc of each definition, endpoint and file.
 
     Equal ids of a file get #2, #3, ...
     """
-    found = lines.definitions(files) if defs is None else defs
-    own = found.withColumn("base", F.concat_ws(":", "path", "kind", "qualified"))
+    found = kept(lines.numbered(files), "index-lines") if found is None else found
+    defs = kept(lines.definitions(files, found), "index-definitions") if defs is None else defs
+    routes = about.endpoints(defs, found) if routes is None else routes
+    said = about.described(defs, files, found)
+    whole = defs.join(said, ["path", "line"], "left").withColumn("of", F.col("line"))
+    # an endpoint is documented as its handler is
+    handled = routes.withColumnRenamed("line", "at").join(said.select("path", F.col("line").alias("of"), "doc"), ["path", "of"], "left")
+    handled = handled.select("path", "lang", F.lit("endpoint").alias("kind"), "name", F.col("name").alias("qualified"), F.col("at").alias("line"), F.col("at").alias("line_end"), F.col("name").alias("signature"), "doc")
+    own = whole.unionByName(handled, allowMissingColumns=True).withColumn("base", F.concat_ws(":", "path", "kind", "qualified"))
     own = store.numbered_ids(own, ["path", "kind", "qualified"], ["line"], "base")
-    seen = F.coalesce(exported(F.col("lang"), F.col("name")), F.lit(True))
-    listed = own.select("id", "path", "name", "qualified", "kind", seen.alias("exported"), "lang", F.col("line").alias("line_start"), "line_end")
+    seen = exported_as(F.col("lang"), F.col("kind"), F.col("name"), F.col("signature"), F.col("holder"))
+    seen = F.when(F.col("kind") == "endpoint", True).otherwise(F.coalesce(seen, F.lit(True)))
+    listed = own.select("id", "path", "name", "qualified", "kind", seen.alias("exported"), "lang", F.col("line").alias("line_start"), "line_end", "signature", "doc")
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
     last = F.size(F.split("text", "\n"))
     module = files.select(
         F.concat("path", F.lit(":module")).alias("id"), "path", name.alias("name"), name.alias("qualified"), F.lit("module").alias("kind"), F.lit(True).alias("exported"),
-        lines.family(F.col("lang")).alias("lang"), F.lit(1).alias("line_start"), last.alias("line_end"),
+        lines.family(F.col("lang")).alias("lang"), F.lit(1).alias("line_start"), last.alias("line_end"), F.lit(None).cast("string").alias("signature"),
     )
+    module = module.join(said.filter("line = 0").select("path", "doc"), "path", "left").select(*listed.columns)
     return listed.unionByName(module)
 
 
@@ -72,7 +82,7 @@ def packages_of(files: DataFrame) -> DataFrame:
 
 def owned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (path, line, ...) with ``src_id``: the innermost definition whose block holds their line, or else the file's module."""
-    spans = nodes.filter("kind <> 'module'").select("path", F.col("line_start").alias("line"), "line_end", "id")
+    spans = nodes.filter("kind NOT IN ('module', 'endpoint')").select("path", F.col("line_start").alias("line"), "line_end", "id")
     inside = nesting.within(rows, spans, ["id"])
     return inside.withColumn("src_id", F.coalesce(F.try_element_at("around", F.lit(-1))["id"], F.concat("path", F.lit(":module")))).drop("around")
 
@@ -85,21 +95,37 @@ def references_of(files: DataFrame, nodes: DataFrame, found: DataFrame | None =
     bases = lines.supertypes(files, found).select("path", "line", base.alias("name"), F.nullif(F.regexp_extract("base", r"^(.*)\.[^.]*$", 1), F.lit("")).alias("qualifier"), F.lit("inherits").alias("type"))
     called = lines.calls(files, found, defs).select("path", "line", "name", "qualifier", F.lit("calls").alias("type"))
     asked = lines.queries(files).select("path", "line", "name", null.alias("qualifier"), F.lit("queries").alias("type"))
+    marks = about.decorators(found, about.statements(found)).withColumn("whole", F.regexp_extract("text", r"^\s*@([\w.]+)", 1))
+    by_line = nodes.filter("kind NOT IN ('module', 'endpoint')").groupBy("path", F.col("line_start").alias("of")).agg(F.min("id").alias("src_id"))
+    marked = marks.join(by_line, ["path", "of"]).select(
+        "src_id", "path", "line", F.lit("references").alias("type"), F.substring_index("whole", ".", -1).alias("name"), F.nullif(F.regexp_extract("whole", r"^(.*)\.\w+$", 1), F.lit("")).alias("qualifier")
+    )
     placed = owned(bases.unionByName(called).unionByName(asked), nodes)
     # a statement says itself whose it is
     said = ddl.references(files)
     tables = nodes.filter("lang = 'sql' AND kind = 'table'").groupBy("path", F.col("name").alias("owner")).agg(F.min_by("id", "line_start").alias("src_id"))
     stated = said.join(tables, ["path", "owner"], "left").withColumn("src_id", F.coalesce("src_id", F.concat("path", F.lit(":module"))))
-    return placed.unionByName(stated.select("src_id", "path", "line", "type", "name", null.alias("qualifier")))
+    return placed.unionByName(marked).unionByName(stated.select("src_id", "path", "line", "type", "name", null.alias("qualifier")))
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, imports and references of files with path, lang and text; the latter two without numbers."""
+def handlers_of(routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src_id (an endpoint), dst_id (what serves it, or says that it is served), path and line."""
+    ends = nodes.filter("kind = 'endpoint'").select("path", "name", F.col("line_start").alias("line"), F.col("id").alias("end"))
+    at = routes.join(ends, ["path", "name", "line"])
+    by_line = nodes.filter("kind NOT IN ('module', 'endpoint')").groupBy("path", F.col("line_start").alias("of")).agg(F.min("id").alias("to"))
+    direct = at.filter("of IS NOT NULL").join(by_line, ["path", "of"]).select("end", "to", "path", "line")
+    around = owned(at.filter("of IS NULL").select("path", "line", "end"), nodes).select("end", F.col("src_id").alias("to"), "path", "line")
+    return direct.unionByName(around).select(F.col("end").alias("src_id"), F.col("to").alias("dst_id"), "path", "line")
+
+
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, handlers, imports and references of files with path, lang and text; the latter two without numbers."""
     found = kept(lines.numbered(files), "index-lines")
     defs = kept(lines.definitions(files, found), "index-definitions")
-    nodes = kept(nodes_of(files, defs), "index-nodes")
+    routes = kept(about.endpoints(defs, found), "index-routes")
+    nodes = kept(nodes_of(files, found, defs, routes), "index-nodes")
     bound = lines.bindings(files, found).select("path", F.col("lang").alias("family"), "module", "symbol", "alias", "line")
-    return nodes, bound, references_of(files, nodes, found, defs)
+    return nodes, kept(handlers_of(routes, nodes), "index-handlers"), bound, references_of(files, nodes, found, defs)
 
 
 def numbered_imports(bound: DataFrame, after: int = 0) -> DataFrame:
@@ -118,16 +144,17 @@ def bases_of(resolved: DataFrame, refs: DataFrame) -> DataFrame:
     return above.select(F.col("src_id").alias("owner"), F.col("dst_id").alias("base")).distinct()
 
 
-def relate(nodes: DataFrame, imports: DataFrame, placed: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The relationships: of resolved references, of placed imports, and of each definition's owner."""
+def relate(nodes: DataFrame, handlers: DataFrame, imports: DataFrame, placed: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The relationships: of resolved references, of endpoints, of placed imports, and of each definition's owner."""
     made = ladder.edges_of(resolved, refs).join(refs.select("rid", "path", "line"), "rid").select("src_id", "dst_id", "type", "confidence", "path", "line")
     module = nodes.filter("kind = 'module'").select("path", F.col("id").alias("src_id"))
     ends = placed.select("rid", "path", F.explode(F.array_compact(F.array("id", "via"))).alias("dst_id")).join(imports.select("rid", "line"), "rid").join(module, "path")
     imported = ends.filter("src_id <> dst_id").select("src_id", "dst_id", F.lit("imports").alias("type"), F.lit("resolved").alias("confidence"), "path", "line")
     owners = nodes.filter("kind <> 'module'").groupBy("path", F.col("qualified").alias("owner")).agg(F.min_by("id", F.struct("line_start", "id")).alias("owner_id"))
-    defined = nodes.filter("kind <> 'module'").withColumn("owner", F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1)).join(owners, ["path", "owner"], "left").join(module, "path")
+    defined = nodes.filter("kind <> 'module'").withColumn("owner", F.when(F.col("kind") != "endpoint", F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1))).join(owners, ["path", "owner"], "left").join(module, "path")
     defined = defined.select(F.coalesce("owner_id", "src_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("defines").alias("type"), F.lit("exact").alias("confidence"), "path", F.col("line_start").alias("line"))
-    return store.upsert(made.unionByName(imported).unionByName(defined), ["src_id", "dst_id", "type"], [-F.col("line")])
+    served = handlers.select("src_id", "dst_id", F.lit("references").alias("type"), F.lit("exact").alias("confidence"), "path", "line")
+    return store.upsert(made.unionByName(imported).unionByName(defined).unionByName(served), ["src_id", "dst_id", "type"], [-F.col("line")])
 
 
 def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
@@ -136,7 +163,7 @@ def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
     Supertypes are resolved first, so that members can be looked for on them; then calls.
     """
     files = kept(files.select("path", "lang", "text"), "index-files")
-    nodes, bound, found = extract(files)
+    nodes, handlers, bound, found = extract(files)
     imports = kept(numbered_imports(bound), "index-imports")
     modules, packages = kept(modules_of(files), "index-modules"), kept(packages_of(files), "index-packages")
     placed = kept(ladder.place_imports(imports, modules, nodes), "index-placed")
@@ -146,4 +173,4 @@ def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
     supers = kept(ladder.resolve(first, nodes, placed, none, linked, packages=packages), "index-supertypes")
     bases = kept(bases_of(supers, refs), "index-bases")
     resolved = kept(supers.unionByName(ladder.resolve(second, nodes, placed, bases, linked, packages=packages)), "index-resolved")
-    return Index(nodes, modules, packages, imports, placed, refs, bases, resolved, relate(nodes, imports, placed, refs, resolved))
+    return Index(nodes, modules, packages, handlers, imports, placed, refs, bases, resolved, relate(nodes, handlers, imports, placed, refs, resolved))

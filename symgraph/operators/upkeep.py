@@ -53,8 +53,9 @@ def apply(made: Index, changed: DataFrame, gone: DataFrame, linked: DataFrame |
     """The index after ``changed`` files (path, lang, text), new ones among them, and without those that are ``gone`` (path)."""
     changed = kept(changed.select("path", "lang", "text"), "upkeep-files")
     paths = kept(store.changed_paths(changed, gone), "upkeep-paths")
-    new_nodes, bound, found = indexing.extract(changed)
+    new_nodes, new_handlers, bound, found = indexing.extract(changed)
     nodes = kept(store.delete_paths(made.nodes, paths).unionByName(new_nodes), "upkeep-nodes")
+    handlers = kept(store.delete_paths(made.handlers, paths).unionByName(new_handlers), "upkeep-handlers")
     modules = kept(store.delete_paths(made.modules, paths).unionByName(indexing.modules_of(changed)), "upkeep-modules")
     packages = kept(store.delete_paths(made.packages, paths).unionByName(indexing.packages_of(changed)), "upkeep-packages")
     imports = kept(store.delete_paths(made.imports, paths).unionByName(indexing.numbered_imports(bound, _last(made.imports))), "upkeep-imports")
@@ -78,7 +79,7 @@ def apply(made: Index, changed: DataFrame, gone: DataFrame, linked: DataFrame |
     again = ladder.resolve(second, nodes, placed, bases, linked, packages=packages)
     others = _replaced(old.join(refs.filter("type <> 'inherits'"), "rid", "left_semi"), second, again)
     resolved = kept(supers.unionByName(others), "upkeep-resolved")
-    return Index(nodes, modules, packages, imports, placed, refs, bases, resolved, indexing.relate(nodes, imports, placed, refs, resolved))
+    return Index(nodes, modules, packages, handlers, imports, placed, refs, bases, resolved, indexing.relate(nodes, handlers, imports, placed, refs, resolved))
 
 
 def _dirty(refs: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
