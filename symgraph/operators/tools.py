@@ -52,6 +52,12 @@ def callers(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int | N
     return _named(nodes, graph.traverse(edges, roots, clamp(depth, DEPTHS, 1), "in", CALL_TYPES))
 
 
+def find_callers(nodes: DataFrame, edges: DataFrame, names: DataFrame, depth: int | None = None) -> DataFrame:
+    """root (a name), id, distance, via and the symbol: what calls any symbol that the ladder finds for each name (q)."""
+    roots = lookup.ladder(names, nodes).select(F.col("q").alias("root"), "id")
+    return callers(nodes, edges, roots, depth)
+
+
 def callees(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     return _named(nodes, graph.traverse(edges, roots, clamp(depth, DEPTHS, 1), "out", CALL_TYPES))
 

@@ -11,6 +11,7 @@ from ..operators import lookup, resolve, store
 from ..operators.rank import tokens
 from ..sources import star
 from ..sources.pages import hrefs, module_keys
+from ..streaming import upkeep
 from ..streaming.changes import sessions
 
 QUERIES, ORACLES = {}, {}
@@ -297,6 +298,23 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.snapshot_diff(*_snapshots(spark, sf_dir))
 
 
+@query(
+    _SNAPSHOTS
+    + """
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'delete' WHEN a.path IS NULL THEN 'parse' WHEN a.size = b.size AND a.mtime_ms = b.mtime_ms THEN 'same' WHEN a.hash = b.hash THEN 'touch' ELSE 'parse' END AS action
+FROM old a FULL JOIN new b ON a.path = b.path
+"""
+)
+def change_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch of a stream of changes does with each file: the state half-way is known, that at the end comes in."""
+    old, new = _snapshots(spark, sf_dir)
+    now = F.current_timestamp().alias("ts")
+    come = new.select("path", now, "size", "mtime_ms", "hash")
+    gone = old.join(new, "path", "left_anti").select("path", now, "size", "mtime_ms", F.lit(None).cast("string").alias("hash"))
+    batch = come.unionByName(gone).withColumns({"lang": F.lit("python"), "text": F.lit(None).cast("string")})
+    return upkeep.plan(batch, old).select("path", "action")
+
+
 @query(_SNAPSHOTS + "SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)")
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _snapshots(spark, sf_dir)

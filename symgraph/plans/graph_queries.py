@@ -117,6 +117,25 @@ def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.col("length").cast("bigint").alias("length"))
 
 
+@query(
+    """
+SELECT 'nation:' || s_nationkey AS a, 'region:' || n_regionkey AS b, CAST(1 AS BIGINT) AS length, true AS whole, true AS known FROM nation JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON s_nationkey = n_nationkey
+UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey, 2, true, true FROM supplier JOIN nation ON n_nationkey = s_nationkey
+"""
+)
+def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each supplier and its nation to their region: hops join up from end to end, and each is a relationship."""
+    nation = star.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("b"))
+    supplier = star.table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows by definition
+    pairs = supplier.select(F.explode(F.array(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")))).alias("a"), "b").distinct()
+    edges = _edges(spark, sf_dir)
+    found = kept(graph.shortest_paths(edges, pairs, 4), "paths")
+    walk = F.aggregate("hops", F.col("a"), lambda at, h: F.when(h["src_id"] == at, h["dst_id"]).when(h["dst_id"] == at, h["src_id"]).otherwise("nowhere"))
+    hops = found.select("a", "b", F.explode("hops").alias("h")).select("a", "b", "h.*").distinct()
+    known = hops.join(edges, ["src_id", "dst_id", "type"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return found.join(known, ["a", "b"]).select("a", "b", F.col("length").cast("bigint").alias("length"), (walk == F.col("b")).alias("whole"), (F.col("n") == F.col("length")).alias("known"))
+
+
 @query(
     """
 SELECT dst_id AS id, count(*) AS degree FROM edges WHERE type <> 'defines' GROUP BY dst_id

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..extract import about, lines
 from ..operators import index
 from ..sources import texts
 from ..tables import kept
@@ -11,9 +12,9 @@ from ..tables import kept
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str):
+def query(sql: str, known: str = texts.SQL):
     def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, texts.SQL + sql
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, known + sql
         return f
 
     return add
@@ -52,3 +53,21 @@ def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationships of a whole index: each file's own calls, and what it defines."""
     made = index.build(texts.files(spark, sf_dir))
     return made.edges.select("src_id", "dst_id", "type", "confidence")
+
+
+@query("SELECT id, signature, doc, exported FROM about", texts.WEB_SQL)
+def symbol_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures over several lines, docstrings, comments above decorators, and visibility."""
+    nodes = index.nodes_of(kept(texts.web_files(spark, sf_dir), "texts"))
+    return nodes.select("id", "signature", "doc", "exported")
+
+
+@query("SELECT id AS endpoint, handler FROM about WHERE handler IS NOT NULL", texts.WEB_SQL)
+def endpoint_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with the prefix of their type, and what serves them."""
+    files = kept(texts.web_files(spark, sf_dir), "texts")
+    found = kept(lines.numbered(files), "lines")
+    defs = kept(lines.definitions(files, found), "definitions")
+    routes = kept(about.endpoints(defs, found), "routes")
+    nodes = kept(index.nodes_of(files, found, defs, routes), "index-nodes")
+    return index.handlers_of(routes, nodes).selectExpr("src_id AS endpoint", "dst_id AS handler")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..extract.lines import tables_in_text
 from ..functions import modules, text
 from ..operators import store, tools
-from ..schemas import IMPACT_TYPES
+from ..schemas import CALL_TYPES, IMPACT_TYPES
 from ..sources import code, star
 from ..tables import kept
 
@@ -305,3 +305,70 @@ def numbered_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def existing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = star.nodes(spark, sf_dir).filter("kind = 'function'").select("id")
     return star.edges(spark, sf_dir).select(F.col("src_id").alias("id")).distinct().join(own, "id", "left_semi")
+
+
+# the question tools, from names to answers
+
+_CALLS = ", ".join(f"'{t}'" for t in CALL_TYPES)
+
+
+@query(star.SQL + f"SELECT DISTINCT n.qualified AS root, s.id, CAST(1 AS BIGINT) AS distance FROM nodes n JOIN edges e ON e.dst_id = n.id AND e.type IN ({_CALLS}) JOIN nodes s ON s.id = e.src_id WHERE n.kind = 'struct' AND s.id <> n.id")
+def callers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the name of each supplier to what calls it."""
+    nodes = kept(star.nodes(spark, sf_dir), "nodes")
+    names = nodes.filter("kind = 'struct'").select(F.col("qualified").alias("q"))
+    found = tools.find_callers(nodes, star.edges(spark, sf_dir), names, 1)
+    return found.select("root", "id", F.col("distance").cast("bigint").alias("distance"))
+
+
+@query(
+    star.SQL
+    + """, asked AS (SELECT id FROM nodes WHERE kind = 'module')
+, sides AS (
+  SELECT id, 'out' AS direction, dst_id AS other, type, conf_rank, e.path, line, confidence FROM asked JOIN ranked_edges e ON src_id = id
+  UNION ALL SELECT id, 'in', src_id, type, conf_rank, e.path, line, confidence FROM asked JOIN ranked_edges e ON dst_id = id
+), dedup AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, direction, other, type ORDER BY conf_rank, path, line, confidence) AS k FROM sides) WHERE k = 1
+), capped AS (
+  SELECT *, row_number() OVER (PARTITION BY id, direction, type ORDER BY conf_rank, path, line, other) AS r, count(*) OVER (PARTITION BY id, direction, type) AS n FROM dedup
+)
+SELECT c.id, direction, type, other, s.name AS other_name, s.path AS other_path, CAST(r AS BIGINT) AS rank, CAST(n AS BIGINT) AS in_group FROM capped c LEFT JOIN nodes s ON s.id = other WHERE r <= 12"""
+)
+def symbol_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations with a dozen named neighbours of each kind."""
+    nodes = kept(star.nodes(spark, sf_dir), "nodes")
+    found = tools.get_symbol(nodes, star.edges(spark, sf_dir), nodes.filter("kind = 'module'").select("id"))
+    return found.select("id", "direction", "type", "other", "other_name", "other_path", F.col("rank").cast("bigint").alias("rank"), F.col("in_group").cast("bigint").alias("in_group"))
+
+
+@query(
+    star.SQL
+    + f""", changed AS (SELECT DISTINCT path FROM nodes WHERE kind = 'struct')
+, reach AS (
+  SELECT n.path AS root, n.id, CAST(0 AS BIGINT) AS d FROM nodes n JOIN changed USING (path) WHERE n.kind <> 'module'
+  UNION SELECT root, e.src_id, d + 1 FROM reach JOIN edges e ON e.dst_id = reach.id WHERE d < 1 AND e.type IN ({_TYPES})
+)
+SELECT root, id, min(d) AS distance FROM reach JOIN nodes n USING (id) WHERE n.path <> root GROUP BY root, id HAVING min(d) > 0"""
+)
+def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on each changed file from outside of it, symbol by symbol."""
+    nodes = kept(star.nodes(spark, sf_dir), "nodes")
+    found = tools.changed_since(nodes, star.edges(spark, sf_dir), nodes.filter("kind = 'struct'").select("path"), 1, None)
+    return found.select("root", "id", F.col("distance").cast("bigint").alias("distance"))
+
+
+@query(
+    star.SQL
+    + """SELECT 'files' AS what, count(DISTINCT path) AS n FROM nodes UNION ALL SELECT 'symbols', count(*) FROM nodes UNION ALL SELECT 'relationships', count(*) FROM edges
+UNION ALL SELECT 'open', count(*) FROM events WHERE NOT (value > 50)"""
+)
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = star.table(spark, sf_dir, "events").select((F.col("value") > 50).alias("resolved"))
+    return tools.status(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), refs)["counts"]
+
+
+@query(star.SQL + "SELECT type, confidence, count(*) AS n FROM edges GROUP BY GROUPING SETS ((type), (confidence))")
+def status_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships by type and by confidence, in one pass."""
+    refs = star.table(spark, sf_dir, "events").select((F.col("value") > 50).alias("resolved"))
+    return tools.status(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), refs)["edges"]

@@ -64,6 +64,41 @@ create unique index at_{k} on items_{k} (id); create function f_{k}() returns in
 '''
 
 
+PYTHON_WEB = '''"""Serves supplier {k}."""
+# not this one
+
+@app.route("/s{k}/<id>", methods=["get", "put"])
+@checked
+def show_{k}(
+    id,
+):
+    """Shows supplier {k}.
+
+    At length.
+    """
+    return id
+@app.post("/s{k}")
+async def make_{k}(): return 1
+'''
+JAVA_WEB = '''package n{n};
+/**
+ * Serves supplier {k}.
+ * @since 1
+ */
+@RestController
+@RequestMapping("/api/n{n}")
+public class C{k} {
+  // Gets {k}.
+  @GetMapping("/{id}")
+  public String get(int id) { return "@PostMapping(\\"/no\\")"; }
+
+  @RequestMapping(path = "s{k}", method = RequestMethod.PUT)
+  String put(
+      int a) { return ""; }
+}
+'''
+
+
 def _filled(text: str, k: Column, n: Column) -> Column:
     return F.replace(F.replace(F.lit(text), F.lit("{k}"), k.cast("string")), F.lit("{n}"), n.cast("string"))
 
@@ -80,6 +115,32 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(sql)
 
 
+def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, lang and text of handlers of routes: a Python or Java file for each supplier."""
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    python = F.col("k") % 2 == 0
+    path = F.concat(F.lit("web/s"), F.col("k").cast("string"), F.when(python, ".py").otherwise(".java"))
+    text = F.when(python, _filled(PYTHON_WEB, F.col("k"), F.col("n"))).otherwise(_filled(JAVA_WEB, F.col("k"), F.col("n")))
+    return supplier.select(path.alias("path"), F.when(python, "python").otherwise("java").alias("lang"), text.alias("text"))
+
+
+#: What is said about the handlers: kind, names, signature, doc, visibility, and the handler of an endpoint.
+WEB_SQL = """
+WITH s AS (
+  SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 2 = 0 AS py, 'web/s' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.java' END AS path FROM supplier
+), about AS (
+  SELECT path, path || ':module' AS id, NULL AS signature, CASE WHEN py THEN 'Serves supplier ' || k || '.' END AS doc, true AS exported, NULL AS handler FROM s
+  UNION ALL SELECT path, path || ':function:show_' || k, 'def show_' || k || '( id, )', 'Shows supplier ' || k || '.', true, NULL FROM s WHERE py
+  UNION ALL SELECT path, path || ':function:make_' || k, 'async def make_' || k || '()', NULL, true, NULL FROM s WHERE py
+  UNION ALL SELECT path, path || ':endpoint:GET|PUT /s' || k || '/<id>', 'GET|PUT /s' || k || '/<id>', 'Shows supplier ' || k || '.', true, path || ':function:show_' || k FROM s WHERE py
+  UNION ALL SELECT path, path || ':endpoint:POST /s' || k, 'POST /s' || k, NULL, true, path || ':function:make_' || k FROM s WHERE py
+  UNION ALL SELECT path, path || ':class:C' || k, 'public class C' || k, 'Serves supplier ' || k || '.', true, NULL FROM s WHERE NOT py
+  UNION ALL SELECT path, path || ':method:C' || k || '.get', 'public String get(int id)', 'Gets ' || k || '.', true, NULL FROM s WHERE NOT py
+  UNION ALL SELECT path, path || ':method:C' || k || '.put', 'String put( int a)', NULL, false, NULL FROM s WHERE NOT py
+  UNION ALL SELECT path, path || ':endpoint:GET /api/n' || n || '/{id}', 'GET /api/n' || n || '/{id}', 'Gets ' || k || '.', true, path || ':method:C' || k || '.get' FROM s WHERE NOT py
+  UNION ALL SELECT path, path || ':endpoint:PUT /api/n' || n || '/s' || k, 'PUT /api/n' || n || '/s' || k, NULL, true, path || ':method:C' || k || '.put' FROM s WHERE NOT py
+)
+"""
 #: What the texts define and refer to, as the generator knows it.
 SQL = """
 WITH f AS (
