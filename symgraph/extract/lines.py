@@ -20,7 +20,7 @@ DEFINITIONS = {
     "go": (("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("struct", r"^type\s+(\w+)\b"), ("constant", r"^(?:const|var)\s+([A-Z]\w*)")),
     "typescript": (("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|enum)\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?(?:interface|type)\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("constant", r"^\s*(?:export\s+)?const\s+([A-Z][A-Z0-9_]+)\s*[:=]")),
     "java": (("class", r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*(?:class|enum)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|protected|private|static)\s+)*@?interface\s+(\w+)"), ("struct", r"^\s*(?:(?:public|protected|private|static|final)\s+)*record\s+(\w+)"), ("constant", r"^\s*(?:(?:public|protected|private)\s+)?static\s+final\s+[\w<>\[\], ]+\s(\w+)\s*=")),
-    "swift": (("class", r"^\s*(?:(?:public|open|internal|private|fileprivate|final|indirect)\s+)*(?:class|actor|enum)\s+(?!func\b|var\b)(\w+)"), ("struct", r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*struct\s+(\w+)"), ("interface", r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*(?:protocol|typealias)\s+(\w+)"), ("function", r"^\s*(?:@\w+\s+)*(?:(?:public|open|internal|private|fileprivate|static|class|override|mutating|final)\s+)*func\s+(\w+)")),
+    "swift": (("extension", r"^\s*(?:@\w+\s+)*(?:(?:public|internal|private|fileprivate)\s+)*extension\s+([\w.]+)"), ("class", r"^\s*(?:(?:public|open|internal|private|fileprivate|final|indirect)\s+)*(?:class|actor|enum)\s+(?!func\b|var\b)(\w+)"), ("struct", r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*struct\s+(\w+)"), ("interface", r"^\s*(?:(?:public|internal|private|fileprivate)\s+)*(?:protocol|typealias)\s+(\w+)"), ("function", r"^\s*(?:@\w+\s+)*(?:(?:public|open|internal|private|fileprivate|static|class|override|mutating|final)\s+)*func\s+(\w+)")),
 }
 # Members that no word announces; they count directly inside a type only.
 MEMBERS = {
@@ -87,6 +87,8 @@ def definitions(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     owner = F.try_element_at(F.transform(F.filter("around", is_type), lambda x: x["name"]), F.lit(-1))
     holder = F.try_element_at(F.transform(F.filter("around", is_type), lambda x: x["kind"]), F.lit(-1))
     prefix = F.when(F.col("receiver").isNotNull(), F.array("receiver")).otherwise(F.transform("around", lambda x: x["name"]))
+    # an extension names the type of its members, and is no symbol itself
+    deep = deep.filter("kind <> 'extension'")
     local = (F.col("kind") == "constant") & F.exists("around", lambda x: ~is_type(x))  # no other file can mean it
     made = deep.filter(~local).select(
         "path", "lang", F.when((F.col("kind") == "function") & in_type, "method").otherwise(F.col("kind")).alias("kind"), "name",
@@ -160,7 +162,7 @@ def bindings(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     java = F.when(t.rlike(type_), F.array(one(got(type_, 1), name, name)))
     package = r"^\s*(?:import\s+)?(?:([\w.]+)\s+)?\"([^\"]+)\"\s*$"
     go = F.when(t.rlike(package), F.array(one(got(package, 2), null, F.coalesce(got(package, 1), F.substring_index(got(package, 2), "/", -1)))))
-    swift = F.when(t.rlike(IMPORTS["swift"]), F.array(one(got(IMPORTS["swift"], 1), null, null)))
+    swift = F.when(t.rlike(IMPORTS["swift"]), F.array(one(got(IMPORTS["swift"], 1), null, got(IMPORTS["swift"], 1))))
     found = None
     for lang, value in (("python", python), ("typescript", typescript), ("java", java), ("go", go), ("swift", swift)):
         found = F.when(F.col("lang") == lang, value.cast(_BINDING)) if found is None else found.when(F.col("lang") == lang, value.cast(_BINDING))

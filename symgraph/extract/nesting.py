@@ -29,7 +29,8 @@ NOISE = {
     "swift": ("|".join([_TRIPLE, _DOUBLE, _SLASHES, _BLOCK]), '"/'),
     "sql": ("|".join([r"'[^']*+(?:'|\z)", r"--[^\n]*+", _BLOCK, r"\$(\w*)\$(?s:.*?)(?:\$\1\$|\z)", _DOUBLE, r"`[^`\n]*+`"]), "'-/$\"`"),
 }
-TYPES = ("class", "struct", "interface")
+#: Kinds whose members are methods.
+TYPES = ("class", "struct", "interface", "extension")
 
 
 def _pieces(text: Column, lang: Column) -> Column:

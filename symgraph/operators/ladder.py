@@ -23,7 +23,7 @@ from .resolve import MOST, first_hit
 SELVES = ("self", "this", "cls")
 TYPES = ("class", "struct", "interface")
 HOPS = 4
-RUNGS = ("tables", "self", "same_file", "imported", "receiver", "local_type", "visible", "qualified", "global", "linked")
+RUNGS = ("tables", "self", "same_file", "swift_member", "imported", "receiver", "local_type", "visible", "qualified", "global", "linked")
 _ROW = "rid bigint, id string, rung int, confidence string"
 
 
@@ -130,8 +130,12 @@ def _counted(candidates_: DataFrame, by: list[str], most: int) -> tuple[DataFram
 
 
 def shaped(defs: DataFrame) -> DataFrame:
-    """Each definition for each shape of reference that it fits: any, a bare call (no method), a call on a receiver (no function)."""
-    fits = F.array_compact(F.array(F.lit("any"), F.when(F.col("kind") != "method", "bare"), F.when(F.col("kind") != "function", "on")))
+    """Each definition for each shape of reference that it fits: any, a bare call (no method), a call on a receiver (no function).
+
+    A bare name in Swift fits top-level declarations in Swift only.
+    """
+    top = F.when((F.col("lang") == "swift") & (F.col("qualified") == F.col("name")), "swift")
+    fits = F.array_compact(F.array(F.lit("any"), F.when(F.col("kind") != "method", "bare"), F.when(F.col("kind") != "function", "on"), top))
     return defs.withColumn("shape", F.explode(fits))
 
 
@@ -170,6 +174,56 @@ def visible_candidates(asked: DataFrame, sees: DataFrame, lies: DataFrame, defs:
     return found.filter(~F.col("many") & (F.col("n") <= most)).select("path", "name", "shape", F.explode("ids").alias("id"), "n")
 
 
+def swift_rungs(
+    refs: DataFrame, nodes: DataFrame, defs: DataFrame, bound: DataFrame, bases: DataFrame, sees: DataFrame, lies: DataFrame, packages: DataFrame | None
+) -> list[tuple[str, DataFrame, str | Column]]:
+    """The rungs of Swift references: a type is spread over files by its extensions, and a module is one scope.
+
+    In its file a bare name means what is at the top, or a member of the types around it, whose dotted names are
+    the candidates.  A member is then looked for by its qualified name in all scopes that the file sees: that of
+    the type around for a bare name and for self, else of the receiver's; or on what a type declared in the
+    file is based on.  A receiver may also be an imported module.
+    """
+    types = F.col("kind").isin(*TYPES)
+    owner = F.nullif(F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1), F.lit(""))
+    around = nodes.select(F.col("id").alias("src_id"), F.when(types, F.col("qualified")).when(F.col("kind").isin("method", "constant"), owner).alias("around"))
+    rows = kept(refs.join(around, "src_id", "left"), "swift-refs")
+    own = defs.filter("lang = 'swift'").withColumn("owner", F.coalesce(owner, F.lit("")))
+
+    parts = F.split("around", "[.]")
+    outer = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    none = F.array().cast("array<string>")
+    owners = F.when(F.col("selfish"), F.when(F.col("around").isNotNull(), F.array("around")).otherwise(none)).otherwise(F.concat(F.array(F.lit("")), F.coalesce(outer, none)))
+    local = rows.filter("bare OR selfish").select("rid", "path", "name", F.explode(owners).alias("owner"))
+    found = local.join(own.select("path", "name", "owner", "id", "kind", "exported"), ["path", "name", "owner"])
+    here = found.groupBy("rid").agg(F.min_by("id", _order()).alias("id"), F.count("*").alias("n"))
+
+    of = F.when(F.col("bare") | F.col("selfish") | (F.col("qualifier") == "super"), F.col("around")).otherwise(F.col("qualifier"))
+    asks = kept(rows.withColumn("of", of).filter("of IS NOT NULL"), "swift-asks")
+    wanted = asks.filter("NOT (qualifier <=> 'super')").withColumn("whole", F.concat_ws(".", "of", "name"))
+    spread = own.join(lies, "path").select("key", F.col("qualified").alias("whole"), "id", "kind", "exported", F.col("path").alias("at"))
+    best = spread.groupBy("key", "whole").agg(F.min(F.struct(rank_in(KIND_PRIORITY, "kind"), ~F.col("exported"), "at", "id")).alias("best"))
+    members = wanted.select("path", "whole").distinct().join(sees, "path").join(best, ["key", "whole"]).groupBy("path", "whole").agg(F.min("best").alias("best"))
+    declared = wanted.join(members, ["path", "whole"]).select("rid", F.col("best.id").alias("id"))
+    holders = own.filter(types).groupBy("path", F.col("qualified").alias("of")).agg(F.min_by("id", _order()).alias("holder"))
+    held = asks.join(declared, "rid", "left_anti").join(holders, ["path", "of"]).select("rid", "holder", "name")
+    # a type's own members were looked for already
+    above = held.join(bases, held["holder"] == bases["owner"]).select("rid", F.col("base").alias("holder"), "name")
+    inherited = _members(above, nodes, bases, 1)
+
+    out = [("same_file", here.select("rid", "id", "n"), F.when(F.col("n") == 1, "exact").otherwise("resolved")), ("swift_member", declared, "resolved"), ("swift_member", inherited, "resolved")]
+    if packages is not None:
+        # a module's own name, and then the qualified name of something at its top
+        heads = rows.filter("NOT bare AND NOT selfish").select("rid", "path", "name", "qualifier", F.split("qualifier", "[.]")[0].alias("head"))
+        modules = heads.join(bound.filter("to.kind = 'module'").select("path", "head", F.col("to.target_path").alias("target")), ["path", "head"])
+        rest = F.regexp_extract("qualifier", r"^[^.]*\.(.*)$", 1)
+        modules = modules.select("rid", "target", F.when(rest == "", F.col("name")).otherwise(F.concat_ws(".", rest, "name")).alias("whole"))
+        units = packages.select("path", "package")
+        tops = own.join(units, "path").groupBy("package", F.col("qualified").alias("whole")).agg(F.min_by("id", _order()).alias("id"))
+        out.append(("receiver", modules.join(units.withColumnRenamed("path", "target"), "target").join(tops, ["package", "whole"]).select("rid", "id"), "resolved"))
+    return out
+
+
 def resolve(
     refs: DataFrame,
     nodes: DataFrame,
@@ -184,12 +238,23 @@ def resolve(
     ``placed`` are placed imports; ``linked`` are nodes of other repositories, if there are any; ``packages`` (path,
     package, shared, wide) says which files are one package, and whether they are one scope.
     """
-    defs = kept(nodes.filter("kind <> 'module'").select("id", "path", "name", "qualified", "kind", "exported"), "definitions")
+    if "lang" not in nodes.columns:
+        nodes = nodes.withColumn("lang", F.lit(None).cast("string"))
+    defs = kept(nodes.filter("kind <> 'module'").select("id", "path", "name", "qualified", "kind", "exported", "lang"), "definitions")
     selfish = F.coalesce(F.col("qualifier").isin(*SELVES), F.lit(False))
     bare = F.col("qualifier").isNull()
     shape = F.when((F.col("type") != "calls") | selfish, "any").when(bare, "bare").otherwise("on")
     refs = kept(refs.withColumn("selfish", selfish).withColumn("bare", bare).withColumn("shape", shape), "refs")
-    named = refs.filter("type <> 'queries'")
+    sees, lies = scopes(placed, defs, packages)
+    swift, every = None, refs.filter("type <> 'queries'")
+    if not defs.filter("lang = 'swift'").isEmpty():
+        from_swift = nodes.filter("lang = 'swift'").select(F.col("id").alias("src_id"), F.lit(True).alias("is_swift"))
+        every = kept(every.join(from_swift, "src_id", "left").withColumn("is_swift", F.coalesce("is_swift", F.lit(False))), "refs-by-language")
+        swift = every.filter("is_swift").drop("is_swift")
+        every = every.drop("is_swift")
+        named = every.join(swift.select("rid"), "rid", "left_anti")
+    else:
+        named = every
     out = []
 
     _, few = _counted(defs.filter("kind = 'table'").select("name", "id"), ["name"], most)
@@ -199,7 +264,7 @@ def resolve(
     # self receivers: the enclosing type's member, there or inherited
     types = defs.filter(F.col("kind").isin(*TYPES))
     source = nodes.select(F.col("id").alias("src_id"), F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1).alias("owner_name")).filter("owner_name <> ''")
-    inside = named.filter("selfish").join(source, "src_id")
+    inside = every.filter("selfish").join(source, "src_id")
     direct = defs.groupBy("path", F.col("qualified").alias("whole")).agg(F.min("id").alias("id"))
     declared = inside.withColumn("whole", F.concat_ws(".", "owner_name", "name")).join(direct, ["path", "whole"])
     enclosing = types.groupBy("path", F.col("qualified").alias("owner_name")).agg(F.min("id").alias("holder"))
@@ -248,8 +313,13 @@ def resolve(
     pulled = pulled.join(alias.select("path", "name"), ["path", "name"], "left_anti")
     out.append(_as(free.join(pulled, ["path", "name"]), "imported", "resolved"))
 
+    if swift is not None:
+        for rung, rows, confidence in swift_rungs(swift, nodes, defs, bound, bases, sees, lies, packages):
+            out.append(_as(rows, rung, confidence))
+        # what is left of a bare name is a declaration at the top; others stop here
+        named = named.unionByName(swift.filter("bare").withColumn("shape", F.lit("swift")))
+
     # candidates that a file can see
-    sees, lies = scopes(placed, defs, packages)
     few = visible_candidates(named.select("path", "name", "shape").distinct(), sees, lies, defs, most)
     hits = kept(named.join(few, ["path", "name", "shape"]).select("rid", "id", "n", "bare", "selfish"), "visible-hits")
     out.append(_as(hits.filter("n = 1"), "visible", "resolved"))

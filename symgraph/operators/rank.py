@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import kept
+
 #: Tokens of an answer that are left for the line that says what was omitted.
 RESERVED = 40
 BUDGETS = (120, 20_000)
@@ -50,6 +52,28 @@ def first_per_group(rows: DataFrame, by: list[str], order: list, k: int, parts:
     return ranked.filter(F.col("rank") <= k).drop("__part", "__k", "__n")
 
 
+def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Rows with an ordinal, from 1 within their group (``by``; all rows if it is empty), in order, nulls first.
+
+    Rows are dealt by ranges of group and order, ranges count their groups, and a range's rows follow those of
+    the ranges before it: a group of any size is many tasks'.  Rows that tie are ordered by a hash of all columns.
+    """
+    keys = [*by, *order, "__tie"]
+    tied = rows.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    dealt = kept(tied.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).withColumn("__range", F.spark_partition_id()), "ordinals")
+    counts = dealt.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__at")).groupBy(*[f"__{c}" for c in by], "__at").agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*[f"__{c}" for c in by]) if by else Window.partitionBy(F.lit(0))  # a row for each range
+    before = group.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = Window.partitionBy("__range", *by).orderBy(*[F.col(c).asc_nulls_first() for c in [*order, "__tie"]])
+    placed = dealt.withColumn("__k", F.row_number().over(inside))
+    on = placed["__range"] == starts["__at"]
+    for c in by:
+        on = on & placed[c].eqNullSafe(starts[f"__{c}"])
+    joined = placed.join(starts, on)
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__before") + F.col("__k")).cast("bigint").alias(name))
+
+
 def best(order: list[Column], value: str | Column) -> Column:
     """The value of the least row in ``order``, as an aggregate."""
     return F.min_by(value, F.struct(*order))

@@ -99,3 +99,32 @@ def longest_prefix(refs: DataFrame, packages: DataFrame) -> DataFrame:
     tried = refs.select("rid", F.explode(prefixes).alias("package"))
     found = tried.join(packages.select("package").distinct(), "package")
     return found.groupBy("rid").agg(F.max_by("package", F.length("package")).alias("package"))
+
+
+def alias_targets(refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(rid, candidates): what the path aliases of its project make of each module, in the order of patterns and targets.
+
+    ``refs`` has rid, project and module; ``aliases`` has project, place, pattern and targets.  A pattern without a
+    star is the whole module; else a module begins and ends as it does, and the star of a target is what is
+    between.  Patterns are keyed by what is before their star, and a module's own beginnings, of the lengths that
+    its project's patterns have, are looked up, so that modules and patterns meet by equality.
+    """
+    star = F.instr("pattern", "*")
+    cut = aliases.withColumns(
+        {
+            "before": F.when(star > 0, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern")),
+            "after": F.when(star > 0, F.expr("substring(pattern, instr(pattern, '*') + 1)")),
+        }
+    )
+    lengths = cut.groupBy("project").agg(F.collect_set(F.length("before")).alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("module"))
+    tried = refs.join(lengths, "project").select("rid", "project", "module", F.explode(F.transform(fitting, lambda n: F.substring(F.col("module"), F.lit(1), n))).alias("before"))
+    met = tried.join(cut.select("project", "place", "before", "after", "targets"), ["project", "before"])
+    room = F.length("module") - F.length("before") - F.length("after")
+    whole = F.col("after").isNull() & (F.col("module") == F.col("before"))
+    part = F.col("after").isNotNull() & (room >= 0) & F.endswith("module", "after")
+    middle = F.substring(F.col("module"), F.length("before") + 1, room)
+    filled = F.transform("targets", lambda t: F.when(F.col("after").isNotNull(), F.replace(t, F.lit("*"), middle)).otherwise(t))
+    hits = met.filter(F.coalesce(whole | part, F.lit(False))).select("rid", "place", filled.alias("made"))
+    listed = F.sort_array(F.collect_list(F.struct("place", "made")))
+    return hits.groupBy("rid").agg(F.array_distinct(F.flatten(F.transform(listed, lambda x: x["made"]))).alias("candidates"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .rank import ordinals
 
 
 def upsert(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -33,10 +34,9 @@ def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(orphans, "id", "left_anti")
 
 
-def numbered_ids(rows: DataFrame, key: list[str], order: list, name: str) -> DataFrame:
+def numbered_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
     """``name`` with #2, #3, ... for the later rows of equal keys."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("ordinal", n.cast("bigint")).withColumn(
+    return ordinals(rows, key, order).withColumn(
         "id", F.when(F.col("ordinal") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), F.col("ordinal").cast("string")))
     )
 
@@ -98,19 +98,9 @@ def mark_resolved(refs: DataFrame, rids: DataFrame) -> DataFrame:
     return marked.drop("__done").select(*refs.columns)
 
 
-def with_rids(rows: DataFrame, by: list[str], order: list, after: int = 0, shards: int = 256) -> DataFrame:
-    """Rows with ``rid``, numbered gaplessly from ``after`` + 1; rows of a group (``by``) follow each other in order.
-
-    Groups are dealt to shards, shards are counted, and a shard's rows are numbered behind those of the
-    shards before it, so no task sees all rows.
-    """
-    dealt = rows.withColumn("__shard", F.pmod(F.xxhash64(*by), F.lit(shards)))
-    counts = dealt.groupBy("__shard").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))  # a row for each shard
-    inside = Window.partitionBy("__shard").orderBy(*by, *order)
-    numbered = dealt.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(starts), "__shard")
-    return numbered.withColumn("rid", (F.lit(after) + F.col("__before") + F.col("__k")).cast("bigint")).drop("__shard", "__before", "__k")
+def with_rids(rows: DataFrame, by: list[str], order: list[str], after: int = 0) -> DataFrame:
+    """Rows with ``rid``, numbered gaplessly from ``after`` + 1; rows of a group (``by``) follow each other in order."""
+    return ordinals(rows, [], [*by, *order], "__k").withColumn("rid", F.lit(after) + F.col("__k")).drop("__k")
 
 
 def touched(changes: DataFrame, root: str) -> DataFrame:

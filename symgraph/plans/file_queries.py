@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import lookup, resolve, store
+from ..operators import lookup, rank, resolve, store
 from ..operators.rank import tokens
 from ..sources import star
 from ..sources.pages import hrefs, module_keys
 from ..streaming import upkeep
 from ..streaming.changes import sessions
+from ..tables import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -395,7 +395,9 @@ SELECT conv_id, turn, role, CASE WHEN turn = first_value(turn) OVER w THEN 'root
 )
 def turn_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as call chains: each turn and the one before it."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = star.table(spark, sf_dir, "conversations")
-    first = F.first("turn").over(order)
-    return turns.select("conv_id", "turn", "role", F.when(F.col("turn") == first, "root").otherwise("calls").alias("edge"), F.coalesce(F.lag("turn").over(order), F.lit(-1)).alias("parent"))
+    turns = star.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = kept(rank.ordinals(turns, ["conv_id"], ["turn", "role", "text"]).drop("text"), "turns")
+    before = own.select("conv_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("turn").alias("parent"))
+    first = own.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    edge = F.when(F.col("turn") == F.col("first"), "root").otherwise("calls")
+    return own.join(before, ["conv_id", "ordinal"], "left").join(first, "conv_id").select("conv_id", "turn", "role", edge.alias("edge"), F.coalesce("parent", F.lit(-1)).alias("parent"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract.lines import tables_in_text
 from ..functions import modules, text
-from ..operators import store, tools
+from ..operators import resolve, store, tools
 from ..schemas import CALL_TYPES, IMPACT_TYPES
 from ..sources import code, star
 from ..tables import kept
@@ -372,3 +372,39 @@ def status_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relationships by type and by confidence, in one pass."""
     refs = star.table(spark, sf_dir, "events").select((F.col("value") > 50).alias("resolved"))
     return tools.status(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), refs)["edges"]
+
+
+@query(
+    """
+WITH aliases AS (
+  SELECT n_nationkey AS project, 0 AS place, '@' || lower(n_name) || '/*' AS pattern, ['src/' || n_nationkey || '/*', 'lib/*'] AS targets FROM nation
+  UNION ALL SELECT n_nationkey, 1, 'main', ['src/main' || n_nationkey] FROM nation
+  UNION ALL SELECT n_nationkey, 2, '*.svg', ['img/*.png', 'img/*.svg'] FROM nation UNION ALL SELECT n_nationkey, 3, '@' || lower(left(n_name, 2)) || '*er', ['short/*', 'fixed'] FROM nation
+), refs AS (
+  SELECT c_custkey AS rid, c_nationkey AS project, CASE c_custkey % 5 WHEN 0 THEN '@' || lower(n_name) || '/c' || c_custkey WHEN 1 THEN 'main' WHEN 2 THEN '@' || lower(n_name) || '/x.svg' WHEN 3 THEN '@' || lower(left(n_name, 2)) || c_custkey || 'er' ELSE 'other/' || c_custkey END AS module
+  FROM customer JOIN nation ON n_nationkey = c_nationkey
+), hits AS (
+  SELECT rid, place, unnest(range(1, len(targets) + 1)) AS k, unnest(list_transform(targets, lambda t: replace(t, '*', CASE WHEN contains(pattern, '*') THEN substr(module, length(split_part(pattern, '*', 1)) + 1, length(module) - length(pattern) + 1) ELSE '*' END))) AS made
+  FROM refs JOIN aliases USING (project) WHERE module = pattern OR contains(pattern, '*') AND starts_with(module, split_part(pattern, '*', 1)) AND ends_with(module, split_part(pattern, '*', 2)) AND length(module) >= length(pattern) - 1
+)
+SELECT rid, string_agg(made, ' ' ORDER BY place, k) AS candidates FROM hits GROUP BY rid
+"""
+)
+def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path aliases of many projects at once: whole names, prefixes, suffixes and both."""
+    nation = star.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project"), F.lower("n_name").alias("name"))
+    text_ = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    one = lambda k, pattern, *targets: F.struct(F.lit(k).alias("place"), pattern.alias("pattern"), F.array(*targets).alias("targets"))
+    project = F.col("project")
+    each = F.array(
+        one(0, text_("@", F.col("name"), "/*"), text_("src/", project, "/*"), F.lit("lib/*")), one(1, F.lit("main"), text_("src/main", project)),
+        one(2, F.lit("*.svg"), F.lit("img/*.png"), F.lit("img/*.svg")), one(3, text_("@", F.substring("name", 1, 2), "*er"), F.lit("short/*"), F.lit("fixed")),
+    )
+    aliases = nation.select("project", F.explode(each).alias("a")).select("project", "a.*")
+    rows = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_nationkey").alias("project")).join(F.broadcast(nation), "project")  # 25 rows by definition
+    turn, rid, name = F.col("rid") % 5, F.col("rid"), F.col("name")
+    module = (
+        F.when(turn == 0, text_("@", name, "/c", rid)).when(turn == 1, "main").when(turn == 2, text_("@", name, "/x.svg")).when(turn == 3, text_("@", F.substring("name", 1, 2), rid, "er")).otherwise(text_("other/", rid))
+    )
+    found = resolve.alias_targets(rows.select("rid", "project", module.alias("module")), aliases)
+    return found.select("rid", F.array_join("candidates", " ").alias("candidates"))

@@ -177,3 +177,16 @@ def test_change_stream(spark, tmp_path):
     got = {(r["path"], r["changes"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 2), (1, 1), (2, 1)}
     assert {(r["path"], r["changes"]) for r in sessions(rows, "10 seconds").collect()} == got | {(2, 1)}
+
+
+def test_ordinals_of_a_hot_group(spark):
+    """A group with most rows, with ties, repeated rows and nulls, is numbered as one window would number it."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 < 8, F.lit("hot")).when(F.col("id") % 10 == 8, F.col("id").cast("string")).alias("g"), (F.col("id") % 700).alias("k"), F.lit(1).alias("n"))
+    got = rank.ordinals(rows, ["g"], ["k"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["ordinal"], r["k"]))
+    assert len(got) == 4000 and set(by) == {r["g"] for r in rows.select("g").distinct().collect()}
+    for found in by.values():
+        found.sort()
+        assert [o for o, _ in found] == list(range(1, len(found) + 1)) and [k for _, k in found] == sorted(k for _, k in found)
