@@ -111,3 +111,62 @@ def edges_from_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationships that resolved references make; those that mean themselves make none."""
     resolved, refs = _resolved(spark, sf_dir)
     return ladder.edges_of(resolved, refs)
+
+
+_SWIFT = """
+WITH c AS (
+  SELECT c_custkey AS k, c_nationkey AS n, 'c' || c_custkey AS name, 'Sources/M' || (c_nationkey % 5) || '/E' || (c_custkey % 3) || 'x' || c_nationkey || '.swift' AS path FROM customer
+), types AS (
+  SELECT n_nationkey AS n, 'T' || n_nationkey AS name, 'Sources/M' || (n_nationkey % 5) || '/T' || n_nationkey || '.swift' AS path FROM nation
+), tops AS (
+  SELECT s_suppkey AS k, s_nationkey % 5 AS m, 'f' || s_suppkey AS name, 'Sources/M' || (s_nationkey % 5) || '/F' || s_suppkey || '.swift' AS path FROM supplier
+), least AS (SELECT n, min(k) AS k FROM c GROUP BY n)
+SELECT k * 10 AS rid, 'T' || n || '.' || name AS target, 'self' AS rung, 'resolved' AS confidence FROM c
+UNION ALL SELECT c.k * 10 + 1, 'T' || l.n || '.c' || l.k, 'swift_member', 'resolved' FROM c JOIN least l ON l.n = (c.n + 5) % 25
+UNION ALL SELECT c.k * 10 + 3, t.name, CASE WHEN t.m = c.n % 5 THEN 'visible' ELSE 'global' END, CASE WHEN t.m = c.n % 5 THEN 'resolved' ELSE 'heuristic' END FROM c JOIN tops t ON t.k = c.k % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier)
+UNION ALL SELECT c.k * 10 + 4, 'T' || l.n || '.c' || l.k, CASE WHEN c.k % 3 = l.k % 3 THEN 'same_file' ELSE 'swift_member' END, CASE WHEN c.k % 3 = l.k % 3 THEN 'exact' ELSE 'resolved' END FROM c JOIN least l ON l.n = c.n
+UNION ALL SELECT t.n * 10 - 10000, 'T' || ((t.n + 1) % 25) || '.c' || l.k, 'swift_member', 'resolved' FROM types t JOIN least l ON l.n = (t.n + 1) % 25
+"""
+
+
+@query(_SWIFT)
+def resolve_swift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types over several files of a module: members through self, receivers, the type around and bases; names of other modules' types."""
+    text_ = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    k, n = F.col("k"), F.col("n")
+    customer = code.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    nation = code.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    supplier = code.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+
+    def node(rows: DataFrame, file, name, qualified, kind: str) -> DataFrame:
+        path = text_("Sources/M", n % 5, "/", file, ".swift")
+        return rows.select(text_(path, ":", qualified).alias("id"), path.alias("path"), name.alias("name"), qualified.alias("qualified"), F.lit(kind).alias("kind"), F.lit(True).alias("exported"), F.lit("swift").alias("lang"))
+
+    in_file, method, type_ = text_("E", k % 3, "x", n), text_("c", k), text_("T", n)
+    nodes = node(customer, in_file, method, text_(type_, ".", method), "method").unionByName(node(nation, type_, type_, type_, "struct")).unionByName(node(supplier, text_("F", k), text_("f", k), text_("f", k), "function"))
+    nodes = kept(nodes, "nodes")
+    packages = nodes.select("path", F.split("path", "/")[1].alias("package"), F.lit(True).alias("shared"), F.lit(True).alias("wide")).distinct()
+    bases = nation.select(text_("Sources/M", n % 5, "/", type_, ".swift:", type_).alias("owner"), text_("Sources/M", (n + 1) % 25 % 5, "/T", (n + 1) % 25, ".swift:T", (n + 1) % 25).alias("base"))
+
+    least = customer.groupBy("n").agg(F.min("k").alias("least"))
+    own = customer.join(least, "n").join(least.select(((n + 20) % 25).alias("n"), F.col("least").alias("far")), "n", "left").join(least.select(((n + 24) % 25).alias("n"), F.col("least").alias("next")), "n", "left")
+    few = supplier.agg(F.count("*").alias("size"), F.min("k").alias("start"))  # one row
+    own = own.join(F.broadcast(few))
+    src, path = text_("Sources/M", n % 5, "/", in_file, ".swift:", type_, ".", method), text_("Sources/M", n % 5, "/", in_file, ".swift")
+    ref = lambda at, name, qualifier: F.struct((k * 10 + at).alias("rid"), name.alias("name"), qualifier.alias("qualifier"))
+    none = F.lit(None).cast("string")
+    each = F.array(
+        ref(0, method, F.lit("self")), ref(1, text_("c", F.col("far")), text_("T", (n + 5) % 25)), ref(2, text_("c", F.col("next")), text_("T", (n + 1) % 25)),
+        ref(3, text_("f", k % F.col("size") + F.col("start")), none), ref(4, text_("c", F.col("least")), none),
+    )
+    refs = own.select(src.alias("src_id"), path.alias("path"), F.explode(each).alias("r")).select("src_id", "path", "r.*")
+    # from a type's own file, what its base has: the base is of another module
+    at = text_("Sources/M", n % 5, "/", type_, ".swift")
+    above = nation.join(least.select(((n + 24) % 25).alias("n"), F.col("least").alias("next")), "n").select(text_(at, ":", type_).alias("src_id"), at.alias("path"), (n * 10 - 10000).alias("rid"), text_("c", F.col("next")).alias("name"), F.lit("super").alias("qualifier"))
+    refs = refs.unionByName(above).filter("name IS NOT NULL").withColumn("type", F.lit("calls"))
+    placed = spark.createDataFrame([], "rid bigint, path string, alias string, symbol string, id string, kind string, target_path string, via string, via_path string")
+    # members of a type's base are those in its own file, so the bases' files get a declaration of each first member
+    extra = nation.join(least, "n").select(text_(at, ":", type_, ".c", F.col("least")).alias("id"), at.alias("path"), text_("c", F.col("least")).alias("name"), text_(type_, ".c", F.col("least")).alias("qualified"), F.lit("method").alias("kind"), F.lit(False).alias("exported"), F.lit("swift").alias("lang"))
+    nodes = kept(nodes.unionByName(extra), "nodes-and-declarations")
+    found = ladder.resolve(refs, nodes, placed, bases, packages=packages)
+    return found.join(nodes.select("id", "qualified"), "id").select("rid", F.col("qualified").alias("target"), "rung", "confidence")
