@@ -36,7 +36,7 @@ CAPACITY = 4096
 UNIT = 16
 END = 2
 #: Words, and as many from before, whose ids a worker remembers at most; longer ones aren't remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Rows of (class, shard) counts that are broadcast at most.
 FEW = 200_000
 
@@ -90,7 +90,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words, self.cores = Recent(), Recent()
+        self.words = Recent()
 
     def _split(self, text: bytes) -> list[bytes]:
         if self.marks and self.marks.search(text):
@@ -103,8 +103,8 @@ class WordIds:
         """With ASCII letters in lower case, unless a lead byte of U+0300 to U+037F is there."""
         return text if b"\xcc" in text or b"\xcd" in text else text.lower()
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Makes new words known."""
+    def _learn(self, new: set[bytes]) -> set[bytes]:
+        """Makes new words known, and what they are made of, which are words too; returns the latter."""
         parts: dict[bytes, tuple[bytes, ...]] = {}
         for word in new:
             if word in self.added:
@@ -114,7 +114,7 @@ class WordIds:
                 parts[word] = (word[:-1], word[-1:])
             else:
                 parts[word] = (word,)
-        cores = self.cores.missing({c for both in parts.values() for c in both})
+        cores = self.words.missing({c for both in parts.values() for c in both})
         plain, others = [], []
         for core in cores:
             word = core.decode()
@@ -124,21 +124,21 @@ class WordIds:
         if len(ends) == len(plain):
             raw, at = ids.tobytes(), 0
             for (core, _), end in zip(plain, (4 * ends).tolist()):
-                self.cores.now[core] = raw[at:end]
+                self.words.now[core] = raw[at:end]
                 at = end
         else:  # a letter became a letter and a mark when it was lowered
             others += plain
         found = self.tokenizer.encode_batch_fast([w for _, w in others], add_special_tokens=False)
-        self.cores.now.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(others, found))
-        of = self.cores.now
-        self.words.now.update((w, of[both[0]] + of[both[1]] if len(both) > 1 else of[both[0]]) for w, both in parts.items())
-        self.cores.trim(cores)
+        self.words.now.update((c, np.array(e.ids, "<u4").tobytes()) for (c, _), e in zip(others, found))
+        of = self.words.now
+        of.update([(w, of[both[0]] + of[both[1]]) for w, both in parts.items() if len(both) > 1])
+        return cores
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         new = self.words.missing(set(chain.from_iterable(split)))
         if new:
-            self._learn(new)
+            new = new | self._learn(new)
         ids_of = self.words.now.__getitem__
         out = [b"".join(map(ids_of, words)) for words in split]
         self.words.trim(new)
