@@ -44,7 +44,7 @@ def statements(files: DataFrame) -> DataFrame:
     )
 
 
-def _named(pattern: str, name: Column | None = None) -> Column:
+def _named(pattern: str) -> Column:
     return F.nullif(bare_identifier(F.regexp_extract("text", pattern, 1)), F.lit(""))
 
 
@@ -63,7 +63,7 @@ def references(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     refers to its table for the file.  ``owner`` is a name, or null for the file.  A view asks for tables.
     """
     rows = statements(files) if found is None else found
-    table, view, alter, index = (F.nullif(bare_identifier(F.regexp_extract("text", p, 1)), F.lit("")) for p in (TABLE, VIEW, ALTER, INDEX))
+    table, view, alter, index = (_named(p) for p in (TABLE, VIEW, ALTER, INDEX))
     rows = rows.withColumns({"table": table, "view": view, "alter": alter, "index": index})
     keys = rows.filter("table IS NOT NULL OR alter IS NOT NULL")
     ahead = F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1))
