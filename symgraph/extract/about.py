@@ -55,12 +55,13 @@ def decorators(lines: DataFrame, found: DataFrame) -> DataFrame:
     return placed.filter("one AND of IS NOT NULL").select("path", "lang", "line", "text", "of")
 
 
-def described(defs: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, line, signature, doc) of definitions, and of files, whose line is 0."""
-    whole = statements(lines)
+def described(defs: DataFrame, files: DataFrame, lines: DataFrame, whole: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """(path, line, signature, doc) of definitions, and of files, whose line is 0; ``whole`` and ``marks`` are statements and decorators, if they are kept already."""
+    whole = statements(lines) if whole is None else whole
+    marks = decorators(lines, whole) if marks is None else marks
     own = defs.select("path", "lang", "line").distinct()
     heads = own.join(whole.drop("lang"), ["path", "line"]).select("path", "lang", "line", "end", _signature(F.col("lang"), F.col("text")).alias("signature"))
-    tops = decorators(lines, whole).groupBy("path", F.col("of").alias("line")).agg(F.min("line").alias("top"))
+    tops = marks.groupBy("path", F.col("of").alias("line")).agg(F.min("line").alias("top"))
     heads = heads.join(tops, ["path", "line"], "left").withColumn("top", F.coalesce("top", "line"))
     above = comments(files).select("path", (F.col("end") + 1).alias("top"), F.col("text").alias("above"))
     heads = heads.join(above, ["path", "top"], "left")
@@ -78,13 +79,13 @@ def described(defs: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
     return both.unionByName(modules)
 
 
-def endpoints(defs: DataFrame, lines: DataFrame) -> DataFrame:
+def endpoints(defs: DataFrame, lines: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """path, lang, line, name and of: routes, and the line of the definition that serves each; null where a call declares one.
 
     A Spring route stands behind that of its type; several paths of one handler count as the first.
     """
     got = lambda pattern, k=1: F.regexp_extract("text", pattern, k)
-    found = decorators(lines, statements(lines))
+    found = decorators(lines, statements(lines)) if marks is None else marks
     python = found.filter("lang = 'python'").withColumns({"name": got(r"^\s*@(?:\w+\.)*(\w+)\s*\("), "route": got(r"\(\s*[rRuUbBfF]{0,2}[\"'](/[^\"']*)[\"']")})
     python = python.filter(F.lower("name").isin(*PYTHON_ROUTES) & (F.col("route") != ""))
     verbs = F.regexp_extract_all(got(r"\bmethods\s*=\s*[\[(]([^\])]*)"), F.lit(r"[\"'](\w+)[\"']"), F.lit(1))

@@ -29,7 +29,7 @@ def _breaks(text: Column) -> Column:
 
 def statements(files: DataFrame) -> DataFrame:
     """path, line, line_end and text of each statement, from its first word on."""
-    code = nesting.masked(files.filter("lang = 'sql'").select("path", "lang", "text")).select("path", F.posexplode(F.split("code", ";")).alias("k", "piece"))
+    code = nesting.masked(files.filter("lang = 'sql'")).select("path", F.posexplode(F.split("code", ";")).alias("k", "piece"))
     order = Window.partitionBy("path").orderBy("k")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     depth = F.length(F.regexp_replace("piece", r"[^(]", "")) - F.length(F.regexp_replace("piece", r"[^)]", ""))

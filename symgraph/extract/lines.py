@@ -45,9 +45,17 @@ def family(lang: Column) -> Column:
     return F.when(lang.isin("tsx", "javascript"), F.lit("typescript")).otherwise(lang)
 
 
+def prepared(files: DataFrame) -> DataFrame:
+    """Files with path, lang and text, cut into pieces once for all that is read from them, and dealt by path."""
+    if "pieces" in files.columns:
+        return files
+    rows = kept(files.select("path", family(F.col("lang")).alias("lang"), "text"), "texts", "path")
+    return kept(nesting.cut(rows), "pieces")
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """The lines of files that have code, as ``nesting.measured`` gives them; ``text`` has its literals of one line too."""
-    rows = files.select("path", family(F.col("lang")).alias("lang"), "text")
+    rows = files.withColumn("lang", family(F.col("lang")))
     return nesting.measured(rows).withColumnRenamed("said", "text")
 
 
@@ -68,11 +76,12 @@ def definitions(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
             found = F.when(hit, one) if found is None else F.when(hit, one).otherwise(found)
     for lang, pattern in MEMBERS.items():
         member = F.when(F.col("lang") == lang, F.nullif(F.regexp_extract("code", pattern, 1), F.lit(""))).otherwise(member)
-    rows = lines.filter("lang <> 'sql' AND NOT inside").withColumn("d", found)
-    known = rows.filter("d IS NOT NULL").withColumns({"kind": F.col("d.kind"), "name": F.col("d.name")}).drop("d", "closes", "text")
+    rows = lines.filter("lang <> 'sql' AND NOT inside").drop("closes", "text").withColumns({"d": found, "member": member})
+    rows = kept(rows, "patterns")  # else each filter below tries all patterns again
+    known = rows.filter("d IS NOT NULL").withColumns({"kind": F.col("d.kind"), "name": F.col("d.name")}).drop("d", "member")
     types = kept(nesting.spans(known.filter(F.col("kind").isin(*nesting.TYPES)), lines), "types")
-    bare = rows.filter("d IS NULL").withColumn("name", member).filter(F.col("name").isNotNull() & ~F.col("name").isin(*_NO_CALL))
-    held = nesting.within(bare.drop("d", "closes", "text"), types, ["name", "level", "kind"]).withColumn("type", F.try_element_at("around", F.lit(-1)))
+    bare = rows.filter("d IS NULL").withColumnRenamed("member", "name").filter(F.col("name").isNotNull() & ~F.col("name").isin(*_NO_CALL))
+    held = nesting.within(bare.drop("d"), types, ["name", "level", "kind"]).withColumn("type", F.try_element_at("around", F.lit(-1)))
     typed = F.col("code").rlike(r"[\w>\]]\s+\w+\s*\(") | (F.col("type.name") == F.col("name")) | (F.col("lang") != "java")
     fits = (F.col("level") == F.col("type.level") + 1) & typed & ((F.col("lang") != "go") | (F.col("type.kind") == "interface"))
     members = held.filter(fits).drop("around", "type").withColumn("kind", F.lit("method"))
@@ -203,6 +212,6 @@ def calls(files: DataFrame, lines: DataFrame | None = None, defs: DataFrame | No
 
 def queries(files: DataFrame) -> DataFrame:
     """path, line and name of each table that a literal of a file asks for, SQL files apart."""
-    rows = files.select("path", family(F.col("lang")).alias("lang"), "text").filter("lang <> 'sql'")
+    rows = files.withColumn("lang", family(F.col("lang"))).filter("lang <> 'sql'")
     said = nesting.literals(rows).filter(looks_like_sql(F.col("text")))
     return said.select("path", "line", F.explode(tables_in_text(F.col("text"))).alias("name"))

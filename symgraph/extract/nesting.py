@@ -59,19 +59,29 @@ def _blank(piece: Column) -> Column:
 
 
 def masked(files: DataFrame) -> DataFrame:
-    """path, lang, text, code (without comments and literals), said (without comments and texts of several lines) and notes (comments)."""
-    cut = files.select("path", "lang", "text", _pieces(F.col("text"), F.col("lang")).alias("pieces"))
+    """path, lang, text, code (without comments and literals), said (without comments and texts of several lines) and notes (comments).
+
+    Files that ``cut`` has been through have them already.
+    """
+    names = ["path", "lang", "text", "code", "said", "notes"]
+    return (files if "notes" in files.columns else cut(files)).select(*names)
+
+
+def cut(files: DataFrame) -> DataFrame:
+    """What ``masked`` gives, and the pieces that it is made of."""
+    rows = files.select("path", "lang", "text", _pieces(F.col("text"), F.col("lang")).alias("pieces"))
     lang = F.col("lang")
     code = F.transform("pieces", lambda p: F.when(_is_comment(p, lang) | _is_literal(p, lang), _blank(p)).otherwise(p))
     said = F.transform("pieces", lambda p: F.when(_is_comment(p, lang) | (_is_literal(p, lang) & F.contains(p, F.lit("\n"))), _blank(p)).otherwise(p))
     notes = F.transform("pieces", lambda p: F.when(_is_comment(p, lang), p).otherwise(_blank(p)))
-    return cut.select("path", "lang", "text", F.array_join(code, "").alias("code"), F.array_join(said, "").alias("said"), F.array_join(notes, "").alias("notes"))
+    return rows.select("path", "lang", "text", "pieces", F.array_join(code, "").alias("code"), F.array_join(said, "").alias("said"), F.array_join(notes, "").alias("notes"))
 
 
 def literals(files: DataFrame) -> DataFrame:
     """path, lang, line and text of each literal, unquoted; neighbours, also with a plus between them, are one."""
     lang = F.col("lang")
-    cut = files.select("path", "lang", "text", F.posexplode(_pieces(F.col("text"), lang)).alias("k", "piece"))
+    pieces = F.col("pieces") if "pieces" in files.columns else _pieces(F.col("text"), lang)
+    cut = files.select("path", "lang", "text", F.posexplode(pieces).alias("k", "piece"))
     size = cut.withColumns({"chars": F.length("piece"), "breaks": F.length(F.regexp_replace("piece", r"[^\n]", ""))})
     order = Window.partitionBy("path").orderBy("k")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -30,21 +30,29 @@ class Index:
     edges: DataFrame
 
 
-def nodes_of(files: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+def marked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements, and the decorators among them, of lines."""
+    whole = kept(about.statements(found), "index-statements")
+    return whole, kept(about.decorators(found, whole), "index-decorators")
+
+
+def nodes_of(files: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None, routes: DataFrame | None = None, said: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id, path, name, qualified, kind, exported, lang, line_start, line_end, signature and doc of each definition, endpoint and file.
 
-    Equal ids of a file get #2, #3, ...
+    Equal ids of a file get #2, #3, ...  ``said`` is what ``marked`` gives.
     """
+    files = lines.prepared(files)
     found = kept(lines.numbered(files), "index-lines") if found is None else found
     defs = kept(lines.definitions(files, found), "index-definitions") if defs is None else defs
-    routes = about.endpoints(defs, found) if routes is None else routes
-    said = about.described(defs, files, found)
+    whole, marks = marked(found) if said is None else said
+    routes = kept(about.endpoints(defs, found, marks), "index-routes") if routes is None else routes
+    said = kept(about.described(defs, files, found, whole, marks), "index-said")
     whole = defs.join(said, ["path", "line"], "left").withColumn("of", F.col("line"))
     # an endpoint is documented as its handler is
     handled = routes.withColumnRenamed("line", "at").join(said.select("path", F.col("line").alias("of"), "doc"), ["path", "of"], "left")
     handled = handled.select("path", "lang", F.lit("endpoint").alias("kind"), "name", F.col("name").alias("qualified"), F.col("at").alias("line"), F.col("at").alias("line_end"), F.col("name").alias("signature"), "doc")
     own = whole.unionByName(handled, allowMissingColumns=True).withColumn("base", F.concat_ws(":", "path", "kind", "qualified"))
-    own = store.numbered_ids(own, ["path", "kind", "qualified"], ["line"], "base")
+    own = store.numbered_ids(own, ["path", "kind", "qualified"], ["line"], "base", small=True)
     seen = exported_as(F.col("lang"), F.col("kind"), F.col("name"), F.col("signature"), F.col("holder"))
     seen = F.when(F.col("kind") == "endpoint", True).otherwise(F.coalesce(seen, F.lit(True)))
     listed = own.select("id", "path", "name", "qualified", "kind", seen.alias("exported"), "lang", F.col("line").alias("line_start"), "line_end", "signature", "doc")
@@ -87,15 +95,17 @@ def owned(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.withColumn("src_id", F.coalesce(F.try_element_at("around", F.lit(-1))["id"], F.concat("path", F.lit(":module")))).drop("around")
 
 
-def references_of(files: DataFrame, nodes: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None) -> DataFrame:
+def references_of(files: DataFrame, nodes: DataFrame, found: DataFrame | None = None, defs: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """src_id, path, line, type, name and qualifier: supertypes, calls, tables in texts, and what SQL statements refer to."""
-    found = lines.numbered(files) if found is None else found
+    files = lines.prepared(files)
+    found = kept(lines.numbered(files), "index-lines") if found is None else found
+    marks = marked(found)[1] if marks is None else marks
     base = F.regexp_extract("base", r"([^.]+)$", 1)
     null = F.lit(None).cast("string")
     bases = lines.supertypes(files, found).select("path", "line", base.alias("name"), F.nullif(F.regexp_extract("base", r"^(.*)\.[^.]*$", 1), F.lit("")).alias("qualifier"), F.lit("inherits").alias("type"))
     called = lines.calls(files, found, defs).select("path", "line", "name", "qualifier", F.lit("calls").alias("type"))
     asked = lines.queries(files).select("path", "line", "name", null.alias("qualifier"), F.lit("queries").alias("type"))
-    marks = about.decorators(found, about.statements(found)).withColumn("whole", F.regexp_extract("text", r"^\s*@([\w.]+)", 1))
+    marks = marks.withColumn("whole", F.regexp_extract("text", r"^\s*@([\w.]+)", 1))
     by_line = nodes.filter("kind NOT IN ('module', 'endpoint')").groupBy("path", F.col("line_start").alias("of")).agg(F.min("id").alias("src_id"))
     marked = marks.join(by_line, ["path", "of"]).select(
         "src_id", "path", "line", F.lit("references").alias("type"), F.substring_index("whole", ".", -1).alias("name"), F.nullif(F.regexp_extract("whole", r"^(.*)\.\w+$", 1), F.lit("")).alias("qualifier")
@@ -120,12 +130,14 @@ def handlers_of(routes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Nodes, handlers, imports and references of files with path, lang and text; the latter two without numbers."""
+    files = lines.prepared(files)
     found = kept(lines.numbered(files), "index-lines")
     defs = kept(lines.definitions(files, found), "index-definitions")
-    routes = kept(about.endpoints(defs, found), "index-routes")
-    nodes = kept(nodes_of(files, found, defs, routes), "index-nodes")
-    bound = lines.bindings(files, found).select("path", F.col("lang").alias("family"), "module", "symbol", "alias", "line")
-    return nodes, kept(handlers_of(routes, nodes), "index-handlers"), bound, references_of(files, nodes, found, defs)
+    said = marked(found)
+    routes = kept(about.endpoints(defs, found, said[1]), "index-routes")
+    nodes = kept(nodes_of(files, found, defs, routes, said), "index-nodes")
+    bound = kept(lines.bindings(files, found).select("path", F.col("lang").alias("family"), "module", "symbol", "alias", "line"), "index-bindings")
+    return nodes, kept(handlers_of(routes, nodes), "index-handlers"), bound, kept(references_of(files, nodes, found, defs, said[1]), "index-references")
 
 
 def numbered_imports(bound: DataFrame, after: int = 0) -> DataFrame:
@@ -162,7 +174,7 @@ def build(files: DataFrame, linked: DataFrame | None = None) -> Index:
 
     Supertypes are resolved first, so that members can be looked for on them; then calls.
     """
-    files = kept(files.select("path", "lang", "text"), "index-files")
+    files = lines.prepared(files)
     nodes, handlers, bound, found = extract(files)
     imports = kept(numbered_imports(bound), "index-imports")
     modules, packages = kept(modules_of(files), "index-modules"), kept(packages_of(files), "index-packages")

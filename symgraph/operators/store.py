@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import ordinals
+from .rank import few_ordinals, ordinals
 
 
 def upsert(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -34,9 +34,9 @@ def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(orphans, "id", "left_anti")
 
 
-def numbered_ids(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    """``name`` with #2, #3, ... for the later rows of equal keys."""
-    return ordinals(rows, key, order).withColumn(
+def numbered_ids(rows: DataFrame, key: list[str], order: list[str], name: str, small: bool = False) -> DataFrame:
+    """``name`` with #2, #3, ... for the later rows of equal keys; ``small`` says that no key has many rows, as in a file."""
+    return (few_ordinals if small else ordinals)(rows, key, order).withColumn(
         "id", F.when(F.col("ordinal") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), F.col("ordinal").cast("string")))
     )
 

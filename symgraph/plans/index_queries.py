@@ -21,7 +21,7 @@ def query(sql: str, known: str = texts.SQL):
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(texts.files(spark, sf_dir), "texts")
+    return lines.prepared(texts.files(spark, sf_dir))
 
 
 @query("SELECT path || ':' || kind || ':' || qualified AS id, path, kind, qualified, line_start, line_end FROM defs")
@@ -35,8 +35,8 @@ def index_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refs_by_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each definition, or else the file, refers to: supertypes, calls, tables in texts and in statements."""
     files = _files(spark, sf_dir)
-    nodes = kept(index.nodes_of(files), "index-nodes")
-    return index.references_of(files, nodes).select("src_id", "type", "name", "qualifier", "line")
+    nodes, _, _, found = index.extract(files)
+    return found.select("src_id", "type", "name", "qualifier", "line")
 
 
 @query(
@@ -58,14 +58,14 @@ def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT id, signature, doc, exported FROM about", texts.WEB_SQL)
 def symbol_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures over several lines, docstrings, comments above decorators, and visibility."""
-    nodes = index.nodes_of(kept(texts.web_files(spark, sf_dir), "texts"))
+    nodes = index.nodes_of(texts.web_files(spark, sf_dir))
     return nodes.select("id", "signature", "doc", "exported")
 
 
 @query("SELECT id AS endpoint, handler FROM about WHERE handler IS NOT NULL", texts.WEB_SQL)
 def endpoint_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes with the prefix of their type, and what serves them."""
-    files = kept(texts.web_files(spark, sf_dir), "texts")
+    files = lines.prepared(texts.web_files(spark, sf_dir))
     found = kept(lines.numbered(files), "lines")
     defs = kept(lines.definitions(files, found), "definitions")
     routes = kept(about.endpoints(defs, found), "routes")

@@ -176,3 +176,16 @@ def test_edges_of_nested_code_packages_and_statements(spark):
     }
     defines = {(r["src_id"], r["dst_id"]) for r in made.edges.filter("type = 'defines'").collect()}
     assert {("app/cli.py:method:L.b", "app/cli.py:method:L.b.inner"), ("app/cli.py:class:L", "app/cli.py:method:L.b"), ("schema.sql:module", "schema.sql:table:users")} <= defines
+
+
+def test_texts_are_dealt_and_cut_once(spark):
+    from symgraph.extract import lines
+    from symgraph.tables import kept
+
+    few = spark.range(64, numPartitions=1).selectExpr("concat('f', id, '.py') AS path", "'python' AS lang", "concat('x', id, ' = 1') AS text")
+    # one task's rows become as many files as shuffles have partitions
+    assert len(kept(few, "few").inputFiles()) == 1
+    assert len(kept(few, "few", "path").inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = lines.prepared(few)
+    assert lines.prepared(made) is made
+    assert made.count() == 64 and lines.numbered(made).count() == 64
