@@ -73,45 +73,112 @@ def fuzzy(nodes: DataFrame, query: str, limit: int = 12, kind: str | None = None
     return search(nodes, query, kind, lang).orderBy("score_milli", "path", "line_start", "id").limit(limit)
 
 
-def _pairs(text: Column) -> Column:
-    """Each pair of characters that stand in this order in a text, each once, and each character by itself."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    after = F.transform(letters, lambda c, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda d: F.concat(c, d)))
-    return F.array_distinct(F.concat(letters, F.flatten(after)))
+def _pairs(names: DataFrame) -> DataFrame:
+    """(low, pair): each pair of characters that stand in this order in a name, each once, and each character by itself."""
+    place = lambda c, start: F.call_function("locate", F.col(c), F.col("low"), start)
+    # the first place of a character, and the first places of others behind it
+    heads = names.select("low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("i")).withColumn("c", F.substring("low", F.col("i"), F.lit(1))).filter(place("c", F.lit(1)) == F.col("i"))
+    after = heads.select("low", "i", "c", F.explode(F.sequence(F.col("i"), F.length("low"))).alias("j")).withColumn("d", F.substring("low", F.col("j"), F.lit(1)))
+    after = after.filter((F.col("j") == F.col("i")) | (place("d", F.col("i") + 1) == F.col("j")))
+    return after.select("low", F.when(F.col("j") == F.col("i"), F.col("c")).otherwise(F.concat("c", "d")).alias("pair"))
 
 
 #: Characters of a name that are indexed; a longer one is looked at for every query whose letters it has.
 INDEXED = 64
+#: Names with a pair of characters that a query is compared with one by one; of more, its best ones are sought.
+DIRECT = 100
 
 
-def fuzzy_batch(names: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
+def _if_few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def fuzzy_batch(names: DataFrame, nodes: DataFrame, limit: int = 12, direct: int = DIRECT) -> DataFrame:
     """(q, rank, id, score_milli): the best ``limit`` fuzzy hits of each q of ``names``, in the order of ``fuzzy``.
 
     A name that fits has each two neighbouring characters of q in this order.  So names are indexed by their
     ordered pairs of characters, the pairs are counted, and a q meets the names of its rarest pair only; these are
-    scored, and the best nodes of each name then stand for it.  No q meets all names.
+    scored, and the best nodes of each name then stand for it.  If more than ``direct`` names have that pair, the
+    names that hold q are found by their parts, and others by their beginnings (``_nearest``).  No q meets all names.
     """
     low = F.lower("name")
     weight = 10 * rank_in(KIND_ORDER, "kind") + F.when(F.col("exported"), 0).otherwise(500)
     own = nodes.withColumn("low", low).withColumn("weight", weight.cast("bigint")).select("low", "weight", "path", "line_start", "id")
     best = kept(first_per_group(own, ["low"], ["weight", "path", "line_start", "id"], limit).drop("rank", "in_group"), "fuzzy-nodes")
-    each = best.select("low").distinct()
-    pairs = F.when(F.length("low") <= INDEXED, _pairs(F.col("low"))).otherwise(F.array(F.lit("")))
-    index = kept(each.select("low", F.explode(pairs).alias("pair")), "fuzzy-index")
-    counts = index.groupBy("pair").agg(F.count("*").alias("n"))
+    each = kept(best.groupBy("low").agg(F.count("*").alias("n")), "fuzzy-names")
 
     asked = names.select(F.trim("q").alias("q")).filter("q <> ''").distinct().withColumn("want", F.lower("q"))
     letters = F.filter(F.split("want", ""), lambda c: c != "")
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 1, F.lit(1))), lambda i: F.concat(F.element_at(letters, i), F.coalesce(F.try_element_at(letters, i + 1), F.lit(""))))
-    wanted = asked.select("q", "want", F.explode(F.array_distinct(two)).alias("pair")).join(counts, "pair", "left")
-    rarest = wanted.groupBy("q", "want").agg(F.min_by("pair", F.struct(F.coalesce("n", F.lit(0)), "pair")).alias("pair"))
-    long_ = rarest.withColumn("pair", F.lit(""))  # names that are too long for the index
-    met = rarest.unionByName(long_).join(index, "pair").select("q", "want", "low").withColumn("base", fuzzy_millis(F.col("want"), F.col("low")))
-    hits = met.filter("base IS NOT NULL").join(best, "low").withColumn("score_milli", F.col("base") + F.col("weight"))
-    ranked = first_per_group(hits, ["q"], ["score_milli", "path", "line_start", "id"], limit)
+    wanted = kept(asked.select("q", "want", F.explode(F.array_distinct(two)).alias("pair")), "fuzzy-asked")
+    useful = wanted.select("pair").union(wanted.select(F.lit(""))).distinct()
+    # names are short and their pairs many, so names are dealt to as many tasks as shuffles have
+    dealt = each.repartition(int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")), "low")
+    listed = _pairs(dealt.filter(F.length("low").between(1, INDEXED))).unionByName(dealt.filter(F.length("low") > INDEXED).select("low", F.lit("").alias("pair")))
+    index = kept(listed.join(_if_few(useful), "pair", "left_semi"), "fuzzy-index")
+    counts = index.groupBy("pair").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "pair", "left").groupBy("q", "want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("least"))
+    rarest = kept(rarest.select("q", "want", "least.pair", "least.n"), "fuzzy-pairs")
+    long_ = rarest.select("q", "want", F.lit("").alias("pair"))  # names that are too long for the index
+    chosen = rarest.filter(F.col("n") <= direct).select("q", "want", "pair").unionByName(long_)
+    met = kept(chosen.join(index.join(_if_few(chosen.select("pair").distinct()), "pair", "left_semi"), "pair").select("q", "want", "low"), "fuzzy-met", "q", "low")
+    hits = met.withColumn("base", fuzzy_millis(F.col("want"), F.col("low"))).filter("base IS NOT NULL").join(best, "low")
+    hits = hits.select("q", "base", "weight", "path", "line_start", "id")
+    common = rarest.filter(F.col("n") > direct).select("q", "want")
+    if not common.isEmpty():
+        short = each.filter(F.length("low").between(1, INDEXED))
+        hits = hits.unionByName(_holding(common, short, best)).unionByName(_nearest(common, short, best, limit))
+    ranked = first_per_group(hits.withColumn("score_milli", F.col("base") + F.col("weight")), ["q"], ["score_milli", "path", "line_start", "id"], limit)
     return ranked.select("q", "rank", "id", "score_milli")
 
 
+def _holding(common: DataFrame, each: DataFrame, best: DataFrame) -> DataFrame:
+    """The nodes whose name holds a query as it is: parts of names that begin as a query does, of the lengths that those have."""
+    heads = common.select(F.left("want", F.lit(2)).alias("head"), F.length("want").alias("m")).distinct()
+    places = each.select("low", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at"))
+    tried = places.select("low", "at", F.explode(F.array(F.substring("low", F.col("at"), F.lit(1)), F.substring("low", F.col("at"), F.lit(2)))).alias("head"))
+    parts = tried.join(_if_few(heads), "head").select("low", F.substring("low", F.col("at"), F.col("m")).alias("want"))
+    found = parts.join(common, "want").select("q", "want", "low").distinct()
+    scored = found.withColumn("base", fuzzy_millis(F.col("want"), F.col("low")))
+    return scored.join(best, "low").select("q", "base", "weight", "path", "line_start", "id")
+
+
+def _nearest(common: DataFrame, each: DataFrame, best: DataFrame, limit: int) -> DataFrame:
+    """The best nodes whose name has the letters of a query in order, but doesn't hold it, ``limit`` of each beginning that has them.
+
+    Names are a tree of beginnings.  Round by round a query passes over one more character, follows its own letters
+    from there as far as they go, and is at its end with all names that begin so; the names of a round
+    fit worse than those of all rounds before, as no name's length and weight outweigh a character.  A query
+    stops after the round that gives it ``limit`` nodes, and leaves beginnings whose names are too short for the
+    rest of it.  Names that hold it, which fit better than these, count as nodes too.
+    """
+    length = F.length("want")
+    starts = each.select("low", "n", F.explode(F.sequence(F.lit(1), F.length("low"))).alias("k")).withColumn("node", F.substring("low", F.lit(1), F.col("k")))
+    tree = starts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.length("low")).alias("deep"))
+    last = F.length("node")
+    tree = kept(tree.select(F.col("node").alias("to"), F.substring("node", F.lit(1), last - 1).alias("node"), F.substring("node", last, F.lit(1)).alias("letter"), "n", "deep"), "fuzzy-tree")
+    ends_at, steps = tree.select(F.col("to").alias("node"), "n"), tree.select("node", "to", "letter", "deep")
+
+    front, got = kept(common.select("q", "want", F.lit("").alias("node"), F.lit(0).alias("at")), "fuzzy-front"), None
+    for gap in range(INDEXED):
+        run = front.select("q", "want", "node", "at", F.explode(F.sequence(F.lit(0), length - F.col("at"))).alias("r"))
+        run = run.select("q", "want", F.concat("node", F.substring("want", F.col("at") + 1, F.col("r"))).alias("node"), (F.col("at") + F.col("r")).alias("at"))
+        ended = kept(run.filter(F.col("at") == length).join(ends_at, "node").select("q", "want", "node", "n", F.lit(gap).alias("gap")), "fuzzy-ends")
+        got = ended if got is None else got.unionByName(ended)
+        done = got.groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).select("q")
+        moved = run.filter(F.col("at") < length).join(done, "q", "left_anti").join(steps, "node")
+        moved = moved.filter((F.col("letter") != F.substring("want", F.col("at") + 1, F.lit(1))) & (F.col("deep") - F.length("to") >= length - F.col("at")))
+        front = kept(moved.select("q", "want", F.col("to").alias("node"), "at"), "fuzzy-front")
+        if front.isEmpty():
+            break
+    got = kept(got, "fuzzy-got")
+    under = starts.select("low", "node").join(got.select("node").distinct(), "node", "left_semi").join(best, "low").withColumn("order", F.length("low") + F.col("weight"))
+    tops = first_per_group(under, ["node"], ["order", "path", "line_start", "id"], limit)
+    found = got.select("q", "want", "node", "gap").join(tops, "node").filter(~F.contains("low", "want"))
+    base = 100_000 + 1000 * F.col("gap").cast("bigint") + F.length("low")
+    return found.select("q", base.alias("base"), "weight", "path", "line_start", "id")
+
+
 def answers(names: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
     """(q, rung, id): the symbols of the first rung that has any; of a q that no rung knows, those most like it."""
     found = kept(ladder(names, nodes), "lookup-found")

@@ -190,3 +190,35 @@ def test_ordinals_of_a_hot_group(spark):
     for found in by.values():
         found.sort()
         assert [o for o, _ in found] == list(range(1, len(found) + 1)) and [k for _, k in found] == sorted(k for _, k in found)
+
+
+def test_fuzzy_batch_of_names_that_share_their_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("aBc#") for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["a" * 70 + "bc", "", "abc"]
+    rows = [(f"n{k}", n, rng.choice(["class", "constant"]), f"p{k % 3}", k % 5, k % 2 == 0) for k, n in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "id string, name string, kind string, path string, line_start int, exported boolean")
+    asked = spark.createDataFrame([(q,) for q in ("a", "ab", "C#", "abca", "ccbb#", "a##ab", "#", "x", "cx", "abcabcabcabc", "aaaa")], "q string")
+    expected = {(r["q"], k + 1, n["id"]) for r in asked.collect() for k, n in enumerate(lookup.fuzzy(nodes, r["q"]).collect())}
+    for direct in (0, 20, 1000):  # only beginnings and parts; both ways; only pairs
+        got = lookup.fuzzy_batch(asked, nodes, direct=direct)
+        assert {(r["q"], r["rank"], r["id"]) for r in got.collect()} == expected
+
+
+def test_fuzzy_batch_compares_few_names_of_a_common_pair(spark):
+    nodes = spark.range(3000).selectExpr("concat('n', id) AS id", "concat('Customer#', lpad(id, 9, '0')) AS name", "'class' AS kind", "'p' AS path", "1 AS line_start", "true AS exported")
+    asked = spark.range(300).selectExpr("concat('C#', id) AS q")
+    made = []
+
+    def seen(df, name, *by):
+        out = kept(df, name, *by)
+        made.append((name, out.count()))
+        return out
+
+    kept, lookup.kept = lookup.kept, seen
+    try:
+        assert lookup.fuzzy_batch(asked, nodes).groupBy("q").count().filter("count = 12").count() == 300
+    finally:
+        lookup.kept = kept
+    assert sum(n for name, n in made if name in ("fuzzy-met", "fuzzy-front", "fuzzy-ends")) < 300 * 150
