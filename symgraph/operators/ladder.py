@@ -158,18 +158,30 @@ def scopes(placed: DataFrame, defs: DataFrame, packages: DataFrame | None) -> tu
     return sees, lies
 
 
+def _ways(asked: DataFrame, sees: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, key) of the scopes whose lists go to a file that asks, and of those to which what it asks for goes."""
+    asks, sizes = asked.groupBy("path").agg(F.count("*").alias("asks")), lists.groupBy("key").agg(F.count("*").alias("size"))
+    ways = kept(sees.join(asks, "path").join(sizes, "key"), "scope-ways")
+    return ways.filter("size <= asks").select("path", "key"), ways.filter("size > asks").select("path", "key")
+
+
 def visible_candidates(asked: DataFrame, sees: DataFrame, lies: DataFrame, defs: DataFrame, most: int = MOST) -> DataFrame:
     """(path, name, shape, id, n) for the distinct (path, name, shape) that are asked and have up to ``most`` visible definitions.
 
-    Definitions are listed by scope and name, up to ``most`` of them; only what is asked goes through the
-    scopes that its file sees.
+    Definitions are listed by scope and name, up to ``most`` of them.  For each scope that a file sees the fewer
+    rows travel: the scope's lists if they are no more than what the file asks for, else what it asks for.
     """
     by = ["key", "name", "shape"]
     known = shaped(defs).join(lies, "path").select(*by, "id")
     counts, few = _counted(known, by, most)
     none = F.lit(None).cast("array<string>")
     lists = few.groupBy(*by).agg(F.collect_list("id").alias("ids")).unionByName(counts.filter(F.col("n") > most).select(*by, none.alias("ids")))
-    met = asked.join(sees, "path").join(lists, by).groupBy("path", "name", "shape")
+    lists, asked = kept(lists, "scope-lists"), kept(asked, "asked-names")
+    listed, asking = _ways(asked, sees, lists)
+    from_lists = listed.join(lists, "key").join(asked, ["path", "name", "shape"], "left_semi")
+    from_asked = asked.join(asking, "path").join(lists, by)
+    columns = ["path", "name", "shape", "ids"]
+    met = from_lists.select(*columns).unionByName(from_asked.select(*columns)).groupBy("path", "name", "shape")
     found = met.agg(F.max(F.col("ids").isNull()).alias("many"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("n", F.size("ids"))
     return found.filter(~F.col("many") & (F.col("n") <= most)).select("path", "name", "shape", F.explode("ids").alias("id"), "n")
 

@@ -222,3 +222,22 @@ def test_fuzzy_batch_compares_few_names_of_a_common_pair(spark):
     finally:
         lookup.kept = kept
     assert sum(n for name, n in made if name in ("fuzzy-met", "fuzzy-front", "fuzzy-ends")) < 300 * 150
+
+
+def test_visible_candidates_carry_the_fewer_rows(spark):
+    from symgraph.operators import ladder
+
+    defs = spark.createDataFrame(
+        [("d1", "a", "x", "x", "class", True), ("d2", "b", "x", "x", "class", True)] + [(f"e{k}", "c", f"y{k}", f"y{k}", "class", True) for k in range(9)],
+        "id string, path string, name string, qualified string, kind string, exported boolean",
+    ).withColumn("lang", F.lit(None).cast("string"))
+    sees = spark.createDataFrame([("p", "file:a"), ("p", "file:b"), ("p", "file:c"), ("q", "file:c"), ("q", "file:a")], "path string, key string")
+    lies = spark.createDataFrame([(f, f"file:{f}") for f in "abc"], "path string, key string")
+    asked = spark.createDataFrame([("p", n, "any") for n in ("x", "y1", "z1", "z2", "z3", "z4")] + [("q", "y2", "any")], "path string, name string, shape string")
+    lists = ladder.shaped(defs).join(lies, "path").select("key", "name", "shape")
+    listed, asking = ladder._ways(asked, sees, lists)
+    assert {tuple(r) for r in listed.collect()} == {("p", "file:a"), ("p", "file:b")}
+    assert {tuple(r) for r in asking.collect()} == {("p", "file:c"), ("q", "file:c"), ("q", "file:a")}
+    got = ladder.visible_candidates(asked, sees, lies, defs)
+    assert {tuple(r) for r in got.collect()} == {("p", "x", "any", "d1", 2), ("p", "x", "any", "d2", 2), ("p", "y1", "any", "e1", 1), ("q", "y2", "any", "e2", 1)}
+    assert {r["path"] for r in ladder.visible_candidates(asked, sees, lies, defs, most=1).collect() if r["name"] == "x"} == set()
