@@ -19,13 +19,18 @@ RUNGS = ("id", "in_file", "qualified", "name", "dotted", "last_segment", "any_ca
 _PAIR = r"^(.+\.[a-zA-Z]+):([A-Za-z_][\w.]*)$"
 
 
+def _if_few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, rung, id): the symbols of the first rung that has any, for each q of ``names``.
 
     Rungs: an id, which has three colons at least; a symbol of a file, as file:name; a qualified name; a
     name; a name behind a module, with as few leading parts peeled off as fit, whose file's module has them
     (``module`` of ``nodes``, the path where there is none); the last segment; a name in any case.  All are
-    equality joins on a key that is worked out from q, so a batch of names costs one pass over the nodes.
+    equality joins on a key that is worked out from q.  Which rung has any is found among the different keys of
+    the nodes, so a name that many nodes share and many of ``names`` end in meets the nodes of its first rung only.
     """
     q = names.select(F.trim("q").alias("q")).filter("q <> ''").distinct()
     parts = F.split("q", "[.]")
@@ -49,7 +54,7 @@ def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     keys = F.when(n > 1, F.concat(plain, peeled)).otherwise(plain)
     tried = kept(q.select("q", F.explode(keys).alias("k")).select("q", "k.*"), "lookup-keys")
-    few = tried.count() <= FEW
+    used = sorted(r["rung"] for r in tried.select("rung").distinct().collect())  # seven at most
     if "module" not in nodes.columns:
         nodes = nodes.withColumn("module", F.col("path"))
     fact = lambda k, key: F.struct(F.lit(k).alias("rung"), key.alias("key"))
@@ -60,12 +65,16 @@ def ladder(names: DataFrame, nodes: DataFrame) -> DataFrame:
             fact(4, F.col("qualified")), fact(4, F.col("name")), fact(5, F.col("name")), fact(6, F.lower("name")),
         )
     )
-    known = nodes.select("id", "module", F.explode(facts).alias("f")).select("id", "module", "f.rung", "f.key")
+    known = nodes.select("id", "module", F.explode(F.filter(facts, lambda f: f["rung"].isin(used))).alias("f")).select("id", "module", "f.rung", "f.key")
+    fits = (F.col("rung") != 4) | F.contains("module", "head")
     # few keys go to the nodes; else the nodes' facts are shuffled with them
-    found = known.join(F.broadcast(tried) if few else tried, ["rung", "key"]).filter((F.col("rung") != 4) | F.contains("module", "head"))
-    least = found.groupBy("q").agg(F.min(F.struct("rung", "pos")).alias("first"))
-    first = found.join(least, "q").filter((F.col("rung") == F.col("first.rung")) & (F.col("pos") == F.col("first.pos")))
-    return first.select("q", F.element_at(F.array(*[F.lit(r) for r in RUNGS]), F.col("rung") + 1).alias("rung"), "id").distinct()
+    wanted = _if_few(tried.select("rung", "key").distinct())
+    keys = known.select("rung", "key", F.when(F.col("rung") == 4, F.col("module")).alias("module")).join(wanted, ["rung", "key"], "left_semi").distinct()
+    least = keys.join(_if_few(tried), ["rung", "key"]).filter(fits).groupBy("q").agg(F.min(F.struct("rung", "pos")).alias("first"))
+    first = tried.join(least, "q").filter((F.col("rung") == F.col("first.rung")) & (F.col("pos") == F.col("first.pos")))
+    first = kept(first.select("q", "rung", "head", "key"), "lookup-first")
+    found = known.join(_if_few(first), ["rung", "key"]).filter(fits)
+    return found.select("q", F.element_at(F.array(*[F.lit(r) for r in RUNGS]), F.col("rung") + 1).alias("rung"), "id").distinct()
 
 
 def fuzzy(nodes: DataFrame, query: str, limit: int = 12, kind: str | None = None, lang: str | None = None) -> DataFrame:
@@ -89,10 +98,6 @@ INDEXED = 64
 DIRECT = 100
 
 
-def _if_few(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= FEW else rows
-
-
 def fuzzy_batch(names: DataFrame, nodes: DataFrame, limit: int = 12, direct: int = DIRECT) -> DataFrame:
     """(q, rank, id, score_milli): the best ``limit`` fuzzy hits of each q of ``names``, in the order of ``fuzzy``.
 
