@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from symgraph.operators import lookup
+from symgraph.operators import graph, lookup
+from symgraph.sources import star
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_names_meet_nodes_of_their_first_rung_only(spark, monkeypatch):
@@ -22,3 +25,31 @@ def test_names_meet_nodes_of_their_first_rung_only(spark, monkeypatch):
         found = lookup.ladder(names, nodes).collect()
         assert len(found) == 40 and {r["rung"] for r in found} == {"qualified"}
         assert written["lookup-first"].count() == 40
+
+
+def test_line_items_are_grouped_by_tasks_of_bounded_size(spark, monkeypatch):
+    count = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(star, "TASK_ROWS", count // 20)
+    pairs = star.edges(spark, DATA, ("constant",))
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) < count // 5
+
+
+def test_edges_to_some_kinds_are_those_edges(spark):
+    kinds = star.nodes(spark, DATA).select(F.col("id").alias("dst_id"), "kind")
+    want = star.edges(spark, DATA).join(kinds, "dst_id").filter("kind IN ('module', 'class')").select("src_id", "dst_id", "type", "confidence", "path", "line")
+    got = star.edges(spark, DATA, ("module", "class"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "lineitem" not in " ".join(got.inputFiles())
+
+
+def test_traverse_without_evidence_and_dead_ends(spark, monkeypatch):
+    """Only ends of edges are needed, and of a large frontier only what leads on goes to the edges."""
+    pairs = [("b", "a"), ("c", "a"), ("d", "b"), ("e", "d"), ("a", "e")] + [(f"leaf{k}", "a") for k in range(9)]
+    ends = spark.createDataFrame(pairs, "src_id string, dst_id string")
+    roots = spark.createDataFrame([("a", "a")], "root string, id string")
+    want = {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3)} | {("a", f"leaf{k}", 1) for k in range(9)}
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert {tuple(r) for r in graph.traverse(ends, roots, 4, evidence=False).collect()} == want
+    assert graph.traverse(ends, roots.filter("id = 'x'"), 4, evidence=False).columns == ["root", "id", "distance"]
