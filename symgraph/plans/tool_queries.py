@@ -74,7 +74,7 @@ def foreign_callers_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = kept(star.nodes(spark, sf_dir), "nodes")
     repo = nodes.select(F.col("id").alias("src_id"), F.regexp_extract("path", "^[^/]*", 0).alias("repo"))
     roots = nodes.filter("kind IN ('module', 'class')").select("id")
-    found = tools.foreign_callers(star.edges(spark, sf_dir).join(repo, "src_id"), roots, "ASIA")
+    found = tools.foreign_callers(star.edges(spark, sf_dir, ("module", "class")).join(repo, "src_id"), roots, "ASIA")
     return found.select("repo", "caller", "path", "line", "dst_id", F.col("rank").cast("bigint").alias("rank"), F.col("in_group").cast("bigint").alias("in_group"))
 
 
