@@ -317,7 +317,7 @@ def callers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the name of each supplier to what calls it."""
     nodes = kept(star.nodes(spark, sf_dir), "nodes")
     names = nodes.filter("kind = 'struct'").select(F.col("qualified").alias("q"))
-    found = tools.find_callers(nodes, star.edges(spark, sf_dir), names, 1)
+    found = tools.find_callers(nodes, star.edges(spark, sf_dir), names, 1, evidence=False)
     return found.select("root", "id", F.col("distance").cast("bigint").alias("distance"))
 
 
@@ -353,7 +353,7 @@ SELECT root, id, min(d) AS distance FROM reach JOIN nodes n USING (id) WHERE n.p
 def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What depends on each changed file from outside of it, symbol by symbol."""
     nodes = kept(star.nodes(spark, sf_dir), "nodes")
-    found = tools.changed_since(nodes, star.edges(spark, sf_dir), nodes.filter("kind = 'struct'").select("path"), 1, None)
+    found = tools.changed_since(nodes, star.edges(spark, sf_dir), nodes.filter("kind = 'struct'").select("path"), 1, None, evidence=False)
     return found.select("root", "id", F.col("distance").cast("bigint").alias("distance"))
 
 
