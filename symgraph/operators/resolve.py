@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import KIND_PRIORITY, rank_in
 
@@ -58,10 +59,13 @@ def first_hit(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(rid, path): the file of the first candidate module that another file has.
 
     ``imports`` has rid, path (the importer's), family and candidates in order; ``modules`` has path,
-    family, module and is_alias.  Canonical names come before aliases.
+    family, module and is_alias.  Canonical names come before aliases.  An importer is one of the files that have
+    a name at most, so of these only the first two are met: a name that all files have meets no more.
     """
     tried = imports.select("rid", F.col("path").alias("importer"), "family", F.posexplode("candidates").alias("pos", "module"))
-    found = tried.join(modules, ["family", "module"]).filter("path <> importer")
+    each = modules.filter("path IS NOT NULL").groupBy("family", "module", "path").agg(F.min("is_alias").alias("is_alias"))
+    turn = F.row_number().over(Window.partitionBy("family", "module").orderBy("is_alias", "path"))
+    found = tried.join(each.withColumn("turn", turn).filter("turn <= 2"), ["family", "module"]).filter("path <> importer")
     return found.groupBy("rid").agg(F.min(F.struct("pos", "is_alias", "path")).alias("m")).select("rid", F.col("m.path").alias("path"))
 
 

@@ -32,8 +32,11 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """b, g, path and the first name that a file defines."""
-    return definitions(spark, sf_dir).groupBy("b", "g", "path").agg(F.min("name").alias("first"))
+    """b, g, path and the first name that a file defines.
+
+    Parts are dealt by file before they are grouped: names are sorted for that, and few tasks read the parts.
+    """
+    return definitions(spark, sf_dir).select("b", "g", "path", "name").repartition("path").groupBy("b", "g", "path").agg(F.min("name").alias("first"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from symgraph.operators import graph, lookup
+from symgraph.operators import graph, lookup, resolve
 from symgraph.sources import star
 
 DATA = "/root/testdata/sf0.001"
@@ -53,3 +53,31 @@ def test_traverse_without_evidence_and_dead_ends(spark, monkeypatch):
         monkeypatch.setattr(graph, "FEW", few)
         assert {tuple(r) for r in graph.traverse(ends, roots, 4, evidence=False).collect()} == want
     assert graph.traverse(ends, roots.filter("id = 'x'"), 4, evidence=False).columns == ["root", "id", "distance"]
+
+
+def joined_rows(df):
+    """The most rows that a join of ``df`` gives, by its metrics."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        at = plans.pop()
+        name = at.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(at.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(at.plan())
+        else:
+            if name.endswith("JoinExec"):
+                most = max(most, at.metrics().apply("numOutputRows").value())
+            plans += [at.children().apply(k) for k in range(at.children().size())]
+    return most
+
+
+def test_a_name_of_many_files_meets_imports_twice_at_most(spark):
+    """An alias that all files have, and the importers are among them; canonical names come first, and a file isn't its own."""
+    path = F.format_string("d%03d/f.py", F.col("id"))
+    modules = spark.range(200).select(path.alias("path"), F.lit("python").alias("family"), F.lit("f").alias("module"), (F.col("id") != 7).alias("is_alias"))
+    imports = spark.range(200).select(F.col("id").alias("rid"), path.alias("path"), F.lit("python").alias("family"), F.array(F.lit("x"), F.lit("f")).alias("candidates"))
+    found = resolve.first_hit(imports, modules.unionByName(modules))
+    assert {tuple(r) for r in found.collect()} == {(k, "d000/f.py" if k == 7 else "d007/f.py") for k in range(200)}
+    assert joined_rows(found) <= 400
