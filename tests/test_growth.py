@@ -81,3 +81,26 @@ def test_a_name_of_many_files_meets_imports_twice_at_most(spark):
     found = resolve.first_hit(imports, modules.unionByName(modules))
     assert {tuple(r) for r in found.collect()} == {(k, "d000/f.py" if k == 7 else "d007/f.py") for k in range(200)}
     assert joined_rows(found) <= 400
+
+
+def test_paths_through_a_hub_leave_its_leaves_alone(spark, monkeypatch):
+    """The end whose step makes fewer rows moves first, and a large step is written for pairs that it doesn't join only."""
+    written = []
+    plain = graph.kept
+
+    def noted(df, name, *by):
+        written.append((name, plain(df, name, *by)))
+        return written[-1][1]
+
+    monkeypatch.setattr(graph, "kept", noted)
+    rows = [(f"s{k}", "n") for k in range(20)] + [("n", "r"), ("r", "q")] + [(f"o{k}", f"s{k % 20}") for k in range(2000)] + [("x", "o7"), ("y", "z")]
+    links = spark.createDataFrame([(s, d, "calls", "exact", "p", 1) for s, d in rows], "src_id string, dst_id string, type string, confidence string, path string, line int")
+    pairs = spark.createDataFrame([(f"s{k}", "r") for k in range(20)] + [("s7", "x"), ("s8", "y"), ("r", "r")], "a string, b string")
+    want = {(f"s{k}", "r"): [(f"s{k}", "n"), ("n", "r")] for k in range(20)} | {("s7", "x"): [("o7", "s7"), ("x", "o7")], ("r", "r"): []}
+    for few, steps, ids in ((graph.FEW, graph.STEPS, graph.IDS), (0, 1, graph.IDS), (0, 1, 0)):
+        written.clear()
+        for name, value in (("FEW", few), ("STEPS", steps), ("IDS", ids)):
+            monkeypatch.setattr(graph, name, value)
+        got = {(r["a"], r["b"]): [(h["src_id"], h["dst_id"]) for h in r["hops"]] for r in graph.shortest_paths(links, pairs, 4).collect()}
+        assert got == want
+        assert sum(t.count() for n, t in written if n == "path-level") < 600
