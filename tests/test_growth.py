@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from symgraph.operators import graph, lookup, resolve
+from symgraph.operators import graph, lookup, rank, resolve
 from symgraph.sources import star
 
 DATA = "/root/testdata/sf0.001"
@@ -104,3 +104,18 @@ def test_paths_through_a_hub_leave_its_leaves_alone(spark, monkeypatch):
         got = {(r["a"], r["b"]): [(h["src_id"], h["dst_id"]) for h in r["hops"]] for r in graph.shortest_paths(links, pairs, 4).collect()}
         assert got == want
         assert sum(t.count() for n, t in written if n == "path-level") < 600
+
+
+def test_edges_at_a_kind_and_groups_ranked_in_one_part(spark):
+    """Only relationships at suppliers are made for their neighbours, and small groups move once."""
+    kinds = star.nodes(spark, DATA).filter("kind = 'struct'").select("id")
+    every = star.edges(spark, DATA)
+    want = every.join(kinds, F.col("id").isin(F.col("src_id"), F.col("dst_id"))).select(*every.columns)
+    got = star.edges(spark, DATA, at=("struct",))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert graph.most_neighbours(got, kinds) == max(r["count"] for r in got.join(kinds, F.col("dst_id") == F.col("id")).groupBy("id").count().collect())
+    assert rank.parts_of(600) == 1 and rank.parts_of(10**9) == 64
+    rows = spark.range(3000).select((F.col("id") % 7).alias("g"), "id")
+    once, twice = (rank.first_per_group(rows, ["g"], ["id"], 5, parts) for parts in (1, 64))
+    assert once.exceptAll(twice).isEmpty() and once.count() == 35
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") < twice._jdf.queryExecution().executedPlan().toString().count("Exchange")
