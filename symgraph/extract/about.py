@@ -50,8 +50,8 @@ def comments(files: DataFrame) -> DataFrame:
 def decorators(lines: DataFrame, found: DataFrame) -> DataFrame:
     """path, lang, line, text and of, the line of what it decorates, of each decorator or annotation on lines of its own."""
     is_one = found["code"].rlike(r"^\s*@(?!interface\b)[\w.]+\s*(\(.*\))?\s*$")
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = found.withColumn("one", is_one).withColumn("of", F.first(F.when(~F.col("one"), F.col("line")), True).over(order))
+    order = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = found.withColumn("one", is_one).withColumn("of", F.last(F.when(~F.col("one"), F.col("line")), True).over(order))
     return placed.filter("one AND of IS NOT NULL").select("path", "lang", "line", "text", "of")
 
 
@@ -71,8 +71,8 @@ def described(defs: DataFrame, files: DataFrame, lines: DataFrame, whole: DataFr
     asks = heads.filter("lang = 'python'").select("path", F.col("end").alias("line"), F.lit(2).alias("turn"), F.col("line").alias("of"))
     asks = asks.unionByName(files.filter("lang = 'python'").select("path", F.lit(0).alias("line"), F.lit(2).alias("turn"), F.lit(0).alias("of")))
     events = said.unionByName(code, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
-    ahead = Window.partitionBy("path").orderBy("line", "turn").rowsBetween(1, Window.unboundedFollowing)
-    next_ = F.first(F.when(F.col("of").isNull(), F.struct("text", "is_code")), True).over(ahead)
+    ahead = Window.partitionBy("path").orderBy(F.desc("line"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = F.last(F.when(F.col("of").isNull(), F.struct("text", "is_code")), True).over(ahead)
     strings = events.withColumn("next", next_).filter("of IS NOT NULL AND next.is_code IS NULL").select("path", F.col("of").alias("line"), F.col("next.text").alias("inside"))
     both = heads.join(strings, ["path", "line"], "left").select("path", "line", "signature", first_paragraph(F.coalesce("inside", clean_doc(F.when(F.col("lang") != "python", F.col("above"))))).alias("doc"))
     modules = strings.filter("line = 0").select("path", "line", F.lit(None).cast("string").alias("signature"), first_paragraph(F.col("inside")).alias("doc"))

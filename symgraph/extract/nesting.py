@@ -117,7 +117,8 @@ def measured(files: DataFrame) -> DataFrame:
     python = F.col("lang") == "python"
     round_ = _count(F.col("code"), r"(\[") - _count(F.col("code"), r")\]") + F.when(python, F.col("walk.at")).otherwise(0)
     order = Window.partitionBy("path").orderBy("line")
-    before, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # what is ahead is what was passed from the other end: a frame that only grows, so a file costs its lines once
+    before, ahead = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.withColumns({"round": round_, "indent": F.length(F.regexp_replace(F.regexp_extract("code", r"^([ \t]*)", 1), "\t", " " * 8))})
     sums = sums.withColumns(
         {
@@ -129,7 +130,7 @@ def measured(files: DataFrame) -> DataFrame:
         }
     )
     # where the statement that begins in a line has its last line, and the depth after that
-    head = F.first(F.when(F.col("flat"), F.struct("line", "code", "next", (F.col("depth") + F.col("walk.at")).alias("after"))), True).over(ahead)
+    head = F.last(F.when(F.col("flat"), F.struct("line", "code", "next", (F.col("depth") + F.col("walk.at")).alias("after"))), True).over(ahead)
     outer = Window.partitionBy("path", "inside").orderBy("line")
     sums = sums.withColumns({"head": head, "level": F.when(python, F.col("indent")).otherwise(F.col("depth")), "above": F.lag("indent").over(outer)})
     dedent = F.when(~F.col("inside") & (F.col("indent") <= F.col("above")), F.sequence("indent", "above"))
@@ -150,9 +151,9 @@ def spans(defs: DataFrame, lines: DataFrame) -> DataFrame:
     closed = ~python & braced & (F.col("head.after") <= F.col("level"))
     known = defs.withColumns({"at": F.coalesce(F.when(~python, F.col("head.line")), F.col("line")), "open": has_body & ~closed, "is_def": F.lit(True)})
     both = known.unionByName(ends.withColumn("is_def", F.lit(False)), allowMissingColumns=True)
-    # of a line, what closes there comes before what begins
-    order = Window.partitionBy("path", "level").orderBy("at", "is_def").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = both.withColumn("shut", F.first("end", True).over(order)).filter("is_def")
+    # of a line, what closes there comes before what begins; from the file's end each row passes once
+    order = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.desc("is_def")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("shut", F.last("end", True).over(order)).filter("is_def")
     end = F.when(F.col("open"), F.coalesce("shut", "last", "at")).otherwise(F.col("at"))
     return met.join(last, "path", "left").withColumn("line_end", F.greatest("line", end)).drop("at", "end", "open", "is_def", "shut", "last")
 

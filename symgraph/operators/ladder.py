@@ -139,6 +139,11 @@ def shaped(defs: DataFrame) -> DataFrame:
     return defs.withColumn("shape", F.explode(fits))
 
 
+def asked_for(defs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Shaped definitions whose name and shape are among ``asked``: no other can meet a reference by its name."""
+    return defs.join(asked.select("name", "shape").distinct(), ["name", "shape"], "left_semi")
+
+
 def scopes(placed: DataFrame, defs: DataFrame, packages: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(path, key) of the scopes that a file sees, and of those that its definitions are in.
 
@@ -168,15 +173,17 @@ def _ways(asked: DataFrame, sees: DataFrame, lists: DataFrame) -> tuple[DataFram
 def visible_candidates(asked: DataFrame, sees: DataFrame, lies: DataFrame, defs: DataFrame, most: int = MOST) -> DataFrame:
     """(path, name, shape, id, n) for the distinct (path, name, shape) that are asked and have up to ``most`` visible definitions.
 
-    Definitions are listed by scope and name, up to ``most`` of them.  For each scope that a file sees the fewer
-    rows travel: the scope's lists if they are no more than what the file asks for, else what it asks for.
+    Definitions whose name and shape are asked anywhere are listed by scope and name, up to ``most`` of them.  For
+    each scope that a file sees the fewer rows travel: the scope's lists if they are no more than what the file
+    asks for, else what it asks for.
     """
     by = ["key", "name", "shape"]
-    known = shaped(defs).join(lies, "path").select(*by, "id")
+    asked = kept(asked, "asked-names")
+    known = asked_for(shaped(defs), asked).join(lies, "path").select(*by, "id")
     counts, few = _counted(known, by, most)
     none = F.lit(None).cast("array<string>")
     lists = few.groupBy(*by).agg(F.collect_list("id").alias("ids")).unionByName(counts.filter(F.col("n") > most).select(*by, none.alias("ids")))
-    lists, asked = kept(lists, "scope-lists"), kept(asked, "asked-names")
+    lists = kept(lists, "scope-lists")
     listed, asking = _ways(asked, sees, lists)
     from_lists = listed.join(lists, "key").join(asked, ["path", "name", "shape"], "left_semi")
     from_asked = asked.join(asking, "path").join(lists, by)
@@ -338,8 +345,8 @@ def resolve(
     out.append(_as(hits.filter("n > 1 AND NOT bare AND NOT selfish"), "qualified", "heuristic"))
 
     # candidates anywhere, of names without a receiver
-    counts, few = _counted(shaped(defs).select("name", "shape", "id"), ["name", "shape"], most)
     loose = named.filter("bare OR selfish")
+    counts, few = _counted(asked_for(shaped(defs), loose).select("name", "shape", "id"), ["name", "shape"], most)
     out.append(_as(loose.join(few, ["name", "shape"]), "global", "heuristic"))
     if linked is not None:
         one = linked.filter("exported AND kind <> 'module'").groupBy("name").agg(F.count("*").alias("m"), F.min("id").alias("id")).filter("m = 1")

@@ -119,3 +119,41 @@ def test_edges_at_a_kind_and_groups_ranked_in_one_part(spark):
     once, twice = (rank.first_per_group(rows, ["g"], ["id"], 5, parts) for parts in (1, 64))
     assert once.exceptAll(twice).isEmpty() and once.count() == 35
     assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") < twice._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_definitions_that_nothing_asks_for_are_not_listed(spark, monkeypatch):
+    from symgraph.operators import ladder
+
+    defs = spark.createDataFrame(
+        [("d1", "a", "x", "x", "class", True)] + [(f"e{k}", "a", f"y{k}", f"y{k}", "class", True) for k in range(50)],
+        "id string, path string, name string, qualified string, kind string, exported boolean",
+    ).withColumn("lang", F.lit(None).cast("string"))
+    sees = spark.createDataFrame([("p", "file:a")], "path string, key string")
+    lies = spark.createDataFrame([("a", "file:a")], "path string, key string")
+    asked = spark.createDataFrame([("p", "x", "bare"), ("p", "z", "any")], "path string, name string, shape string")
+    made, kept = {}, ladder.kept
+
+    def seen(df, name, *by):
+        made[name] = kept(df, name, *by)
+        return made[name]
+
+    monkeypatch.setattr(ladder, "kept", seen)
+    got = ladder.visible_candidates(asked, sees, lies, defs).collect()
+    assert [tuple(r) for r in got] == [("p", "x", "bare", "d1", 1)]
+    assert [(r["name"], r["shape"]) for r in made["scope-lists"].collect()] == [("x", "bare")]
+
+
+def test_what_is_ahead_in_a_file_costs_its_lines_once(spark):
+    from symgraph.extract import about, nesting
+
+    files = spark.createDataFrame([("a.ts", "typescript", "class A {\n  open(\n    a) {\n  }\n}\n")], "path string, lang string, text string")
+    lines = nesting.measured(files)
+    found = {r["line"]: (r["head"]["line"], r["level"], r["closes"]) for r in lines.collect()}
+    assert found == {1: (1, 0, None), 2: (3, 1, None), 3: (3, 1, None), 4: (4, 2, [1]), 5: (5, 1, [0])}
+    defs = lines.filter("line < 3").withColumn("kind", F.lit("class"))
+    spans = nesting.spans(defs, lines)
+    assert {r["line"]: r["line_end"] for r in spans.collect()} == {1: 5, 2: 4}
+    marks = about.decorators(lines.withColumnRenamed("said", "text"), lines.withColumnRenamed("said", "text"))
+    for made in (lines, spans, marks):
+        # such a frame looks at the rest of the file for each of its lines
+        assert "unboundedfollowing" not in made._jdf.queryExecution().analyzed().toString()
